@@ -18,18 +18,45 @@ from . import common, neardup
 BANDING = neardup.Banding(bands=32, rows=4)
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: neardup.Banding = BANDING) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
-    work = common.Workspace(docs.sparkSession, "minhash")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    drawn = work.table(neardup.sketches(source, ["doc_id"], "text", banding))
+def decide(docs: DataFrame, doc_id: str, text: str, banding: neardup.Banding, work: common.Workspace) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id and kept of each row."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    drawn = work.table(neardup.sketches(source, ["doc_id", "h"], "text", banding))
     classes = work.table(drawn.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands")))
     roots = neardup.link(classes, source, "doc_id", "text", banding, work)
     linked = classes.select("digest", "doc_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     firsts = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = linked.join(firsts, "root").select("digest", "component_id")
-    out = drawn.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    out = drawn.select("doc_id", "h", "n_shingles", "digest").join(ids, "digest", "left")
+    return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: neardup.Banding = BANDING) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    return decide(docs, doc_id, text, banding, common.Workspace(docs.sparkSession, "minhash")).drop("h")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: neardup.Banding = BANDING) -> DataFrame:
+    """docs with one row of each component: of the smallest id, and of its rows the smallest by all columns.
+
+    Only rows that a prefilter can't clear go through a join; the other texts stay where they are.
+    """
+    work = common.Workspace(docs.sparkSession, "minhash")
+    decided = work.table(decide(docs, doc_id, text, banding, work))
+    gone = decided.filter("not kept").select("doc_id", "h")
+    lost = neardup.Prefilter(gone.select(F.xxhash64("doc_id", "h").alias("x")), "x")
+    named = docs.withColumns({"__id": F.col(doc_id), "__h": F.xxhash64(text)}).withColumn("__maybe", lost.column(F.xxhash64("__id", "__h")))
+    gone = gone.distinct().select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h"))
+    checked = named.filter("__maybe").join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__h") == F.col("__gone_h")), "left_anti")
+    out = named.filter("not __maybe").unionByName(checked)
+    twice = work.table(decided.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = neardup.Prefilter(twice.select(F.xxhash64("doc_id").alias("x")), "x")
+    out = out.withColumn("__again", again.column(F.xxhash64("__id")))
+    once = out.filter("not __again").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = out.filter("__again").groupBy("__id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("x")).select("x.*")
+    return once.unionByName(first)
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common, textkit
 
+#: Bits of a prefilter: 2 MB, whatever the input. A full prefilter lets more rows through to the join, never fewer.
+BITS = 1 << 24
 #: Classes of one cell of a large bucket.
 CELL = 512
 #: Most similar classes of each other component that a class names in round 2.
@@ -77,41 +79,81 @@ def band_keys(sig: np.ndarray, banding: Banding) -> np.ndarray:
     return textkit.mix(keys + np.arange(1, banding.bands + 1, dtype=np.uint64)).view(np.int64)
 
 
+class Prefilter:
+    """A bitmap of 64-bit hashes. It spares most rows without a partner the way to a join; the join decides."""
+
+    def __init__(self, hashes: DataFrame, column: str, bits: int = BITS):
+        bit = F.pmod(F.col(column), F.lit(bits))
+        words = hashes.groupBy((bit / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")).alias("set"))
+        found = words.toArrow()  # bits / 64 rows at most
+        bitmap = np.zeros(bits // 64, np.uint64)
+        bitmap[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
+        self.bits, self.bitmap = bits, hashes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) & np.uint64(self.bits - 1)
+        return (self.bitmap.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def column(self, hashes: F.Column) -> F.Column:
+        """True where the hash may be in the bitmap; only the hashes go to Python."""
+
+        @F.arrow_udf("boolean")
+        def passing(h: pa.Array) -> pa.Array:
+            return pa.array(self.passes(h.to_numpy(zero_copy_only=False)))
+
+        return passing(hashes)
+
+
 def _sets(column: pa.Array):
     column = common.strings(column)
     for a, b in common.byte_slices(column, textkit.SLICE_BYTES):
         yield from textkit.shingle_sets(textkit.words(*common.text_buffer(column.slice(a, b - a))))
 
 
-def sketches(units: DataFrame, keys: list[str], text: str, banding: Banding) -> DataFrame:
-    """keys, n_words_set (n_shingles), digest and bands; digest and bands are null for an empty set."""
+def sketches(units: DataFrame, keys: list[str], text: str, banding: Banding | None) -> DataFrame:
+    """keys, n_shingles, digest and bands (null without a banding); digest and bands are null for an empty set."""
     source = units.select(*[F.col(f"`{k}`") for k in keys], F.col(text).alias("__text"))
     nothing = F.lit(None)
     schema = units.select(*[F.col(f"`{k}`") for k in keys], F.lit(0).cast("long").alias("n_shingles"), nothing.cast("binary").alias("digest"), nothing.cast("array<long>").alias("bands")).schema
 
     def run(batches):
-        a = banding.coefficients()
+        a = banding.coefficients() if banding else None
         for b in batches:
             n, digests, bands = [], [], []
             for s in _sets(b.column(b.num_columns - 1)):
                 n.append(len(s))
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(signature(s, a), banding) if len(s) else None)
+                bands.append(band_keys(signature(s, a), banding) if banding and len(s) else None)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
 
-def _full(texts: DataFrame, text: str, banding: Banding) -> DataFrame:
-    """digest, signature and set of each text."""
+def _full(texts: DataFrame, wanted: Prefilter, banding: Banding) -> DataFrame:
+    """digest, signature and set of each text (hash of its key, text) whose key may be wanted."""
 
     def run(batches):
         a = banding.coefficients()
         for b in batches:
-            out = [(blake2b(s.tobytes(), digest_size=16).digest(), signature(s, a).tobytes(), s.tobytes()) for s in _sets(b.column(0)) if len(s)]
+            chosen = b.column(1).take(pa.array(np.flatnonzero(wanted.passes(b.column(0).to_numpy()))))
+            out = [(blake2b(s.tobytes(), digest_size=16).digest(), signature(s, a).tobytes(), s.tobytes()) for s in _sets(chosen) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*out) if out else [[]] * 3)], ["digest", "sig", "items"])
 
-    return texts.select(F.col(text)).mapInArrow(run, "digest binary, sig binary, items binary")
+    return texts.mapInArrow(run, "digest binary, sig binary, items binary")
+
+
+def _banded(classes: DataFrame, shared: Prefilter) -> DataFrame:
+    """(digest, key) of the bands that another class may have."""
+
+    def run(batches):
+        for b in batches:
+            bands = b.column(1)
+            keys = bands.flatten().to_numpy()
+            at = np.flatnonzero(shared.passes(keys))
+            owner = np.repeat(np.arange(b.num_rows), bands.value_lengths().to_numpy())[at]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(keys[at])], ["digest", "key"])
+
+    return classes.select("digest", "bands").mapInArrow(run, "digest binary, key long")
 
 
 def similar(sig_a: np.ndarray, sig_b: np.ndarray, floors: list[tuple[int, int]]) -> np.ndarray:
@@ -234,14 +276,19 @@ def _cross(cells: DataFrame, banding: Banding, limit: int | None) -> DataFrame:
 def link(classes: DataFrame, texts: DataFrame, key: str, text: str, banding: Banding, work: common.Workspace) -> DataFrame:
     """(digest, root) of every class with a link to another.
 
-    classes: digest, bands and key (of one unit that has the set); texts: key and text of units.
+    classes: digest, bands and key (of one unit that has the set); texts: key and text of the units. Texts stay where they
+    are: the sets of classes that share a bucket are made again from them.
     """
-    keyed = classes.select("digest", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lead")).filter("n > 1")
-    members = work.table(keyed.join(shared, "key"))
-    wanted = classes.join(members.select("digest").distinct(), "digest", "left_semi").select(F.col(key).alias("__key"))
-    chosen = texts.join(wanted, texts[key] == wanted["__key"], "left_semi")
-    full = work.table(_full(chosen, text, banding).dropDuplicates(["digest"]))
+    keys = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    shared = work.table(keys.filter("n > 1"))
+    joined = work.table(_banded(classes, Prefilter(shared, "key")).join(shared, "key"))
+    leads = joined.groupBy("key").agg(F.min("digest").alias("lead"))
+    members = work.table(joined.join(leads, "key"))
+    work.drop(joined)
+    linkable = members.select("digest").distinct()
+    wanted = Prefilter(classes.join(linkable, "digest", "left_semi").select(F.xxhash64(key).alias("h")), "h")
+    hashed = texts.select(F.xxhash64(key).alias("h"), F.col(text).alias("text"))
+    full = work.table(_full(hashed, wanted, banding).join(linkable, "digest", "left_semi").dropDuplicates(["digest"]))
 
     pairs = work.table(members.filter("digest != lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct())
     edges, tested = [work.table(verified(pairs, full, banding))], [pairs]

@@ -17,6 +17,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The same with every ASCII byte that is no letter or digit, for words without punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(1, 2**62)) * 2 + 1
 _MULTIPLIERS = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -53,10 +55,11 @@ class Words:
     hashes: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> Words:
+    """blank: which bytes part words."""
     data = LOWER[data]
     n = len(data)
-    full = ~BLANK[data]
+    full = ~blank[data]
     begins, stops = full.copy(), full.copy()
     if n:
         inner = offsets[(offsets > 0) & (offsets < n)]
