@@ -4,11 +4,11 @@ A unit is a text with a set of word shingles. Units with one set form a class, k
 copies are never expanded into pairs. Classes are banded by MinHash; a class goes through three rounds of candidates:
 
 1. each class of a bucket with the bucket's smallest class,
-2. in buckets that still hold several components, for each class its most similar classes of other components,
-3. the same without a limit, where round 2 had to leave some out.
+2. in buckets that still hold several components, each class with one class that the bucket draws by a hash, twice,
+3. in what is left, all pairs of different components that signatures allow, verified where they are found.
 
-A group of near copies falls into one component in round 1, so later rounds only see what is left; a link between
-components that shares a bucket is always found in the end. Candidates are compared by batches of signature positions:
+The first two make as many pairs as a bucket has classes, and leave little of a group of near copies to the third; a link
+between components that share a bucket is always found in the end. Candidates are compared by batches of signature positions:
 a pair is dropped once the posterior probability of the wanted similarity falls below the miss probability, and what is
 left is verified on the full sets.
 """
@@ -31,8 +31,8 @@ from . import common, textkit
 BITS = 1 << 24
 #: Classes of one cell of a large bucket.
 CELL = 512
-#: Most similar classes of each other component that a class names in round 2.
-NAMED = 3
+#: Rounds in which a bucket draws a class.
+DRAWS = 2
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class Banding:
     rows: int = 4
     percent: int = 75
     #: Probability at which a pair of the wanted similarity may be pruned by its signature.
-    miss: float = 1e-6
+    miss: float = 1e-4
     batch: int = 16
 
     @property
@@ -183,10 +183,7 @@ def verified(pairs: DataFrame, full: DataFrame, banding: Banding) -> DataFrame:
             keep = []
             for i in np.flatnonzero(similar(*sig, floors) >= 0).tolist():
                 x, y = (np.frombuffer(b.column(c)[i].as_py(), np.uint64) for c in (4, 5))
-                if 100 * min(len(x), len(y)) < banding.percent * max(len(x), len(y)):
-                    continue
-                common_items = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * common_items >= banding.percent * (len(x) + len(y) - common_items):
+                if shares(x, y, banding.percent):
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
@@ -216,61 +213,127 @@ def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
             return edges.select(F.col("u").alias("digest"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("digest"), F.col("v").alias("root")).distinct())
 
 
-def _cells(members: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
-    """Buckets with several components, cut in cells of two blocks of classes: (side, list of (digest, root, sig))."""
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their roots, of the buckets of more than two classes that hold several components."""
     named = members.filter("n > 2").select("key", "n", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    block = F.pmod(F.xxhash64("digest"), blocks.cast("long")).cast("int")
-    dealt = (
-        named.join(mixed, "key")
-        .select("key", "digest", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .join(full.select("digest", "sig"), "digest")
+    return named.join(mixed, "key")
+
+
+def _drawn(mixed: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each class with the one that its bucket draws, where that is of another component."""
+    drawn = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("digest", "key", F.lit(seed)), "digest", "root")).alias("x")).select("key", F.col("x.digest").alias("lead"), F.col("x.root").alias("lead_root"))
+    pairs = mixed.join(drawn, "key").filter("root != lead_root")
+    return pairs.select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct()
+
+
+def _cells(mixed: DataFrame, full: DataFrame, *columns: str) -> DataFrame:
+    """key, i, j and a list of (block, digest, root, columns): cells of each bucket that between them hold every pair of different components.
+
+    The members of a bucket's largest component are blocks of their own and meet only the others' blocks, so a large group
+    with few others beside it costs few copies. Blocks of the largest component have negative numbers.
+    """
+    sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("all"))
+    largest = largest.select("key", F.col("x.root").alias("main"), F.ceil(F.col("x.n") / CELL).cast("int").alias("main_blocks"), F.ceil((F.col("all") - F.col("x.n")) / CELL).cast("int").alias("blocks"))
+    at = lambda blocks: F.pmod(F.xxhash64("digest"), blocks.cast("long")).cast("int")
+    own = F.when(F.col("root") == F.col("main"), -1 - at(F.col("main_blocks"))).otherwise(at(F.col("blocks")))
+    meets = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.sequence(-F.col("main_blocks"), F.col("blocks") - 1))
+    dealt = mixed.select("key", "digest", "root").join(largest, "key").withColumn("block", own).select("key", "digest", "root", "block", F.explode(meets).alias("other"))
+    return (
+        dealt.join(full.select("digest", *columns), "digest")
         .groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .agg(F.collect_list(F.struct("block", "digest", "root", "sig")).alias("x"))
+        .agg(F.collect_list(F.struct("block", "digest", "root", *columns)).alias("x"))
+        .select("key", "i", "j", "x")
     )
-    return dealt.select("i", "j", "x")
 
 
-def _cross(cells: DataFrame, banding: Banding, limit: int | None) -> DataFrame:
-    """Candidates (a, b) between components of a cell that their signatures allow; cut: more were there than the limit."""
+def _binary(column: pa.Array, width: int) -> np.ndarray:
+    """Values of one width as rows of bytes."""
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return data[start : start + width * len(column)].reshape(-1, width)
+
+
+def _survivors(b: pa.RecordBatch, banding: Banding):
+    """Of each cell of a batch: its key, positions x and y of the pairs that signatures allow, the most similar first, and the batch's list columns.
+
+    A pair is seen in the cell of the first band that it shares and in no other.
+    """
+    floors, lists = banding.floors(), b.column(3)
+    bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    fields = lists.flatten().flatten()
+    blocks = fields[0].to_numpy()
+    roots = np.unique(np.ascontiguousarray(_binary(fields[2], 16)).view(np.uint64), axis=0, return_inverse=True)[1].ravel()
+    sigs = np.ascontiguousarray(_binary(fields[3], 4 * banding.size)).view(np.uint32)
+    for key, i, j, start, stop in zip(*(b.column(c).to_pylist() for c in range(3)), bounds, bounds[1:]):
+        block = blocks[start:stop]
+        left, right = start + np.flatnonzero(block == i), start + np.flatnonzero(block == j)
+        found = []
+        for row in np.array_split(left, -(-len(left) * len(right) // 65536) or 1):
+            x, y = np.nonzero(roots[row][:, None] != roots[right][None, :])
+            x, y = row[x], right[y]
+            if i == j:
+                x, y = x[x < y], y[x < y]
+            matches = similar(sigs[x], sigs[y], floors)
+            alive = matches >= 0
+            x, y = x[alive], y[alive]
+            first = (sigs[x] == sigs[y]).reshape(-1, banding.bands, banding.rows).all(axis=2).argmax(axis=1)
+            keys = textkit.combine(np.take_along_axis(sigs[x].reshape(-1, banding.bands, banding.rows), first[:, None, None], 1)[:, 0].astype(np.uint64))
+            own = textkit.mix(keys + (first + 1).astype(np.uint64)).view(np.int64) == key
+            found.append(np.stack((x[own], y[own], matches[alive][own])))
+        x, y, matches = np.concatenate(found, axis=1)
+        order = np.argsort(-matches, kind="stable")
+        yield key, x[order], y[order], fields, roots
+
+
+def _involved(cells: DataFrame, banding: Banding) -> DataFrame:
+    """(key, digest) of the classes with a candidate of another component in a cell."""
+
+    def run(batches):
+        for b in batches:
+            for key, x, y, fields, _ in _survivors(b, banding) if b.num_rows else ():
+                at = np.unique(np.concatenate((x, y)))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), fields[1].take(pa.array(at))], ["key", "digest"])
+
+    return cells.mapInArrow(run, "key long, digest binary").distinct()
+
+
+def shares(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Do two sorted sets reach the similarity?"""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    place = np.searchsorted(y, x)
+    place[place == len(y)] = 0
+    both = int((y[place] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _linked(cells: DataFrame, banding: Banding) -> DataFrame:
+    """Links (a, b) between components of a cell, verified on the full sets; a pair that others have joined in the cell isn't looked at."""
 
     def run(batches):
-        floors = banding.floors()
         for b in batches:
-            a_out, b_out, cut_out = [], [], []
-            for i, j, cell in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if i == j:
-                    left, right = cell, cell
-                else:
-                    left, right = [x for x in cell if x["block"] == i], [x for x in cell if x["block"] == j]
-                if not left or not right:
-                    continue
-                sig = np.frombuffer(b"".join(x["sig"] for x in right), np.uint32).reshape(len(right), -1)
-                root = np.array([x["root"] for x in right], object)
-                for k, x in enumerate(left):
-                    others = np.flatnonzero(root != x["root"])
-                    if i == j:
-                        others = others[others > k]
-                    if not len(others):
-                        continue
-                    own = np.broadcast_to(np.frombuffer(x["sig"], np.uint32), (len(others), sig.shape[1]))
-                    matches = similar(own, sig[others], floors)
-                    named: dict[bytes, int] = {}
-                    for o in np.argsort(-matches, kind="stable"):
-                        if matches[o] < 0:
-                            break
-                        y = right[others[o]]
-                        named[y["root"]] = seen = named.get(y["root"], 0) + 1
-                        if limit is None or seen <= limit:
-                            a_out.append(min(x["digest"], y["digest"]))
-                            b_out.append(max(x["digest"], y["digest"]))
-                            cut_out.append(False)
-                        elif seen == limit + 1:
-                            cut_out[-1] = True
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary()), pa.array(cut_out, pa.bool_())], ["a", "b", "cut"])
-
-    return cells.mapInArrow(run, "a binary, b binary, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+            for _, x, y, fields, roots in _survivors(b, banding) if b.num_rows else ():
+                above: dict[int, int] = {}
+
+                def top(r):
+                    while (p := above.get(r, r)) != r:
+                        above[r] = above.get(p, p)
+                        r = p
+                    return r
+
+                out = []
+                for i, j in zip(x.tolist(), y.tolist()):
+                    p, q = top(int(roots[i])), top(int(roots[j]))
+                    if p != q and shares(np.frombuffer(fields[4][i].as_buffer(), np.uint64), np.frombuffer(fields[4][j].as_buffer(), np.uint64), banding.percent):
+                        above[p] = q
+                        out.append((i, j))
+                if out:
+                    yield pa.RecordBatch.from_arrays([fields[1].take(pa.array([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
+
+    return cells.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def link(classes: DataFrame, texts: DataFrame, key: str, text: str, banding: Banding, work: common.Workspace) -> DataFrame:
@@ -291,18 +354,15 @@ def link(classes: DataFrame, texts: DataFrame, key: str, text: str, banding: Ban
     full = work.table(_full(hashed, wanted, banding).join(linkable, "digest", "left_semi").dropDuplicates(["digest"]))
 
     pairs = work.table(members.filter("digest != lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct())
-    edges, tested = [work.table(verified(pairs, full, banding))], [pairs]
-    for limit in (NAMED, None):
+    edges = [work.table(verified(pairs, full, banding))]
+    roots = components(edges[0], work)
+    for seed in range(DRAWS):
+        drawn = work.table(_drawn(_mixed(members, roots), seed).join(pairs, ["a", "b"], "left_anti"))
+        edges.append(work.table(verified(drawn, full, banding)))
         roots = components(reduce(DataFrame.union, edges), work)
-        found = work.table(_cross(_cells(members, roots, full), banding, limit).join(reduce(DataFrame.union, [t.select("a", "b") for t in tested]), ["a", "b"], "left_anti"))
-        if found.isEmpty():
-            break
-        edges.append(work.table(verified(found, full, banding)))
-        tested.append(found)
-        if limit is not None and found.filter("cut").isEmpty():
-            roots = components(reduce(DataFrame.union, edges), work)
-            break
-    else:
+    mixed = work.table(_mixed(members, roots))
+    chosen = work.table(mixed.join(_involved(_cells(mixed, full, "sig"), banding), ["key", "digest"], "left_semi"))
+    if not chosen.isEmpty():
+        edges.append(work.table(_linked(_cells(chosen, full, "sig", "items"), banding)))
         roots = components(reduce(DataFrame.union, edges), work)
-    out = work.table(roots)
-    return out
+    return work.table(roots)
