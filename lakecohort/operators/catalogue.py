@@ -70,10 +70,10 @@ def deidentified_names(name: Column, phi_type: Column, suggested: Column) -> Col
     )
 
 
-def search(variables: DataFrame, query: str, limit: int = 12, name: str = "variable_name", description: str = "description", form: str = "form_name") -> DataFrame:
-    """The best variables for a query: by score, then shorter, then earlier names."""
+def search(variables: DataFrame, query: str, limit: int = 12, name: str = "variable_name", description: str = "description", form: str = "form_name", tie: str | None = None) -> DataFrame:
+    """The best variables for a query: by score, then shorter, then earlier names, then by the column tie."""
     scored = variables.withColumn("score", text.variable_score(query, F.col(name), F.col(description), F.col(form)))
-    return rows.top(scored, "score", limit, F.length(name), F.col(name))
+    return rows.top(scored, "score", limit, F.length(name), F.col(name), *([F.col(tie)] if tie else []))
 
 
 @F.pandas_udf("double")

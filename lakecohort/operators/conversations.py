@@ -11,7 +11,7 @@ ROW = r"\|"
 
 def cells(line: Column) -> Column:
     """The trimmed cells of a table line, without outer bars."""
-    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
 
 
 def markdown_tables(messages: DataFrame, key: str, text: str) -> DataFrame:
