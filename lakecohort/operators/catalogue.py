@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakecohort.functions import text
 
@@ -76,7 +77,7 @@ def search(variables: DataFrame, query: str, limit: int = 12, name: str = "varia
     return rows.top(scored, "score", limit, F.length(name), F.col(name), *([F.col(tie)] if tie else []))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, of which Spark has no form."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 TABULAR = (".xlsx", ".csv")
 JUNK = (".DS_Store", "Thumbs.db", "desktop.ini", ".gitkeep")
-FORM = T.StructType.fromDDL(
+FORM = (
     "form_name string, source_pdf string, version string, summary string, "
     "sections map<string, struct<context: string, variables: array<string>>>, "
     "variables map<string, struct<description: string, values: map<string, string>, depends_on: string, condition: string, section_context: string>>"
