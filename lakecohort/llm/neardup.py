@@ -4,7 +4,7 @@ A unit is a text with a set of word shingles. Units with one set form a class, k
 copies are never expanded into pairs. Classes are banded by MinHash; a class goes through three rounds of candidates:
 
 1. each class of a bucket with the bucket's smallest class,
-2. in buckets that still hold several components, each class with one class that the bucket draws by a hash, twice,
+2. in buckets that still hold several components, each class with one class that the bucket draws by a hash,
 3. in what is left, all pairs of different components that signatures allow, verified where they are found.
 
 The first two make as many pairs as a bucket has classes, and leave little of a group of near copies to the third; a link
@@ -32,7 +32,7 @@ BITS = 1 << 24
 #: Classes of one cell of a large bucket.
 CELL = 512
 #: Rounds in which a bucket draws a class.
-DRAWS = 2
+DRAWS = 1
 
 
 @dataclass(frozen=True)
@@ -65,17 +65,21 @@ class Banding:
         return out
 
 
-def signature(hashes: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
-    """The smallest value of each hash function over a set that is not empty."""
-    low = np.full(len(coefficients), 2**32 - 1, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        h = hashes[at : at + 2048, None] * coefficients[None, :]
-        low = np.minimum(low, (h >> np.uint64(32)).min(axis=0))
-    return low.astype(np.uint32)
+def signatures(sets: list[np.ndarray], coefficients: np.ndarray) -> np.ndarray:
+    """A row for each set, which must not be empty: its smallest value of each hash function."""
+    if not sets:
+        return np.empty((0, len(coefficients)), np.uint32)
+    out = np.empty((len(sets), len(coefficients)), np.uint32)
+    hashes = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    for k, c in enumerate(coefficients):
+        out[:, k] = np.minimum.reduceat(hashes * c >> np.uint64(32), starts)
+    return out
 
 
-def band_keys(sig: np.ndarray, banding: Banding) -> np.ndarray:
-    keys = textkit.combine(sig.astype(np.uint64).reshape(banding.bands, banding.rows))
+def band_keys(sigs: np.ndarray, banding: Banding) -> np.ndarray:
+    """A row of keys for each signature."""
+    keys = textkit.combine(sigs.astype(np.uint64).reshape(len(sigs), banding.bands, banding.rows))
     return textkit.mix(keys + np.arange(1, banding.bands + 1, dtype=np.uint64)).view(np.int64)
 
 
@@ -105,9 +109,14 @@ class Prefilter:
 
 
 def _sets(column: pa.Array):
+    """The sets of the texts, in lists of a bounded number of bytes."""
     column = common.strings(column)
     for a, b in common.byte_slices(column, textkit.SLICE_BYTES):
-        yield from textkit.shingle_sets(textkit.words(*common.text_buffer(column.slice(a, b - a))))
+        yield textkit.shingle_sets(textkit.words(*common.text_buffer(column.slice(a, b - a))))
+
+
+def _digest(items: np.ndarray) -> bytes:
+    return blake2b(items.tobytes(), digest_size=16).digest()
 
 
 def sketches(units: DataFrame, keys: list[str], text: str, banding: Banding | None) -> DataFrame:
@@ -120,10 +129,14 @@ def sketches(units: DataFrame, keys: list[str], text: str, banding: Banding | No
         a = banding.coefficients() if banding else None
         for b in batches:
             n, digests, bands = [], [], []
-            for s in _sets(b.column(b.num_columns - 1)):
-                n.append(len(s))
-                digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(signature(s, a), banding) if banding and len(s) else None)
+            for sets in _sets(b.column(b.num_columns - 1)):
+                n += map(len, sets)
+                digests += [_digest(s) if len(s) else None for s in sets]
+                if banding:
+                    keys = iter(band_keys(signatures([s for s in sets if len(s)], a), banding))
+                    bands += [next(keys) if len(s) else None for s in sets]
+                else:
+                    bands += [None] * len(sets)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema.fieldNames())
 
     return source.mapInArrow(run, schema)
@@ -136,8 +149,10 @@ def _full(texts: DataFrame, wanted: Prefilter, banding: Banding) -> DataFrame:
         a = banding.coefficients()
         for b in batches:
             chosen = b.column(1).take(pa.array(np.flatnonzero(wanted.passes(b.column(0).to_numpy()))))
-            out = [(blake2b(s.tobytes(), digest_size=16).digest(), signature(s, a).tobytes(), s.tobytes()) for s in _sets(chosen) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*out) if out else [[]] * 3)], ["digest", "sig", "items"])
+            for sets in _sets(chosen):
+                sets = [s for s in sets if len(s)]
+                sigs = signatures(sets, a)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (map(_digest, sets), [x.tobytes() for x in sigs], [s.tobytes() for s in sets])], ["digest", "sig", "items"])
 
     return texts.mapInArrow(run, "digest binary, sig binary, items binary")
 
@@ -196,20 +211,20 @@ def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
 
     Large and small stars in turn until nothing changes; every step joins on the node, so a hub is never gathered.
     """
-    edges = work.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges, kept = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        stars = work.table(small.select("e.u", "e.v").filter("u != v").distinct())
+        edges = work.table(small.select("e.u", "e.v").filter("u != v").distinct())
+        if kept is not None:
+            work.drop(kept)
+        kept = edges
         # stars: each node has one edge, and no root has one
-        n, nodes = stars.agg(F.count("*"), F.count_distinct("u")).first()
-        done = n == nodes and stars.select("u").join(stars.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
-        work.drop(edges)
-        edges = stars
-        if done:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
             return edges.select(F.col("u").alias("digest"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("digest"), F.col("v").alias("root")).distinct())
 
 
