@@ -58,6 +58,11 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """df with columns 0, 1, ...: Arrow functions take columns by name, and names may clash."""
+    return df.toDF(*map(str, range(len(df.columns))))
+
+
 def held_out(doc_id: str, modulus: int) -> F.Column:
     """True where crc32(id as text) mod modulus is 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == 2, F.lit(False))

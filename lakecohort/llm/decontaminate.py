@@ -189,7 +189,7 @@ def search(index: Index, column: pa.Array, threshold: float = THRESHOLD, overlap
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """docs with leaks, an array of (item_id, overlap, score) of the items found in the text."""
+    """docs with leaks (in place of a column of that name), an array of (item_id, overlap, score) of the items found in the text."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-size // index_bytes))
@@ -222,7 +222,8 @@ def _search(docs: DataFrame, index, text: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no test item."""
-    return find(docs, benchmark, **options).filter(F.size("leaks") == 0).drop("leaks")
+    named = docs.withColumnsRenamed({"leaks": "leaks of the input"})
+    return find(named, benchmark, **options).filter(F.size("leaks") == 0).drop("leaks").withColumnsRenamed({"leaks of the input": "leaks"})
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -271,8 +271,8 @@ def extract(html: str | None) -> str:
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all but html, if None) with text and n_chars."""
-    keep = [c for c in pages.columns if c != html] if keep is None else keep
+    """The columns ``keep`` (all but html, if None) with text and n_chars, which replace columns of these names."""
+    keep = [c for c in (pages.columns if keep is None else keep) if c not in (html, "text", "n_chars")]
     source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html).alias("__html"))
     schema = pages.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
@@ -281,7 +281,7 @@ def main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = Non
             texts = [extract(x.as_py()) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return common.positional(source).mapInArrow(run, schema)
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:

@@ -99,8 +99,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Classifier:
 
 
 def identify(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, if None) with lang_pred, lang_score and lang_rejected. The model's size is bounded by the sample."""
-    keep = docs.columns if keep is None else keep
+    """The columns ``keep`` (all, if None) with lang_pred, lang_score and lang_rejected, which replace columns of these names. The model's size is bounded by the sample."""
+    made = ("lang_pred", "lang_score", "lang_rejected")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(False).alias("lang_rejected")).schema
 
@@ -111,7 +112,7 @@ def identify(docs: DataFrame, model: Classifier, text: str = "text", keep: list[
             columns += [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return common.positional(source).mapInArrow(run, schema)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

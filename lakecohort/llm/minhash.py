@@ -45,18 +45,19 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", band
     decided = work.table(decide(docs, doc_id, text, banding, work))
     gone = decided.filter("not kept").select("doc_id", "h")
     lost = neardup.Prefilter(gone.select(F.xxhash64("doc_id", "h").alias("x")), "x")
-    named = docs.withColumns({"__id": F.col(doc_id), "__h": F.xxhash64(text)}).withColumn("__maybe", lost.column(F.xxhash64("__id", "__h")))
-    gone = gone.distinct().select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h"))
-    checked = named.filter("__maybe").join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__h") == F.col("__gone_h")), "left_anti")
-    out = named.filter("not __maybe").unionByName(checked)
+    # the row in one column, so that no name can clash
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
+    named = named.withColumn("maybe", lost.column(F.xxhash64("id", "h")))
+    gone = gone.distinct().select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
+    checked = named.filter("maybe").join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    out = named.filter("not maybe").unionByName(checked)
     twice = work.table(decided.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if twice.isEmpty():
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        return out.select("doc.*")
     again = neardup.Prefilter(twice.select(F.xxhash64("doc_id").alias("x")), "x")
-    out = out.withColumn("__again", again.column(F.xxhash64("__id")))
-    once = out.filter("not __again").select(*[F.col(f"`{c}`") for c in docs.columns])
-    first = out.filter("__again").groupBy("__id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("x")).select("x.*")
-    return once.unionByName(first)
+    out = out.withColumn("again", again.column(F.xxhash64("id")))
+    first = out.filter("again").groupBy("id").agg(F.min("doc").alias("doc"))
+    return out.filter("not again").select("doc").unionByName(first.select("doc")).select("doc.*")
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

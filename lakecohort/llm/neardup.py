@@ -139,7 +139,7 @@ def sketches(units: DataFrame, keys: list[str], text: str, banding: Banding | No
                     bands += [None] * len(sets)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return common.positional(source).mapInArrow(run, schema)
 
 
 def _full(texts: DataFrame, wanted: Prefilter, banding: Banding) -> DataFrame:

@@ -55,24 +55,29 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     """docs with the text after the cuts, and removed_places (null: none) and removed_words."""
     work = common.Workspace(docs.sparkSession, "paragraphs")
     places = work.table(repeated(docs, work, doc_id, text, min_words, banding))
-    named = docs.withColumn("__row", row_key(doc_id, text))
+    # the row in one column, so that no name can clash
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(doc_id, text).alias("row"))
     touched = neardup.Prefilter(places.select(F.xxhash64("row").alias("h")), "h")
-    named = named.withColumn("__cut", touched.column(F.xxhash64("__row")))
-    joined = named.filter("__cut").join(places.select(F.col("row").alias("__row"), F.col("places").alias("__places")), "__row", "left")
-    rest = named.filter("not __cut").withColumn("__places", F.lit(None).cast("array<int>"))
+    named = named.withColumn("cut", touched.column(F.xxhash64("row")))
+    joined = named.filter("cut").join(places, "row", "left")
+    rest = named.filter("not cut").withColumn("places", F.lit(None).cast("array<int>"))
     return cut_out(rest.unionByName(joined), docs.columns, text)
 
 
 def cut_out(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
-    parts = F.split(F.col(text), "\n")
-    kept = F.filter(parts, lambda line, i: ~F.array_contains("__places", i))
-    lost = F.filter(parts, lambda line, i: F.array_contains("__places", i))
+    """The columns of doc after the cuts at places, with removed_places and removed_words in place of columns of these names."""
+    whole = F.col("doc").getField(text)
+    parts = F.split(whole, "\n")
+    kept = F.filter(parts, lambda line, i: ~F.array_contains("places", i))
+    lost = F.filter(parts, lambda line, i: F.array_contains("places", i))
     words = F.size(F.filter(F.split(F.array_join(lost, " "), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    none = F.col("__places").isNull()
-    return docs.select(
-        *[F.when(none, F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(f"`{c}`") for c in columns],
-        F.col("__places").alias("removed_places"),
-        F.when(none, 0).otherwise(words).cast("long").alias("removed_words"),
+    none = F.col("places").isNull()
+    # in two steps: within lambdas a name would be taken for a column made beside it
+    made = docs.select("doc", "places", F.when(none, whole).otherwise(F.array_join(kept, "\n")).alias("cut_text"), F.when(none, 0).otherwise(words).cast("long").alias("cut_words"))
+    return made.select(
+        *[(F.col("cut_text") if c == text else F.col("doc").getField(c)).alias(c) for c in columns if c not in ("removed_places", "removed_words")],
+        F.col("places").alias("removed_places"),
+        F.col("cut_words").alias("removed_words"),
     )
 
 
