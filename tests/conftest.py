@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     from lakecohort.session import session
 
     s = session(
-        "local[4]",
+        "local[2]",
         **{
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
             "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
