@@ -1,10 +1,13 @@
-"""Substring removal by paragraph MinHash banding.
+"""Substring removal by paragraph MinHash banding, then of repeated runs of words.
 
 A paragraph is a line of a text. Paragraphs of at least ``min_words`` words are units of the near-duplicate search: their
 classes are banded, colliding ones joined, verified by exact Jaccard similarity of 5-word shingles and clustered by
 components. Of each component the first paragraph (by document, then by place) stays; the others are cut out, in every
 document and within one.
 
+In what is left, passages are looked for whatever the lines: of a run of ``passages.RUN`` words that occurs more than
+once only the first stays, so a passage inside longer lines, over several lines or with other line breaks goes too.
+
 A document keeps its other lines as they are. Where a removed line's neighbours meet they are joined by one line feed.
 
 Defined results: null and empty texts come back as they are; rows with one doc_id are told apart by the hash of their
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, neardup
+from . import common, neardup, passages
 
 #: (1 - 0.75**3)**16 is 0.00016: the share of pairs at the threshold that no band brings together.
 BANDING = neardup.Banding(bands=16, rows=3)
@@ -52,28 +55,40 @@ def repeated(docs: DataFrame, work: common.Workspace, doc_id: str, text: str, mi
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, banding: neardup.Banding = BANDING) -> DataFrame:
-    """docs with the text after the cuts, and removed_places (null: none) and removed_words."""
+    """docs with the text after the cuts, and removed_places (lines; null: none) and removed_words (in lines and in passages)."""
     work = common.Workspace(docs.sparkSession, "paragraphs")
-    places = work.table(repeated(docs, work, doc_id, text, min_words, banding))
     # the row in one column, so that no name can clash
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(doc_id, text).alias("row"))
-    touched = neardup.Prefilter(places.select(F.xxhash64("row").alias("h")), "h")
+    by_line = work.table(cut_lines(marked(named, work.table(repeated(docs, work, doc_id, text, min_words, banding)), "places"), text))
+    runs = work.table(passages.repeated(by_line.select("row", "text"), work))
+    return cut_runs(marked(by_line, runs, "starts"), docs.columns, text)
+
+
+def marked(named: DataFrame, cuts: DataFrame, column: str) -> DataFrame:
+    """named with the column of cuts of the same row (null: none); only rows that a prefilter can't clear go through the join."""
+    touched = neardup.Prefilter(cuts.select(F.xxhash64("row").alias("h")), "h")
     named = named.withColumn("cut", touched.column(F.xxhash64("row")))
-    joined = named.filter("cut").join(places, "row", "left")
-    rest = named.filter("not cut").withColumn("places", F.lit(None).cast("array<int>"))
-    return cut_out(rest.unionByName(joined), docs.columns, text)
+    # compared field by field, as doc_id may be null
+    cuts = cuts.select(F.col("row").alias("cut_row"), column)
+    joined = named.filter("cut").join(cuts, F.col("row").eqNullSafe(F.col("cut_row")), "left").drop("cut_row")
+    rest = named.filter("not cut").withColumn(column, F.lit(None).cast("array<int>"))
+    return rest.unionByName(joined).drop("cut")
 
 
-def cut_out(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The columns of doc after the cuts at places, with removed_places and removed_words in place of columns of these names."""
+def cut_lines(docs: DataFrame, text: str) -> DataFrame:
+    """doc, row, the text after the cuts at places, places and how many words went."""
     whole = F.col("doc").getField(text)
     parts = F.split(whole, "\n")
     kept = F.filter(parts, lambda line, i: ~F.array_contains("places", i))
     lost = F.filter(parts, lambda line, i: F.array_contains("places", i))
     words = F.size(F.filter(F.split(F.array_join(lost, " "), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
     none = F.col("places").isNull()
-    # in two steps: within lambdas a name would be taken for a column made beside it
-    made = docs.select("doc", "places", F.when(none, whole).otherwise(F.array_join(kept, "\n")).alias("cut_text"), F.when(none, 0).otherwise(words).cast("long").alias("cut_words"))
+    return docs.select("doc", "row", F.when(none, whole).otherwise(F.array_join(kept, "\n")).alias("text"), "places", F.when(none, 0).otherwise(words).cast("long").alias("words"))
+
+
+def cut_runs(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns of doc after the cuts of runs, with removed_places and removed_words in place of columns of these names."""
+    made = docs.select("doc", "places", passages.cut_text("text", "starts").alias("cut_text"), (F.col("words") + passages.cut_words("starts")).alias("cut_words"))
     return made.select(
         *[(F.col("cut_text") if c == text else F.col("doc").getField(c)).alias(c) for c in columns if c not in ("removed_places", "removed_words")],
         F.col("places").alias("removed_places"),

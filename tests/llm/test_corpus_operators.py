@@ -123,6 +123,33 @@ def test_passages_against_all_pairs(spark):
     assert paragraphs.remove(docs.limit(0)).count() == 0
 
 
+def test_passages_are_found_whatever_the_lines(spark):
+    rng = np.random.default_rng(12)
+    make = lambda n: " ".join(rng.choice([f"z{i}" for i in range(3000)], n))
+    broken = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    inside, rewrapped, short, least, less = make(60), make(120), make(70), make(50), make(49)
+    rows = [(1, f"{make(23)}\n{make(80)} {inside} {make(20)}"), (2, f"{make(200)} é {inside.upper()} {make(40)}"), (3, broken(rewrapped, 40)), (4, make(9) + " " + broken(rewrapped, 33))]
+    rows += [(5, broken(short, 7)), (6, broken(f"{make(30)} {short} {make(30)}", 8)), (7, f"{make(30)} {least} {make(90)} {least} tail"), (8, f"{make(60)} {less} {make(60)}"), (9, f"{make(60)} {less} {make(60)}")]
+    rows += [(None, f"{make(100)} {inside}"), (None, "short"), (10, None)]
+    got = {r["doc_id"] if r["text"] != "short" else "short": r for r in paragraphs.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    words = lambda t: t.lower().split()
+    seen, wanted = set(), {}
+    for d, t in [r for r in rows if r[0] is not None and r[1]] + [r for r in rows if r[0] is None and r[1] != "short"]:
+        w = words(t)
+        cut = set()
+        for i in range(len(w) - 49):
+            run = tuple(w[i : i + 50])
+            if run in seen:
+                cut |= set(range(i, i + 50))
+            seen.add(run)
+        wanted[d] = [x for i, x in enumerate(w) if i not in cut], len(cut)
+    assert {d for d, (_, n) in wanted.items() if n} == {2, 4, 6, 7, None}
+    for d, (kept, n) in wanted.items():
+        assert words(got[d]["text"]) == kept and got[d]["removed_words"] == n
+    assert got[1]["text"] == rows[0][1] and got[8]["text"] == rows[7][1] and got[10]["text"] is None
+
+
 def test_items_are_found_and_clean_texts_left(spark):
     rng = np.random.default_rng(9)
     make = lambda n: " ".join(rng.choice([f"k{i}" for i in range(700)], n))
