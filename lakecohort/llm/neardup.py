@@ -43,7 +43,7 @@ class Banding:
     rows: int = 4
     percent: int = 75
     #: Probability at which a pair of the wanted similarity may be pruned by its signature.
-    miss: float = 1e-4
+    miss: float = 1e-6
     batch: int = 16
 
     @property

@@ -77,6 +77,19 @@ def test_floors_hold_the_miss_probability():
         assert below < 5 * b.miss
 
 
+def test_pruning_over_all_batches_hardly_loses_a_pair_at_the_threshold():
+    for banding in (minhash.BANDING, paragraphs.BANDING):
+        live, at, lost = {0: 1.0}, 0, 0.0
+        for n, need in banding.floors():
+            now: Counter = Counter()
+            for m, p in live.items():
+                for k in range(n - at + 1):
+                    now[m + k] += p * math.comb(n - at, k) * 0.75**k * 0.25 ** (n - at - k)
+            lost += sum(p for m, p in now.items() if m < need)
+            live, at = {m: p for m, p in now.items() if m >= need}, n
+        assert lost < 1e-5
+
+
 def test_documents_against_all_pairs(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("h", F.lit(1)).repartition(3)
     got = {r["doc_id"]: r for r in minhash.deduplicate(docs).collect()}
