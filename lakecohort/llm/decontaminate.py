@@ -6,7 +6,7 @@ query. Impacts are BM25 weights as shares of what an entry scores against itself
 length. A window is skipped if the largest impacts of its terms don't reach the threshold; then blocks of entries are
 skipped by the terms' largest impacts in the block; what remains is scored in full. All entries above the threshold are
 retrieved and verified: the share of the entry's word 5-grams that the window holds. A document is contaminated by an
-item if the parts found hold half of the item's 5-grams at least.
+item if the parts found of one of the item's rows hold half of that row's 5-grams at least.
 
 Words are runs of letters, digits and bytes above 127, A-Z lower-cased, so punctuation and case don't hide a passage.
 
@@ -58,8 +58,8 @@ def _hashed(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    items: np.ndarray  # of each entry, the number of its item
-    ids: list  # item ids by number
+    items: np.ndarray  # of each entry, the number of its row of the benchmark
+    ids: list  # item ids by number of the row
     grams: list[np.ndarray]
     vocabulary: np.ndarray
     top: np.ndarray  # largest impact of each term
@@ -73,11 +73,12 @@ class Index:
 
 def build(rows: list[tuple[object, str]]) -> Index | None:
     """The index of (item id, text); None if no item has a word."""
-    ids, numbers, items, parts = [], {}, [], []
+    ids, items, parts = [], [], []
     for key, text in rows:
         if key is None or not text:
             continue
-        number = numbers.setdefault(key, len(numbers))
+        number = len(ids)
+        ids.append(key)
         question, _, answer = text.strip().partition("\n")
         sides = [_hashed(question), _hashed(answer)]
         if min(map(len, sides)) < SHORTEST:
@@ -88,7 +89,6 @@ def build(rows: list[tuple[object, str]]) -> Index | None:
                 if len(piece):
                     items.append(number)
                     parts.append(piece)
-    ids = list(numbers)
     if not parts:
         return None
     vocabulary, term = np.unique(np.concatenate(parts), return_inverse=True)
@@ -184,7 +184,12 @@ def search(index: Index, column: pa.Array, threshold: float = THRESHOLD, overlap
                 x = items.setdefault(int(index.items[entry]), [0.0, 0.0])
                 x[0] += share * len(index.grams[entry])
                 x[1] = max(x[1], score)
-            out.append([(index.ids[i], grams / gram_total[i], score) for i, (grams, score) in sorted(items.items()) if 2 * grams >= gram_total[i]])
+            best: dict[object, list[float]] = {}  # by item id, of its rows that are found
+            for i, (grams, score) in sorted(items.items()):
+                if 2 * grams >= gram_total[i]:
+                    x = best.setdefault(index.ids[i], [0.0, 0.0])
+                    best[index.ids[i]] = [max(x[0], float(grams / gram_total[i])), max(x[1], score)]
+            out.append([(key, share, score) for key, (share, score) in best.items()])
     return out
 
 

@@ -302,3 +302,14 @@ def test_pipeline_stages(spark):
         ids, docs = now, out
     packed = corpus_pipeline.STAGES[4][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
+
+
+def test_rows_of_one_item_are_judged_each_on_its_own(spark):
+    rng = np.random.default_rng(21)
+    make = lambda n: " ".join(rng.choice([f"q{i}" for i in range(900)], n))
+    versions = [make(30) for _ in range(4)]
+    items = spark.createDataFrame([(7, t) for t in versions] + [(7, versions[0]), (8, make(30))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{make(50)} {versions[2]} {make(50)}"), (2, make(120)), (3, f"{versions[0]} {versions[1]}")], "doc_id long, text string")
+    for index_bytes in (decontaminate.INDEX_BYTES, 200):
+        got = {r["doc_id"]: [(x["item_id"], x["overlap"]) for x in r["leaks"]] for r in decontaminate.find(docs, items, index_bytes=index_bytes).collect()}
+        assert got == {1: [(7, 1.0)], 2: [], 3: [(7, 1.0)]}
