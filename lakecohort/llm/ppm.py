@@ -7,10 +7,12 @@ byte seen goes to it) and the next shorter context codes it, without the bytes t
 the empty context all 256 values are alike. The score of a document is the sum of log10 probabilities, pretrained: it
 doesn't learn from the text that it scores.
 
-All training bytes are counted. The trie that scores keeps, whole, each context that makes up at least one in ``SHARE``
-of the training bytes, so no order has more than SHARE contexts whatever the corpus: that bounds what is broadcast.
-After rarer contexts shorter ones code. Word counts for the base score aren't broadcast but joined; only words that
-make up at least 1/FREQUENT of the training words, at most FREQUENT of them, are looked up where the text is.
+All training bytes are counted and every context codes, whatever the size of the corpus. The score of a byte follows from
+itself and the ORDER bytes before it, its key. Keys that occurred in training get theirs from the counts of their context;
+other keys, which only held-out documents have, climb the shorter contexts by joins on the context. Keys that make up at
+least one in ``SHARE`` of the bytes, at most SHARE of them, are broadcast with their scores and looked up where the text
+is; the others are joined. So are word counts for the base score: only words that make up at least 1/FREQUENT of the
+training words are broadcast. SHARE and FREQUENT decide where a key meets its score, not what the score is.
 
 Words are known by 64-bit hashes. Defined results: null and empty texts are a single end; rows with one doc_id are
 scored each on its own; a null doc_id is training data; without any training document all counts are 0.
@@ -122,7 +124,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Contexts by order, sorted; of each the totals T and kinds u, and the same of its parent without its own bytes."""
+    """The scores of key_scores in one process, for tests. Contexts by order, sorted; of each the totals T and kinds u, and the same of its parent without its own bytes."""
 
     def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]]):
         """pairs: of each order, sorted keys (context and byte) and counts."""
@@ -170,25 +172,46 @@ class Trie:
         return out
 
 
-def fit(counts: DataFrame, work: common.Workspace, order: int = ORDER, share: int = SHARE) -> Trie:
-    """The trie from the written counts of the highest order."""
-    level = counts.filter(F.col("kind") == CONTEXT).select("key", "n")
-    size = level.agg(F.sum("n")).first()[0] or 0
-    floor = max(1, -(-size // share))
-    pairs = []
-    for d in range(order, -1, -1):
-        if d < order:
-            level = work.table(level.groupBy(F.col("key").bitwiseAND(F.lit(int(mask(d + 1)))).alias("key")).agg(F.sum("n").alias("n")))
-        context = F.shiftright("key", 8).alias("context")
-        common_contexts = level.groupBy(context).agg(F.sum("n").alias("total")).filter(F.col("total") >= floor)
-        kept = level.withColumn("context", context).join(common_contexts, "context", "left_semi").select("key", "n").toArrow()  # share contexts at most
-        keys, n = kept["key"].to_numpy().view(np.uint64), kept["n"].to_numpy()
-        at = np.argsort(keys)
-        pairs.append((keys[at], n[at]))
-    return Trie(pairs[::-1])
+def _by_row(rows: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, name) and how often each occurs."""
+    order = np.lexsort((names, rows))
+    r, h = rows[order], names[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(r)), bool), (r[1:] != r[:-1]) | (h[1:] != h[:-1]))))
+    return r[new], h[new], np.diff(np.append(new, len(r))).astype(np.int32)
+
 
+def contexts(level: DataFrame) -> DataFrame:
+    """context, seen (how often each byte followed: 256 entries at most) and total, from the counts of keys."""
+    byte = F.col("key").bitwiseAND(F.lit(255)).cast("int")
+    return level.groupBy(F.shiftright("key", 8).alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(byte, "n"))).alias("seen"), F.sum("n").alias("total"))
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: F.Column | None = None) -> DataFrame:
+
+def key_scores(train: DataFrame, other: DataFrame, work: common.Workspace, order: int = ORDER) -> DataFrame:
+    """key, n (how often it occurs) and s (log10 probability) of the keys of training (train: key, n) and of the other texts."""
+    level = work.table(contexts(train))
+    hits = level.select("context", "total", F.explode("seen").alias("byte", "n")).select(F.shiftleft("context", 8).bitwiseOR(F.col("byte").cast("long")).alias("key"), "n", F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("s"))
+    # out: bytes that a longer context has ruled out; each longer context's bytes are also seen in the shorter ones
+    state = other.join(train.select("key"), "key", "left_anti").select("key", "n", F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("out"), F.lit(False).alias("done"))
+    counts = train
+    for d in range(order, -1, -1):
+        if d < order:
+            counts = work.table(counts.groupBy(F.col("key").bitwiseAND(F.lit(int(mask(d + 1)))).alias("key")).agg(F.sum("n").alias("n")))
+            level = contexts(counts)
+        level = F.broadcast(level) if d < 2 else level  # 256 contexts at most
+        at = F.shiftright(F.col("key").bitwiseAND(F.lit(int(mask(d + 1)))), 8)
+        both = state.withColumn("context", at).join(level, "context", "left")
+        byte = F.col("key").bitwiseAND(F.lit(255)).cast("int")
+        both = both.withColumn("left", F.map_filter("seen", lambda k, v: ~F.array_contains("out", k))).withColumn("c", F.try_element_at("left", byte))
+        both = both.withColumn("room", 2.0 * F.aggregate(F.map_values("left"), F.lit(0).cast("long"), lambda x, v: x + v))
+        # nothing is coded where training lacks the context or where it has nothing left
+        coded = ~F.col("done") & F.coalesce(F.col("room") > 0, F.lit(False))
+        step = F.when(coded & F.col("c").isNotNull(), F.log10((2 * F.col("c") - 1) / F.col("room"))).when(coded, F.log10(F.size("left") / F.col("room"))).otherwise(0.0)
+        state = both.select("key", "n", (F.col("s") + step).alias("s"), F.when(F.col("done") | F.col("seen").isNull(), F.col("out")).otherwise(F.map_keys("seen")).alias("out"), (F.col("done") | (coded & F.col("c").isNotNull())).alias("done"))
+    last = F.log10(F.greatest(F.lit(1), 256 - F.size("out")).cast("double"))
+    return hits.union(state.select("key", "n", F.when(F.col("done"), F.col("s")).otherwise(F.col("s") - last).alias("s")))
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: F.Column | None = None, share: int = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; training rows aren't held out."""
     spark = docs.sparkSession
     work = common.Workspace(spark, "ppm")
@@ -201,12 +224,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     frequent = words.filter(F.col("c") * FREQUENT >= train).toArrow()  # FREQUENT rows at most
     names, often = frequent["h"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
     at = np.argsort(names)
-    model = spark.sparkContext.broadcast((fit(counts, work), names[at], often[at]))
+    keys = counts.filter(F.col("kind") == CONTEXT).select("key", "n")
+    other = counted(source.filter("coalesce(held_out, true)").select("text")).filter(F.col("kind") == CONTEXT).select("key", "n")
+    scored = work.table(key_scores(keys, other, work))
+    size = scored.agg(F.sum("n")).first()[0] or 0
+    often_seen = F.col("n") * share >= size
+    near_keys = scored.filter(often_seen).select("key", "s").toArrow()  # share rows at most
+    known_keys, known_scores = near_keys["key"].to_numpy().view(np.uint64), near_keys["s"].to_numpy()
+    by = np.argsort(known_keys)
+    model = spark.sparkContext.broadcast((known_keys[by], known_scores[by], names[at], often[at]))
+    far_values = words.select(F.lit(WORD).alias("kind"), "h", F.col("c").cast("double").alias("c")).union(scored.filter(~often_seen).select(F.lit(CONTEXT), "key", "s"))
     kind = source.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), *T._parse_datatype_string("held_out boolean, n_tokens long, score double, sum double, known long, h long, tf int").fields])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), *T._parse_datatype_string("held_out boolean, n_tokens long, score double, sum double, known long, kind int, h long, tf int").fields])
 
     def run(batches):
-        trie, names, often = model.value
+        known_keys, known_scores, names, often = model.value
         logs = np.log10(often + 1.0)
         number = TaskContext.get().partitionId() << 40
         for b in batches:
@@ -214,7 +246,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
                 n = len(w.first) - 1
                 keys, owner = stream(w)
                 each, inverse = np.unique(keys, return_inverse=True)
-                scores = np.bincount(owner, trie.score(each)[inverse], n)
+                place = np.minimum(np.searchsorted(known_keys, each), max(len(known_keys) - 1, 0))
+                there = known_keys[place] == each if len(known_keys) else np.zeros(len(each), bool)
+                values = np.where(there, known_scores[place], 0.0) if len(known_keys) else np.zeros(len(each))
+                scores = np.bincount(owner, values[inverse], n)
                 hashes = np.concatenate((w.hashes, np.full(n, END_WORD)))
                 rows = np.concatenate((w.row, np.arange(n)))
                 at = np.minimum(np.searchsorted(names, hashes), max(len(names) - 1, 0))
@@ -224,31 +259,30 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
                 tokens = np.bincount(rows, minlength=n)
                 ids = number + np.arange(n)
                 number += n
-                # the other words go to where their counts are
-                far = np.flatnonzero(~near)
-                order = far[np.lexsort((hashes[far], rows[far]))]
-                r, h = rows[order], hashes[order]
-                new = np.flatnonzero(np.concatenate((np.ones(min(1, len(r)), bool), (r[1:] != r[:-1]) | (h[1:] != h[:-1]))))
-                tf = np.diff(np.append(new, len(r))).astype(np.int32)
+                # the other keys and words go to where their scores and counts are
+                far, apart = np.flatnonzero(~near), np.flatnonzero(~there[inverse])
+                parts = [(kind, *_by_row(r, h)) for kind, r, h in ((WORD, rows[far], hashes[far]), (CONTEXT, owner[apart], keys[apart]))]
                 # a row of each document, of no word: dealt out by its number
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(tokens), pa.array(scores), pa.array(sums), pa.array(known), pa.array(textkit.mix(ids.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int32))],
+                    [pa.array(ids), b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(tokens), pa.array(scores), pa.array(sums), pa.array(known), pa.array(np.full(n, WORD, np.int32)), pa.array(textkit.mix(ids.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int32))],
                     schema.fieldNames(),
                 )
-                for at in range(0, len(new), 1 << 16):
-                    some = new[at : at + (1 << 16)]
-                    k = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[r[some]]), pa.nulls(k, b.column(0).type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64()), pa.array(h[some].view(np.int64)), pa.array(tf[at : at + k])],
-                        schema.fieldNames(),
-                    )
-
-    found = source.mapInArrow(run, schema).join(words, "h", "left")
-    c, tf = F.coalesce("c", F.lit(0)), F.col("tf")
+                for code, r, h, tf in parts:
+                    for at in range(0, len(r), 1 << 16):
+                        some = slice(at, at + (1 << 16))
+                        k = len(r[some])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[r[some]]), pa.nulls(k, b.column(0).type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, code, np.int32)), pa.array(h[some].view(np.int64)), pa.array(tf[some])],
+                            schema.fieldNames(),
+                        )
+
+    found = source.mapInArrow(run, schema).join(far_values, ["kind", "h"], "left")
+    c, tf, word = F.coalesce("c", F.lit(0.0)), F.col("tf"), F.col("kind") == WORD
     whole = found.groupBy("row").agg(
-        *[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "score")],
-        (F.max("sum") + F.sum(tf * F.log10(c + 1.0))).alias("sum"),
-        (F.max("known") + F.sum(F.when(c > 0, tf).otherwise(0))).alias("n_known"),
+        *[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens")],
+        (F.max("score") + F.sum(F.when(~word, tf * c).otherwise(0.0))).alias("score"),
+        (F.max("sum") + F.sum(F.when(word, tf * F.log10(c + 1.0)).otherwise(0.0))).alias("sum"),
+        (F.max("known") + F.sum(F.when(word & (c > 0), tf).otherwise(0))).alias("n_known"),
     )
     least = math.log10(train + kinds + 1)
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), (F.col("sum") - F.col("n_tokens") * least).alias("base_score"), "score")

@@ -313,3 +313,14 @@ def test_rows_of_one_item_are_judged_each_on_its_own(spark):
     for index_bytes in (decontaminate.INDEX_BYTES, 200):
         got = {r["doc_id"]: [(x["item_id"], x["overlap"]) for x in r["leaks"]] for r in decontaminate.find(docs, items, index_bytes=index_bytes).collect()}
         assert got == {1: [(7, 1.0)], 2: [], 3: [(7, 1.0)]}
+
+
+@pytest.mark.parametrize("share", [ppm.SHARE, 50, 1])
+def test_scores_keep_rare_contexts_whatever_the_share(spark, share):
+    rng = np.random.default_rng(16)
+    make = lambda n: " ".join(rng.choice(["the", "cat", "Sat", "on", "mats", "é", "x1"], n))
+    rows = [(i, make(int(rng.integers(0, 12)))) for i in range(40)] + [(100, None), (102, "zebra qu"), (103, "qu\x01 Zebras the cab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ppm.score(docs, held_out=F.col("doc_id") % 4 == 3, share=share).collect()
+    train = [t for d, t in rows if d % 4 != 3]
+    assert {r["doc_id"]: round(r["score"], 6) for r in got} == {d: round(plain_ppm(train, t, ppm.ORDER), 6) for d, t in rows}
