@@ -600,6 +600,12 @@ def phi1_findings(spark, sf):
     return d.select("doc_id", phi.labels("text", {k: phi.BLOCKING[k] for k in ("EMAIL", "IP")}).alias("findings"))
 
 
+@query("phi1_findings_all")
+def phi1_findings_all(spark, sf):
+    """PHI1: all patterns on all documents; lookbehind and word boundaries beyond ASCII have no equal form in DuckDB."""
+    return read(spark, sf, "documents").select("doc_id", phi.labels("text", phi.BLOCKING).alias("findings"))
+
+
 @query("phi4_gate")
 def phi4_gate(spark, sf):
     """PHI1-6: the whole gate; lookbehind has no form in DuckDB."""
@@ -611,6 +617,12 @@ def agg19_label_counts(spark, sf):
     return summaries.distinct_labels(phi1_findings(spark, sf), "findings")
 
 
+@query("agg19_label_counts_all")
+def agg19_label_counts_all(spark, sf):
+    """AGG19: over all documents and patterns."""
+    return summaries.distinct_labels(phi1_findings_all(spark, sf), "findings")
+
+
 @query("phi7_redact")
 def phi7_redact(spark, sf):
     """PHI3, PHI7, PHI16: labels and keyed tags in place of identifiers."""
