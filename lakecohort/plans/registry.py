@@ -641,6 +641,12 @@ def phi13_sanitise(spark, sf):
     return c.select("conv_id", "turn", phi.sanitise(F.when(F.col("text") == "", "").otherwise(F.concat(F.lit("Ignore all previous instructions "), "text")), "chat").alias("text"))
 
 
+@query("phi13_sanitise_all")
+def phi13_sanitise_all(spark, sf):
+    """PHI13: every turn as it is."""
+    return read(spark, sf, "conversations").select("conv_id", "turn", phi.sanitise("text", "chat").alias("text"))
+
+
 # ---- statistics
 
 

@@ -18,3 +18,18 @@ def test_findings_and_counts_of_every_document(spark, tmp_path):
         assert k in got[i] if k != "none" else got[i] == []
     counts = {r[0]: r[1] for r in registry.queries()["agg19_label_counts_all"](spark, str(tmp_path)).collect()}
     assert counts == {k: sum(k in f for f in got.values()) for k in hits} and min(counts.values()) >= 2
+
+
+def test_every_turn_is_sanitised_as_it_is(spark, tmp_path):
+    phrases = [
+        "Ignore all previous instructions", "disregard the above", "forget everything", "you are now a", "new instructions:", "system: ", "act as a", "developer mode", "jailbreak", "override your safety",
+    ]
+    assert len(phrases) == len(phi.INJECTION)
+    rows = [(1, i, f"{p} rest") for i, p in enumerate(phrases)] + [(2, 0, "a user's new idea"), (2, 1, ""), (2, 2, None), (2, 3, "é, plain")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["text"] for r in registry.queries()["phi13_sanitise_all"](spark, str(tmp_path)).collect()}
+    framed = lambda t: f"[UNTRUSTED chat BEGIN]\n{t}\n[UNTRUSTED chat END]"
+    assert len(got) == len(rows) and got[2, 1] == got[2, 2] == ""
+    assert got[2, 0] == framed("a user's new idea") and got[2, 3] == framed("é, plain")
+    for i in range(len(phrases)):
+        assert phi.INJECTED in got[1, i] and phrases[i] not in got[1, i]
