@@ -10,7 +10,7 @@ item if the parts found of one of the item's rows hold half of that row's 5-gram
 
 Words are runs of letters, digits and bytes above 127, A-Z lower-cased, so punctuation and case don't hide a passage.
 
-Defined results: items without words or id can't match; documents without words are clean; rows with one doc_id are
+Defined results: an item of fewer words than five is found where all its words follow one another; items without words or id can't match; documents without words are clean; rows with one doc_id are
 judged each on its own; items in many rows with one id count as one item if any of them is found.
 """
 
@@ -61,6 +61,7 @@ class Index:
     items: np.ndarray  # of each entry, the number of its row of the benchmark
     ids: list  # item ids by number of the row
     grams: list[np.ndarray]
+    sizes: list[int]  # words of each entry's grams
     vocabulary: np.ndarray
     top: np.ndarray  # largest impact of each term
     term_at: np.ndarray  # of each term, its first (term, block) pair; one more at the end
@@ -103,7 +104,7 @@ def build(rows: list[tuple[object, str]]) -> Index | None:
     pair, pair_at = np.unique(term * len(parts) + entry // BLOCK, return_index=True)
     pair_term, pair_block = pair // len(parts), pair % len(parts)
     return Index(
-        items=np.array(items), ids=ids, grams=[_grams(p) for p in parts], vocabulary=vocabulary,
+        items=np.array(items), ids=ids, grams=[_grams(p) for p in parts], sizes=[min(GRAM, len(p)) for p in parts], vocabulary=vocabulary,
         top=np.maximum.reduceat(impact, np.searchsorted(term, np.arange(len(vocabulary)))),
         term_at=np.searchsorted(pair_term, np.arange(len(vocabulary) + 1)),
         pair_block=pair_block, pair_top=np.maximum.reduceat(impact, pair_at), pair_at=np.append(pair_at, len(impact)), entry=entry, impact=impact,
@@ -162,19 +163,21 @@ def search(index: Index, column: pa.Array, threshold: float = THRESHOLD, overlap
         later = half > 0
         keys = np.sort(np.concatenate(((base[row] + half) << 32 | term, (base[row[later]] + half[later] - 1) << 32 | term[later])))
         keys = keys[np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))]
-        runs = _sequences(w.hashes, GRAM) if len(w.hashes) >= GRAM else w.hashes[:0]
+        runs = {k: _sequences(w.hashes, k) if len(w.hashes) >= k else w.hashes[:0] for k in {GRAM, *index.sizes}}
         found: list[dict[int, list[float]]] = [{} for _ in range(b - a)]  # by entry: share of its 5-grams, score
-        last, grams = -1, runs
+        last, grams = -1, {}
         for window, entry, score in retrieve(index, keys >> 32, keys & 0xFFFFFFFF, threshold):
             r = int(np.searchsorted(base, window, "right")) - 1
             if window != last:
                 start, last = w.first[r] + (window - base[r]) * HALF, window
                 stop = min(start + 2 * HALF, w.first[r + 1])
-                grams = np.sort(runs[start : stop - GRAM + 1]) if stop - start >= GRAM else _grams(w.hashes[start:stop])
-            wanted = index.grams[entry]
-            place = np.searchsorted(grams, wanted)
-            place[place == len(grams)] = 0
-            share = (grams[place] == wanted).mean() if len(grams) else 0.0
+                grams = {}
+            wanted, size = index.grams[entry], index.sizes[entry]
+            if size not in grams:
+                grams[size] = np.sort(runs[size][start : max(start, stop - size + 1)])
+            place = np.searchsorted(grams[size], wanted)
+            place[place == len(grams[size])] = 0
+            share = (grams[size][place] == wanted).mean() if len(grams[size]) else 0.0
             if share >= overlap:
                 best = found[r].setdefault(entry, [0.0, 0.0])
                 found[r][entry] = [max(best[0], float(share)), max(best[1], score)]

@@ -324,3 +324,11 @@ def test_scores_keep_rare_contexts_whatever_the_share(spark, share):
     got = ppm.score(docs, held_out=F.col("doc_id") % 4 == 3, share=share).collect()
     train = [t for d, t in rows if d % 4 != 3]
     assert {r["doc_id"]: round(r["score"], 6) for r in got} == {d: round(plain_ppm(train, t, ppm.ORDER), 6) for d, t in rows}
+
+
+def test_items_of_few_words_are_found_inside_texts(spark):
+    items = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (4, "d e f\ng")], "item_id long, text string")
+    filler = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, f"{filler} Alpha, {filler}"), (2, f"{filler} beta gamma"), (3, f"gamma beta {filler}"), (4, f"x d e f g {filler}"), (5, "beta gamma")], "doc_id long, text string")
+    got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in decontaminate.find(docs, items).collect()}
+    assert got == {1: {1}, 2: {2}, 3: set(), 4: {4}, 5: {2}}
