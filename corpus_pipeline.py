@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without paragraphs that an earlier one nearly equals; a document with nothing left goes."""
     common.tuned(spark)
-    out = paragraphs.remove(docs.select(*COLUMNS))
+    out = paragraphs.remove(docs.select(*COLUMNS), within=False)
     changed = F.col("removed_words") > 0
     return out.filter(~(changed & (F.trim("text") == ""))).withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -66,4 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = work.table(docs)
+            common.sweep(spark, work)
     return docs

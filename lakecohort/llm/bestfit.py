@@ -78,10 +78,11 @@ def token_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
     kind = source.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), *T._parse_datatype_string("doc_starts array<long>, cu_seqlens array<int>, position_resets array<int>, ids binary").fields])
 
+    width = "<u2" if tokens.encoder(tokenizer).size <= 1 << 16 else "<u4"
+    end_id = tokens.encoder(tokenizer).library().token_to_id(END)
+
     def run(batches):
         enc = tokens.encoder(tokenizer)
-        width = "<u2" if enc.size <= 1 << 16 else "<u4"
-        end_id = enc.tokenizer.token_to_id(END)
         end = np.array([end_id], width)
         sequence, pieces, held, id_type = TaskContext.get().partitionId() << 33, [], 0, None
 
@@ -112,6 +113,7 @@ def token_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
                     yield from flush()
         if pieces:
             yield from flush()
+        tokens.release()
 
     return source.mapInArrow(run, schema)
 

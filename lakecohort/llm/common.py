@@ -10,13 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark puts in one Arrow batch for the Python workers; texts can be long.
+#: Bounds on one Arrow batch for the Python workers: rows, and bytes that end a batch once it has reached them.
 BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
+#: A key is hot if it holds more than one in SPREAD of the rows; so at most SPREAD keys are.
+SPREAD = 1024
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a batch of long texts fits in a Python worker."""
+    """Small Arrow batches, so that a batch of long texts fits in a Python worker.
+
+    These are settings of the session and stay: the frames that the operators return are run after they have returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -25,21 +32,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder is set only where it is unset (tests)."""
+    """The cluster's spark.checkpoint.dir. Only a session on one machine may do without and gets a temporary folder (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lakecohort-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 class Workspace:
-    """Tables written in the shared folder. They cut lineage and outlive executors."""
+    """Tables written in the shared folder. They cut lineage and outlive executors.
+
+    A frame that an operator returns may read them until it has been written; sweep deletes them then.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        _open.append(self.root)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write df and read it back."""
@@ -52,10 +65,42 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._workspace_path)
-            path.getFileSystem(conf).delete(path, True)
+        delete(self.spark, *(t._workspace_path for t in tables))
+
+
+#: Folders of workspaces that sweep hasn't deleted.
+_open: list[str] = []
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def sweep(spark: SparkSession, *keep: Workspace) -> None:
+    """Delete all workspaces but these. Frames that operators have returned before can't be read after."""
+    kept = {w.root for w in keep}
+    delete(spark, *(p for p in _open if p not in kept))
+    _open[:] = [p for p in _open if p in kept]
+
+
+def hot_keys(counts: DataFrame, key: str, total: int | None = None) -> DataFrame | None:
+    """(key, salts) of the hot keys of (key, n), SPREAD rows at most; None if there are none. total: of n, if that is known."""
+    total = (counts.agg(F.sum("n")).first()[0] or 0) if total is None else total
+    rows = counts.filter(F.col("n") * SPREAD > total).select(key, F.ceil(F.col("n") * SPREAD / F.lit(max(total, 1))).cast("int").alias("salts")).collect() if total else []
+    return counts.sparkSession.createDataFrame(rows, counts.select(key, F.lit(0).alias("salts")).schema) if rows else None
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows.join(table, key) of a table with one row a key: the rows of a hot key are dealt out by the column ``by``, the table's row goes to each place."""
+    if hot is None:
+        return rows.join(table, key, how)
+    salts = F.coalesce("salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts.cast("long")).cast("int")).drop("salts")
+    right = table.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [key, "salt"], how).drop("salt")
 
 
 def positional(df: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ def decide(docs: DataFrame, doc_id: str, text: str, banding: neardup.Banding, wo
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     drawn = work.table(neardup.sketches(source, ["doc_id", "h"], "text", banding))
     classes = work.table(drawn.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands")))
-    roots = neardup.link(classes, source, "doc_id", "text", banding, work)
+    texts = source.select(F.xxhash64("doc_id").alias("key"), "text")
+    roots = neardup.link(classes.select("digest", "bands", F.xxhash64("doc_id").alias("key")), neardup.whole_texts(texts, banding), banding, work)
     linked = classes.select("digest", "doc_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     firsts = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = linked.join(firsts, "root").select("digest", "component_id")

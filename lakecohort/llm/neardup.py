@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from . import common, textkit
 
-#: Bits of a prefilter: 2 MB, whatever the input. A full prefilter lets more rows through to the join, never fewer.
-BITS = 1 << 24
-#: Classes of one cell of a large bucket.
-CELL = 512
+#: Bits of a prefilter for each of its hashes, and at most: 32 MB. A full prefilter lets more rows through to the join, never fewer.
+BITS_EACH, MOST_BITS, PROBES = 16, 1 << 28, 3
+#: Classes of one cell of a large bucket, and bytes of their sets.
+CELL, CELL_BYTES = 512, 16 << 20
 #: Rounds in which a bucket draws a class.
 DRAWS = 1
 
@@ -84,19 +84,32 @@ def band_keys(sigs: np.ndarray, banding: Banding) -> np.ndarray:
 
 
 class Prefilter:
-    """A bitmap of 64-bit hashes. It spares most rows without a partner the way to a join; the join decides."""
-
-    def __init__(self, hashes: DataFrame, column: str, bits: int = BITS):
-        bit = F.pmod(F.col(column), F.lit(bits))
-        words = hashes.groupBy((bit / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")).alias("set"))
+    """A Bloom filter of 64-bit hashes. It spares most rows without a partner the way to a join; the join decides."""
+
+    def __init__(self, hashes: DataFrame, column: str, count: int | None = None):
+        """count: how many hashes there are, if that is known."""
+        count = hashes.count() if count is None else count
+        bits = min(MOST_BITS, 1 << max(16, (BITS_EACH * count).bit_length()))
+        at = [F.expr(f"(({column} & {bits - 1}L) + {j} * shiftrightunsigned({column}, 32)) & {bits - 1}L") for j in range(PROBES)]
+        words = hashes.select(F.explode(F.array(at)).alias("bit")).groupBy(F.expr("cast(bit >> 6 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
         found = words.toArrow()  # bits / 64 rows at most
         bitmap = np.zeros(bits // 64, np.uint64)
         bitmap[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
         self.bits, self.bitmap = bits, hashes.sparkSession.sparkContext.broadcast(bitmap)
 
     def passes(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.view(np.uint64) & np.uint64(self.bits - 1)
-        return (self.bitmap.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        h, bitmap, mask = hashes.view(np.uint64), self.bitmap.value, np.uint64(self.bits - 1)
+        out, alive = np.zeros(len(h), bool), np.arange(len(h))
+        for j in range(PROBES):
+            x = h[alive]
+            at = (x & mask) + np.uint64(j) * (x >> np.uint64(32)) & mask
+            alive = alive[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        out[alive] = True
+        return out
+
+    def drop(self) -> None:
+        """Free the bitmap once nothing that uses it will run any more."""
+        self.bitmap.destroy()
 
     def column(self, hashes: F.Column) -> F.Column:
         """True where the hash may be in the bitmap; only the hashes go to Python."""
@@ -115,7 +128,7 @@ def _sets(column: pa.Array):
         yield textkit.shingle_sets(textkit.words(*common.text_buffer(column.slice(a, b - a))))
 
 
-def _digest(items: np.ndarray) -> bytes:
+def digest(items: np.ndarray) -> bytes:
     return blake2b(items.tobytes(), digest_size=16).digest()
 
 
@@ -131,7 +144,7 @@ def sketches(units: DataFrame, keys: list[str], text: str, banding: Banding | No
             n, digests, bands = [], [], []
             for sets in _sets(b.column(b.num_columns - 1)):
                 n += map(len, sets)
-                digests += [_digest(s) if len(s) else None for s in sets]
+                digests += [digest(s) if len(s) else None for s in sets]
                 if banding:
                     keys = iter(band_keys(signatures([s for s in sets if len(s)], a), banding))
                     bands += [next(keys) if len(s) else None for s in sets]
@@ -142,19 +155,29 @@ def sketches(units: DataFrame, keys: list[str], text: str, banding: Banding | No
     return common.positional(source).mapInArrow(run, schema)
 
 
-def _full(texts: DataFrame, wanted: Prefilter, banding: Banding) -> DataFrame:
-    """digest, signature and set of each text (hash of its key, text) whose key may be wanted."""
+def full_batch(sets: list[np.ndarray], coefficients: np.ndarray) -> pa.RecordBatch:
+    """digest, signature, set and the set's bytes of sets, which must not be empty."""
+    kept = [map(digest, sets), [x.tobytes() for x in signatures(sets, coefficients)], [s.tobytes() for s in sets]]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in kept), pa.array([s.nbytes for s in sets], pa.int64())], ["digest", "sig", "items", "size"])
 
-    def run(batches):
-        a = banding.coefficients()
-        for b in batches:
-            chosen = b.column(1).take(pa.array(np.flatnonzero(wanted.passes(b.column(0).to_numpy()))))
-            for sets in _sets(chosen):
-                sets = [s for s in sets if len(s)]
-                sigs = signatures(sets, a)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (map(_digest, sets), [x.tobytes() for x in sigs], [s.tobytes() for s in sets])], ["digest", "sig", "items"])
 
-    return texts.mapInArrow(run, "digest binary, sig binary, items binary")
+FULL = "digest binary, sig binary, items binary, size long"
+
+
+def whole_texts(texts: DataFrame, banding: Banding):
+    """For link: the full sets of texts (hash of a key, text) by a prefilter of the keys that are wanted."""
+
+    def full(wanted: Prefilter) -> DataFrame:
+        def run(batches):
+            a = banding.coefficients()
+            for b in batches:
+                chosen = b.column(1).take(pa.array(np.flatnonzero(wanted.passes(b.column(0).to_numpy()))))
+                for sets in _sets(chosen):
+                    yield full_batch([s for s in sets if len(s)], a)
+
+        return texts.mapInArrow(run, FULL)
+
+    return full
 
 
 def _banded(classes: DataFrame, shared: Prefilter) -> DataFrame:
@@ -185,9 +208,13 @@ def similar(sig_a: np.ndarray, sig_b: np.ndarray, floors: list[tuple[int, int]])
 
 
 def verified(pairs: DataFrame, full: DataFrame, banding: Banding) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity: first by their signatures, then exactly."""
+    """The pairs (a, b) whose sets reach the similarity: first by their signatures, then exactly.
+
+    A class may be a of most pairs, but b of few (a bucket each).
+    """
     left, right = (full.select(F.col("digest").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b", "items_a", "items_b")
+    hot = common.hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
+    both = common.spread_join(pairs.select("a", "b").join(right, "b"), left, "a", "b", hot).select("a", "b", "sig_a", "sig_b", "items_a", "items_b")
 
     def run(batches):
         floors = banding.floors()
@@ -209,52 +236,58 @@ def verified(pairs: DataFrame, full: DataFrame, banding: Banding) -> DataFrame:
 def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
     """(digest, root) of each end of an edge, root being the smallest digest that it reaches.
 
-    Large and small stars in turn until nothing changes; every step joins on the node, so a hub is never gathered.
+    Large and small stars in turn until nothing changes; every step joins on the node, and the edges of a hub are dealt out.
     """
-    edges, kept = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
+    edges, kept = work.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
+        if kept is not None:
+            work.drop(kept)
+        kept = edges
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hot = common.hot_keys(both.groupBy("u").agg(F.count("*").alias("n")), "u", 2 * edges.count())
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = common.spread_join(both, low, "u", "v", hot).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = work.table(small.select("e.u", "e.v").filter("u != v").distinct())
-        if kept is not None:
-            work.drop(kept)
-        kept = edges
         # stars: each node has one edge, and no root has one
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
+            work.drop(kept)
             return edges.select(F.col("u").alias("digest"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("digest"), F.col("v").alias("root")).distinct())
 
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, roots: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Members, with their roots, of the buckets of more than two classes that hold several components."""
     named = members.filter("n > 2").select("key", "n", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    return named.join(mixed, "key")
+    return common.spread_join(named, mixed, "key", "digest", hot)
 
 
-def _drawn(mixed: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each class with the one that its bucket draws, where that is of another component."""
+def _drawn(mixed: DataFrame, seed: int, hot: DataFrame | None) -> DataFrame:
+    """(a, b): each class b with the one that its bucket draws, where that is of another component."""
     drawn = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("digest", "key", F.lit(seed)), "digest", "root")).alias("x")).select("key", F.col("x.digest").alias("lead"), F.col("x.root").alias("lead_root"))
-    pairs = mixed.join(drawn, "key").filter("root != lead_root")
-    return pairs.select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct()
+    pairs = common.spread_join(mixed, drawn, "key", "digest", hot).filter("root != lead_root")
+    return pairs.select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
 
 
-def _cells(mixed: DataFrame, full: DataFrame, *columns: str) -> DataFrame:
+def _cells(mixed: DataFrame, full: DataFrame, hot: DataFrame | None, *columns: str) -> DataFrame:
     """key, i, j and a list of (block, digest, root, columns): cells of each bucket that between them hold every pair of different components.
 
     The members of a bucket's largest component are blocks of their own and meet only the others' blocks, so a large group
-    with few others beside it costs few copies. Blocks of the largest component have negative numbers.
+    with few others beside it costs few copies. Blocks of the largest component have negative numbers. Blocks are so many
+    that each has about CELL classes and CELL_BYTES of their sets at most.
     """
-    sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("all"))
-    largest = largest.select("key", F.col("x.root").alias("main"), F.ceil(F.col("x.n") / CELL).cast("int").alias("main_blocks"), F.ceil((F.col("all") - F.col("x.n")) / CELL).cast("int").alias("blocks"))
+    held = mixed.select("key", "digest", "root")
+    held = held.join(full.select("digest", "size"), "digest") if "items" in columns else held.withColumn("size", F.lit(0).cast("long"))
+    sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("x"), F.sum("n").alias("all"), F.sum("size").alias("all_size"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / CELL, size / CELL_BYTES)).cast("int")
+    largest = largest.select("key", F.col("x.root").alias("main"), blocks(F.col("x.n"), F.col("x.size")).alias("main_blocks"), blocks(F.col("all") - F.col("x.n"), F.col("all_size") - F.col("x.size")).alias("blocks"))
     at = lambda blocks: F.pmod(F.xxhash64("digest"), blocks.cast("long")).cast("int")
     own = F.when(F.col("root") == F.col("main"), -1 - at(F.col("main_blocks"))).otherwise(at(F.col("blocks")))
     meets = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.sequence(-F.col("main_blocks"), F.col("blocks") - 1))
-    dealt = mixed.select("key", "digest", "root").join(largest, "key").withColumn("block", own).select("key", "digest", "root", "block", F.explode(meets).alias("other"))
+    dealt = common.spread_join(mixed.select("key", "digest", "root"), largest, "key", "digest", hot).withColumn("block", own).select("key", "digest", "root", "block", F.explode(meets).alias("other"))
     return (
         dealt.join(full.select("digest", *columns), "digest")
         .groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -351,33 +384,42 @@ def _linked(cells: DataFrame, banding: Banding) -> DataFrame:
     return cells.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link(classes: DataFrame, texts: DataFrame, key: str, text: str, banding: Banding, work: common.Workspace) -> DataFrame:
+def link(classes: DataFrame, full_sets, banding: Banding, work: common.Workspace) -> DataFrame:
     """(digest, root) of every class with a link to another.
 
-    classes: digest, bands and key (of one unit that has the set); texts: key and text of the units. Texts stay where they
-    are: the sets of classes that share a bucket are made again from them.
+    classes: digest, bands and key, a 64-bit hash of one unit that has the set; full_sets makes the sets of the units whose
+    keys pass a prefilter again, as sets of classes that share no bucket need never be kept. Joins by the key of a bucket
+    deal out large buckets.
     """
     keys = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     shared = work.table(keys.filter("n > 1"))
-    joined = work.table(_banded(classes, Prefilter(shared, "key")).join(shared, "key"))
+    hot = common.hot_keys(shared, "key")
+    filled = Prefilter(shared, "key")
+    joined = work.table(common.spread_join(_banded(classes, filled), shared, "key", "digest", hot))
+    filled.drop()
     leads = joined.groupBy("key").agg(F.min("digest").alias("lead"))
-    members = work.table(joined.join(leads, "key"))
+    members = work.table(common.spread_join(joined, leads, "key", "digest", hot))
     work.drop(joined)
     linkable = members.select("digest").distinct()
-    wanted = Prefilter(classes.join(linkable, "digest", "left_semi").select(F.xxhash64(key).alias("h")), "h")
-    hashed = texts.select(F.xxhash64(key).alias("h"), F.col(text).alias("text"))
-    full = work.table(_full(hashed, wanted, banding).join(linkable, "digest", "left_semi").dropDuplicates(["digest"]))
+    wanted = Prefilter(classes.select("digest", F.col("key").alias("h")).join(linkable, "digest", "left_semi"), "h", min(classes.count(), members.count()))
+    full = work.table(full_sets(wanted).join(linkable, "digest", "left_semi").dropDuplicates(["digest"]))
+    wanted.drop()
 
     pairs = work.table(members.filter("digest != lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct())
     edges = [work.table(verified(pairs, full, banding))]
     roots = components(edges[0], work)
+    # a pair of the first round has its smaller digest as a
+    seen = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
     for seed in range(DRAWS):
-        drawn = work.table(_drawn(_mixed(members, roots), seed).join(pairs, ["a", "b"], "left_anti"))
+        drawn = _drawn(_mixed(members, roots, hot), seed, hot)
+        drawn = work.table(drawn.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"))
         edges.append(work.table(verified(drawn, full, banding)))
         roots = components(reduce(DataFrame.union, edges), work)
-    mixed = work.table(_mixed(members, roots))
-    chosen = work.table(mixed.join(_involved(_cells(mixed, full, "sig"), banding), ["key", "digest"], "left_semi"))
+    mixed = work.table(_mixed(members, roots, hot))
+    chosen = work.table(mixed.join(_involved(_cells(mixed, full, hot, "sig"), banding), ["key", "digest"], "left_semi"))
     if not chosen.isEmpty():
-        edges.append(work.table(_linked(_cells(chosen, full, "sig", "items"), banding)))
+        edges.append(work.table(_linked(_cells(chosen, full, hot, "sig", "items"), banding)))
         roots = components(reduce(DataFrame.union, edges), work)
-    return work.table(roots)
+    found = work.table(roots)
+    work.drop(shared, members, full, pairs, mixed, chosen)
+    return found

@@ -106,6 +106,7 @@ def cut(docs: DataFrame, doc_id: str, text: str, tokenizer: str, limit: int) ->
             columns = zip(*rows) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], schema.fieldNames())
+        tokens.release()
 
     return source.mapInArrow(run, schema)
 

@@ -9,6 +9,7 @@ In what is left, passages are looked for whatever the lines: of a run of ``passa
 once only the first stays, so a passage inside longer lines, over several lines or with other line breaks goes too.
 
 A document keeps its other lines as they are. Where a removed line's neighbours meet they are joined by one line feed.
+With ``within=False`` what only one document repeats stays: then just repetition across documents is removed.
 
 Defined results: null and empty texts come back as they are; rows with one doc_id are told apart by the hash of their
 texts, and rows with one doc_id and one text are one document; a row with a null doc_id comes last in the order that
@@ -17,86 +18,148 @@ decides which paragraph stays.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import common, neardup, passages
+from . import common, neardup, passages, textkit
 
 #: (1 - 0.75**3)**16 is 0.00016: the share of pairs at the threshold that no band brings together.
 BANDING = neardup.Banding(bands=16, rows=3)
 MIN_WORDS = 20
 
 
-def lines(docs: DataFrame, text: str, keys: list[str], min_words: int) -> DataFrame:
-    """keys, place and line of each line that is long enough."""
-    words = F.size(F.filter(F.split("line", r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    out = docs.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
-    # so many words need as many characters with what parts them
-    return out.filter((F.length("line") >= 2 * min_words - 1) & (words >= min_words))
+def lines(column: pa.Array, min_words: int):
+    """Of slices of a column of texts, the lines of so many words: (words, which of its rows the lines are, each line's text, each line's place in its text)."""
+    column = common.strings(column)
+    for a, b in common.byte_slices(column, textkit.SLICE_BYTES):
+        data, offsets = common.text_buffer(column.slice(a, b - a))
+        if not len(data):
+            continue
+        breaks = np.flatnonzero(data == 0x0A) + 1
+        bounds = np.unique(np.concatenate((offsets, breaks)))
+        w = textkit.words(data, bounds)
+        long = np.flatnonzero(np.diff(w.first) >= min_words)
+        owner = np.searchsorted(offsets, bounds[long], "right") - 1
+        place = np.searchsorted(breaks, bounds[long], "right") - np.searchsorted(breaks, offsets[owner], "right")
+        yield w, long, a + owner, place.astype(np.int32)
+
+
+def line_keys(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of each line from its row's hash and its place."""
+    return textkit.mix(rows.view(np.uint64) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def sketches(rows: DataFrame, min_words: int, banding: neardup.Banding | None) -> DataFrame:
+    """unit (n: d is null, d, h, p, and key: its hash), digest and bands (null without a banding) of the lines of rows (d, h, text)."""
+    source = rows.select("d", "h", F.xxhash64("d", "h").alias("key"), "text")
+    schema = T.StructType([source.schema["d"], *T._parse_datatype_string("h long, p int, key long, digest binary, bands array<long>").fields])
+
+    def run(batches):
+        c = banding.coefficients() if banding else None
+        for b in batches:
+            keys = b.column(2).to_numpy()
+            for w, long, owner, place in lines(b.column(3), min_words):
+                if not len(long):
+                    continue
+                sets = textkit.shingle_sets(w, rows=long)
+                bands = list(neardup.band_keys(neardup.signatures(sets, c), banding)) if banding else [None] * len(sets)
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(place), pa.array(line_keys(keys[owner], place)), pa.array(map(neardup.digest, sets), pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema.fieldNames())
+
+    return source.mapInArrow(run, schema).select(F.struct(F.col("d").isNull().alias("n"), "d", "h", "p", "key").alias("unit"), "digest", "bands")
+
+
+def full_lines(rows: DataFrame, min_words: int, banding: neardup.Banding):
+    """For neardup.link: the full sets of lines whose keys are wanted."""
+    source = rows.select(F.xxhash64("d", "h").alias("key"), "text")
+
+    def full(wanted: neardup.Prefilter) -> DataFrame:
+        def run(batches):
+            c = banding.coefficients()
+            for b in batches:
+                keys = b.column(0).to_numpy()
+                for w, long, owner, place in lines(b.column(1), min_words):
+                    chosen = long[wanted.passes(line_keys(keys[owner], place))]
+                    yield neardup.full_batch(textkit.shingle_sets(w, rows=chosen), c)
+
+        return source.mapInArrow(run, neardup.FULL)
+
+    return full
 
 
 def row_key(doc_id: str, text: str) -> F.Column:
     return F.struct(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"))
 
 
-def repeated(docs: DataFrame, work: common.Workspace, doc_id: str, text: str, min_words: int, banding: neardup.Banding) -> DataFrame:
-    """(row, places) of the lines to cut."""
-    source = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
-    units = lines(source, "text", ["row"], min_words).select(F.struct(F.col("row.d").isNull().alias("n"), F.col("row.d").alias("d"), F.col("row.h").alias("h"), F.col("place").alias("p")).alias("unit"), "line")
-    drawn = neardup.sketches(units, ["unit"], "line", banding)
-    classes = work.table(drawn.groupBy("digest").agg(F.min("unit").alias("unit"), F.max("bands").alias("bands")))
-    roots = neardup.link(classes, units, "unit", "line", banding, work)
-    linked = classes.select("digest", "unit").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    stays = linked.groupBy("root").agg(F.min("unit").alias("stays"))
-    kept = linked.join(stays, "root").select("digest", "stays")
+def repeated(docs: DataFrame, work: common.Workspace, doc_id: str, text: str, min_words: int, banding: neardup.Banding, within: bool) -> DataFrame:
+    """(row, places, line_firsts) of the lines to cut, and the documents that keep them."""
+    source = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    drawn = sketches(source, min_words, banding)
+    classes = work.table(drawn.groupBy("digest").agg(F.min("unit").alias("unit"), F.max("unit").alias("last"), F.max("bands").alias("bands"), F.count("*").alias("n")))
+    roots = neardup.link(classes.select("digest", "bands", "unit.key"), full_lines(source, min_words, banding), banding, work)
+    linked = classes.select("digest", "unit", "last").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    apart = lambda x: x if within else F.struct(f"{x}.n", f"{x}.d", f"{x}.h")
+    stays = linked.groupBy("root").agg(F.min("unit").alias("stays"), (~F.min(apart("unit")).eqNullSafe(F.max(apart("last")))).alias("several")).filter("several")
+    kept = work.table(linked.join(stays, "root").select("digest", "stays"))
     # which lines there are is worked out again: that costs less than keeping their signatures
-    cut = neardup.sketches(units, ["unit"], "line", None).select("unit", "digest").join(kept, "digest").filter("unit != stays")
-    return cut.groupBy(F.struct("unit.d", "unit.h").alias("row")).agg(F.sort_array(F.collect_set("unit.p")).alias("places"))
+    hot = common.hot_keys(classes, "digest")
+    cut = common.spread_join(sketches(source, min_words, None).select("unit", "digest"), kept, "digest", "unit", hot).filter("unit != stays")
+    return cut.groupBy(F.struct("unit.d", "unit.h").alias("row")).agg(F.sort_array(F.collect_set("unit.p")).alias("places"), F.collect_set("stays.d").alias("line_firsts"))
+
 
+def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, banding: neardup.Banding = BANDING, within: bool = True) -> DataFrame:
+    """docs with the text after the cuts, and removed_places (lines; null: none), removed_words (in lines and in passages) and first_ids.
 
-def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, banding: neardup.Banding = BANDING) -> DataFrame:
-    """docs with the text after the cuts, and removed_places (lines; null: none) and removed_words (in lines and in passages)."""
+    first_ids: sorted ids of the documents that keep what was cut (the id itself, if it is in the same document).
+    within: cut what only one document repeats, too.
+    """
     work = common.Workspace(docs.sparkSession, "paragraphs")
     # the row in one column, so that no name can clash
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(doc_id, text).alias("row"))
-    by_line = work.table(cut_lines(marked(named, work.table(repeated(docs, work, doc_id, text, min_words, banding)), "places"), text))
-    runs = work.table(passages.repeated(by_line.select("row", "text"), work))
-    return cut_runs(marked(by_line, runs, "starts"), docs.columns, text)
+    by_line = work.table(cut_lines(marked(named, work.table(repeated(docs, work, doc_id, text, min_words, banding, within)), "places", "line_firsts"), text))
+    runs = work.table(passages.repeated(by_line.select("row", "text"), work, within))
+    return cut_runs(marked(by_line, runs, "starts", "run_firsts"), docs.columns, text)
 
 
-def marked(named: DataFrame, cuts: DataFrame, column: str) -> DataFrame:
-    """named with the column of cuts of the same row (null: none); only rows that a prefilter can't clear go through the join."""
+def marked(named: DataFrame, cuts: DataFrame, column: str, firsts: str) -> DataFrame:
+    """named with the two columns of cuts of the same row (null: none); only rows that a prefilter can't clear go through the join."""
     touched = neardup.Prefilter(cuts.select(F.xxhash64("row").alias("h")), "h")
     named = named.withColumn("cut", touched.column(F.xxhash64("row")))
     # compared field by field, as doc_id may be null
-    cuts = cuts.select(F.col("row").alias("cut_row"), column)
+    cuts = cuts.select(F.col("row").alias("cut_row"), column, firsts)
     joined = named.filter("cut").join(cuts, F.col("row").eqNullSafe(F.col("cut_row")), "left").drop("cut_row")
-    rest = named.filter("not cut").withColumn(column, F.lit(None).cast("array<int>"))
+    rest = named.filter("not cut").select("*", *[F.lit(None).cast(cuts.schema[c].dataType).alias(c) for c in (column, firsts)])
     return rest.unionByName(joined).drop("cut")
 
 
 def cut_lines(docs: DataFrame, text: str) -> DataFrame:
-    """doc, row, the text after the cuts at places, places and how many words went."""
+    """doc, row, the text after the cuts at places, places, firsts and how many words went."""
     whole = F.col("doc").getField(text)
     parts = F.split(whole, "\n")
     kept = F.filter(parts, lambda line, i: ~F.array_contains("places", i))
     lost = F.filter(parts, lambda line, i: F.array_contains("places", i))
     words = F.size(F.filter(F.split(F.array_join(lost, " "), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
     none = F.col("places").isNull()
-    return docs.select("doc", "row", F.when(none, whole).otherwise(F.array_join(kept, "\n")).alias("text"), "places", F.when(none, 0).otherwise(words).cast("long").alias("words"))
+    return docs.select("doc", "row", F.when(none, whole).otherwise(F.array_join(kept, "\n")).alias("text"), "places", "line_firsts", F.when(none, 0).otherwise(words).cast("long").alias("words"))
 
 
 def cut_runs(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The columns of doc after the cuts of runs, with removed_places and removed_words in place of columns of these names."""
-    made = docs.select("doc", "places", passages.cut_text("text", "starts").alias("cut_text"), (F.col("words") + passages.cut_words("starts")).alias("cut_words"))
+    """The columns of doc after the cuts of runs, with removed_places, removed_words and first_ids in place of columns of these names."""
+    made = docs.select("doc", "places", passages.cut_text("text", "starts").alias("cut_text"), (F.col("words") + passages.cut_words("starts")).alias("cut_words"), *(F.coalesce(c, F.array().cast(docs.schema[c].dataType)).alias(c) for c in ("line_firsts", "run_firsts")))
+    names = ("removed_places", "removed_words", "first_ids")
     return made.select(
-        *[(F.col("cut_text") if c == text else F.col("doc").getField(c)).alias(c) for c in columns if c not in ("removed_places", "removed_words")],
+        *[(F.col("cut_text") if c == text else F.col("doc").getField(c)).alias(c) for c in columns if c not in names],
         F.col("places").alias("removed_places"),
         F.col("cut_words").alias("removed_words"),
+        F.sort_array(F.array_union("line_firsts", "run_firsts")).alias("first_ids"),
     )
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, removed (was anything cut), first_ids (documents that keep it), removed_words and the text after the cuts."""
     docs = common.read(common.tuned(spark), sf_dir, "documents").select("doc_id", "text")
-    found = remove(docs)
-    return found.select("doc_id", "text", "removed_places", "removed_words", (F.col("removed_words") > 0).alias("changed"))
+    found = remove(docs, within=False)
+    return found.select("doc_id", (F.col("removed_words") > 0).alias("removed"), "first_ids", "removed_words", "text")

@@ -3,7 +3,8 @@
 Words are those of textkit, so neither line breaks nor case matter. Each run of RUN words has a fingerprint, the smallest
 hash of the SEED-word sequences in it (winnowing): equal runs have equal fingerprints, and neighbouring runs mostly share
 theirs. Fingerprints that occur at one place only rule out nearly all runs; the hashes of the other runs meet by a join.
-Of equal runs the first (by document, then by place) stays; the words of the others are cut out.
+Of equal runs the first (by document, then by place) stays; the words of the others are cut out. Runs of one document only
+are left alone where that is asked for.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 from . import common, neardup, textkit
 
 RUN, SEED = 50, 32
-#: Bits of the prefilter of fingerprints: 16 MB, whatever the input.
-BITS = 1 << 27
 NONE = np.uint64(2**64 - 1)
 
 
@@ -67,8 +66,11 @@ def _slices(column: pa.Array):
         yield a, textkit.words(*common.text_buffer(column.slice(a, b - a)))
 
 
-def repeated(docs: DataFrame, work: common.Workspace) -> DataFrame:
-    """(row, starts) of the rows (row: struct of d and h, and text) with runs to cut: the words at which they begin."""
+def repeated(docs: DataFrame, work: common.Workspace, within: bool = True) -> DataFrame:
+    """(row, starts, run_firsts) of the rows (row: struct of d and h, and text) with runs to cut: the words at which they begin, and the documents that keep them.
+
+    within: cut runs that only one document repeats, too.
+    """
 
     def some(batches):
         for b in batches:
@@ -79,7 +81,7 @@ def repeated(docs: DataFrame, work: common.Workspace) -> DataFrame:
 
     # one row of each key: rows that are one document have the same runs at the same places
     found = docs.select("text").mapInArrow(some, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1")
-    again = neardup.Prefilter(work.table(found.select("seed")), "seed", BITS)
+    again = neardup.Prefilter(work.table(found.select("seed")), "seed")
     source = docs.select(F.col("row.d").alias("d"), F.col("row.h").alias("h"), "text")
     schema = source.select("d", "h", F.lit(0).alias("p"), F.lit(0).cast("long").alias("run")).schema
 
@@ -98,9 +100,13 @@ def repeated(docs: DataFrame, work: common.Workspace) -> DataFrame:
 
     place = F.struct(F.col("d").isNull().alias("n"), "d", "h", "p").alias("place")
     every = work.table(source.mapInArrow(runs, schema).select("run", place))
-    stays = every.groupBy("run").agg(F.min("place").alias("stays"), F.max("place").alias("last")).filter(~F.col("stays").eqNullSafe(F.col("last"))).select("run", "stays")
-    cut = every.join(stays, "run").filter(~F.col("place").eqNullSafe(F.col("stays")))
-    return cut.groupBy(F.struct("place.d", "place.h").alias("row")).agg(F.sort_array(F.collect_set("place.p")).alias("starts"))
+    again.drop()
+    apart = lambda x: x if within else F.struct(f"{x}.n", f"{x}.d", f"{x}.h")
+    several = ~F.min(apart("place")).eqNullSafe(F.max(apart("place")))
+    stays = work.table(every.groupBy("run").agg(F.min("place").alias("stays"), several.alias("several"), F.count("*").alias("n")).filter("several"))
+    hot = common.hot_keys(stays, "run")
+    cut = common.spread_join(every, stays.select("run", "stays"), "run", "place", hot).filter(~F.col("place").eqNullSafe(F.col("stays")))
+    return cut.groupBy(F.struct("place.d", "place.h").alias("row")).agg(F.sort_array(F.collect_set("place.p")).alias("starts"), F.collect_set("stays.d").alias("run_firsts"))
 
 
 def covered(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

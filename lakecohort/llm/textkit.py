@@ -85,8 +85,8 @@ def combine(parts: np.ndarray) -> np.ndarray:
     return mix((parts * _MULTIPLIERS[:k]).sum(axis=-1, dtype=np.uint64) + np.uint64(k))
 
 
-def shingle_sets(w: Words, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
-    """Per text, the sorted distinct hashes of its shingles; a text of fewer words has its whole sequence as one, an empty text none."""
+def shingle_sets(w: Words, size: int = SHINGLE_WORDS, rows: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+    """Per text (of those in rows), the sorted distinct hashes of its shingles; a text of fewer words has its whole sequence as one, an empty text none."""
     n = len(w.hashes)
     if n >= size:
         total = w.hashes[: n - size + 1] * _MULTIPLIERS[0]
@@ -96,7 +96,7 @@ def shingle_sets(w: Words, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
     else:
         hashed = np.empty(0, np.uint64)
     out = []
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+    for a, b in zip(w.first[:-1][rows].tolist(), w.first[1:][rows].tolist()):
         if b - a >= size:
             s = np.sort(hashed[a : b - size + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])

@@ -9,13 +9,15 @@ texts that hold a special token's string, and all other vocabularies, go to the
 from __future__ import annotations
 
 import base64
+import ctypes
+import json
 import os
 from array import array
 
 import public_tokenizers
 
 #: Chunks that a worker remembers; when full it starts again.
-CACHE = 500_000
+CACHE = 100_000
 LONGEST = 48
 
 
@@ -29,11 +31,9 @@ class Encoder(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.tokenizer = path, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         ranks = path.removesuffix(".json") + ".tiktoken"
         self.fast = self.exact
         if os.path.exists(ranks):
@@ -43,8 +43,20 @@ class Encoder(dict):
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
 
+    def library(self):
+        """The library's tokenizer: loaded by the first text that needs it."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer
+
+    @property
+    def size(self) -> int:
+        return self.library().get_vocab_size()
+
     def exact(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.library().encode(text, add_special_tokens=False).ids
 
     def whole(self, text: str) -> bytes:
         return array("I", self.fast(text)).tobytes()
@@ -81,3 +93,15 @@ def encoder(name: str) -> Encoder:
     if name not in _encoders:
         _encoders[name] = Encoder(public_tokenizers.path(name))
     return _encoders[name]
+
+
+def release() -> None:
+    """Forget the chunks and hand freed memory back: a worker process serves other stages after this one."""
+    for e in _encoders.values():
+        e.clear()
+        e.tokenizer = None
+    if os.name == "posix":
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            pass
