@@ -42,6 +42,7 @@ ROLES = frozenset("navigation banner complementary contentinfo search dialog ale
 WORDS = frozenset(
     "ad ads advert advertisement advertising adverts adbox adsense banner breadcrumb breadcrumbs byline consent cookie cookies copyright disclaimer disqus footer gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion promoted recommended related share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar tracking widget widgets warning alert".split()
 )
+CONTENT, HEADS = frozenset("article entry post story content".split()), frozenset("header masthead".split())
 READERS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 #: A start tag ends an open element of these kinds, unless one of the others lies between.
 ENDS = {
@@ -80,6 +81,8 @@ def _set_aside(node: Node, attributes: str) -> None:
             node.out = True
     if node.tag not in ("html", "body", "article", "main") or names & READERS:
         node.readers = bool(names & READERS)
+        if names & CONTENT:
+            names -= HEADS  # the head of an article, not of the page
         node.out |= node.readers or bool(names & WORDS)
 
 
@@ -170,31 +173,37 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def _text(node: Node) -> str:
-    """The text of an element that isn't set aside, as it stands."""
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif not x.out:
-            stack.extend(reversed(x.children))
-    return "".join(out)
+def _joined(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+    """(characters, blank ones at the start, blank ones at the end, commas) of two texts in a row."""
+    return a[0] + b[0], a[1] + b[1] if a[1] == a[0] else a[1], b[2] + a[2] if b[2] == b[0] else b[2], a[3] + b[3]
+
+
+def _extent(text: str) -> tuple[int, int, int, int]:
+    n = len(text)
+    return n, n - len(text.lstrip()), n - len(text.rstrip()), text.count(",")
 
 
 def score(order: list[Node]) -> None:
-    """Points of paragraphs, and of blocks that hold text themselves, go to their ancestors."""
+    """Points of paragraphs, and of blocks that hold text themselves, go to their ancestors. Each text is looked at once."""
+    extents: dict[Node, tuple[int, int, int, int]] = {}
     for node in order:
         if node.out:
             continue
-        own = node.tag in PARAGRAPH or node.tag in BLOCK and any(isinstance(c, str) and len(c.strip()) > 20 for c in node.children)
-        if not own or node.tag in ("html", "body"):
+        extent, longest = (0, 0, 0, 0), 0
+        for c in node.children:
+            if isinstance(c, str):
+                own = _extent(c)
+                longest = max(longest, own[0] - own[1] - own[2])
+                extent = _joined(extent, own)
+            elif not c.out:
+                extent = _joined(extent, extents.pop(c))
+        extents[node] = extent
+        if not (node.tag in PARAGRAPH or node.tag in BLOCK and longest > 20) or node.tag in ("html", "body"):
             continue
-        text = _text(node)
-        size = len(text.strip())
+        size = max(0, extent[0] - extent[1] - extent[2])
         if size < 2:
             continue
-        points = (0.25 if size < 25 else 1.0) + text.count(",") + min(size // 100, 3)
+        points = (0.25 if size < 25 else 1.0) + extent[3] + min(size // 100, 3)
         if node.length:
             points *= 1 - node.linked / node.length
         above, level = node.parent, 0

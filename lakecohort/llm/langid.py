@@ -10,10 +10,9 @@ language with the larger sample, then to the first by name; with no labelled tex
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,8 @@ LEVEL = 3
 #: A text is rejected if the smallest size is ahead by less than this share of the text, or by no byte.
 MARGIN = 0.002
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its Unicode category; number characters such as ½ or Ⅷ are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = SAMPLE_TEXTS) -> dict[str, list[str]]:

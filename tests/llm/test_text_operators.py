@@ -173,3 +173,24 @@ def test_arrow_slices():
     assert list(common.byte_slices(column, 10)) == [(0, 2), (2, 3), (3, 4)] and list(common.byte_slices(column[:0], 10)) == []
     data, offsets = common.text_buffer(column.slice(2, 2))
     assert bytes(data) == b"c" * 50 + b"d" and offsets.tolist() == [0, 50, 51]
+
+
+def test_number_characters_are_no_letters():
+    model = langid.Classifier({"a": ["some words of a"], "b": ["other text in b"]})
+    assert all(model.predict(t)[:2] == (langid.UNDETERMINED, 0.0) for t in ("½", "²", "Ⅷ ①", "12 _", ""))
+    assert model.predict("ª words")[0] == "a"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 8000 + "text, " * 50 + "</div>" * 8000, "<table><tr><td>" * 4000 + "some words here, and more", "<ul><li>x" * 5000):
+        began = time.process_time()
+        html.extract(page)
+        assert time.process_time() - began < 3
+
+
+def test_the_head_of_an_article_stays():
+    words = "some words of an article, with commas, that go on for a while. " * 4
+    page = f"<body><div class='site-header'>brand</div><article><div class='article-header'><h1>Headline</h1></div><p>{words}</p><p>{words}</p></article></body>"
+    assert html.extract(page).startswith("Headline some words") and "brand" not in html.extract(page)
