@@ -35,8 +35,10 @@ SHORTEST = 12
 BLOCK = 32
 THRESHOLD = 0.5
 OVERLAP = 0.6
-#: Bytes of test items in one index. A larger benchmark is searched in several passes.
+#: Bytes of test items in one index. A larger benchmark is searched in several passes, with the statistics of the whole.
 INDEX_BYTES = 16 << 20
+#: (term, block) pairs or postings that are scored at once.
+HELD = 1 << 20
 
 
 def _grams(hashes: np.ndarray) -> np.ndarray:
@@ -72,24 +74,35 @@ class Index:
     impact: np.ndarray
 
 
-def build(rows: list[tuple[object, str]]) -> Index | None:
-    """The index of (item id, text); None if no item has a word."""
+def entries(text: str) -> list[np.ndarray]:
+    """The words' hashes of an item's entries."""
+    question, _, answer = text.strip().partition("\n")
+    sides = [_hashed(question), _hashed(answer)]
+    if min(map(len, sides)) < SHORTEST:
+        sides = [np.concatenate(sides)]
+    return [piece for h in sides for piece in np.array_split(h, max(1, -(-len(h) // HALF))) if len(piece)]
+
+
+@dataclass
+class Statistics:
+    """Of all entries of the benchmark: how many, their words, and in how many each term is (sorted terms)."""
+
+    count: int
+    words: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build(rows: list[tuple[object, str]], whole: Statistics | None = None) -> Index | None:
+    """The index of (item id, text); None if no item has a word. whole: of the whole benchmark, where rows are a part of it."""
     ids, items, parts = [], [], []
     for key, text in rows:
         if key is None or not text:
             continue
-        number = len(ids)
         ids.append(key)
-        question, _, answer = text.strip().partition("\n")
-        sides = [_hashed(question), _hashed(answer)]
-        if min(map(len, sides)) < SHORTEST:
-            sides = [np.concatenate(sides)]
-        for h in sides:
-            pieces = max(1, -(-len(h) // HALF))
-            for piece in np.array_split(h, pieces):
-                if len(piece):
-                    items.append(number)
-                    parts.append(piece)
+        for piece in entries(text):
+            items.append(len(ids) - 1)
+            parts.append(piece)
     if not parts:
         return None
     vocabulary, term = np.unique(np.concatenate(parts), return_inverse=True)
@@ -97,9 +110,10 @@ def build(rows: list[tuple[object, str]]) -> Index | None:
     entry = np.repeat(np.arange(len(parts)), lengths)
     posting, tf = np.unique(term.astype(np.int64) * len(parts) + entry, return_counts=True)
     term, entry = posting // len(parts), posting % len(parts)
-    df = np.bincount(term, minlength=len(vocabulary))
-    idf = np.log1p((len(parts) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[entry] / lengths.mean()))
+    whole = whole or Statistics(len(parts), int(lengths.sum()), vocabulary, np.bincount(term, minlength=len(vocabulary)))
+    df = whole.df[np.searchsorted(whole.terms, vocabulary)]
+    idf = np.log1p((whole.count - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[entry] * whole.count / whole.words))
     impact = weight / np.bincount(entry, weight, len(parts))[entry]
     pair, pair_at = np.unique(term * len(parts) + entry // BLOCK, return_index=True)
     pair_term, pair_block = pair // len(parts), pair % len(parts)
@@ -118,31 +132,54 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + starts[owner], owner
 
 
+def _chunks(sizes: np.ndarray, limit: int):
+    """Ranges of numbers whose sizes add up to about limit, one number at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield at, stop
+        at = stop
+
+
 def retrieve(index: Index, window: np.ndarray, term: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(window, entry, score) above the threshold; (window, term) are distinct and in order of windows."""
+    """(window, entry, score) above the threshold; (window, term) are distinct and in order of windows. Windows are taken so many at a time that HELD (term, block) pairs are held."""
     if not len(window):
         return []
     first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
     able = np.add.reduceat(index.top[term], first) >= threshold
-    names = window[first][able]
     alive = np.repeat(able, np.diff(np.append(first, len(window))))
-    local, term = np.searchsorted(names, window[alive]), term[alive]
-    if not len(local):
-        return []
+    window, term, out = window[alive], term[alive], []
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(window)), bool), window[1:] != window[:-1])))
+    if not len(first):
+        return out
+    bounds = np.append(first, len(window))
+    for a, b in _chunks(np.add.reduceat(index.term_at[term + 1] - index.term_at[term], first), HELD):
+        some = slice(bounds[a], bounds[b])
+        out += _scored(index, window[some], term[some], threshold)
+    return out
+
+
+def _scored(index: Index, window: np.ndarray, term: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    names, local = np.unique(window, return_inverse=True)
     # blocks of entries, by the terms' largest impacts there
     blocks = int(index.pair_block.max()) + 1
     pairs, owner = _ranges(index.term_at[term], index.term_at[term + 1])
-    cell = local[owner] * blocks + index.pair_block[pairs]
-    able = np.bincount(cell, index.pair_top[pairs], len(names) * blocks) >= threshold
-    cells = np.flatnonzero(able)
+    cells, cell = np.unique(local[owner] * blocks + index.pair_block[pairs], return_inverse=True)
+    able = np.bincount(cell, index.pair_top[pairs], len(cells)) >= threshold
     alive = able[cell]
-    pairs, cell = pairs[alive], np.searchsorted(cells, cell[alive])
+    pairs, cells = pairs[alive], cells[able]
+    cell = (np.cumsum(able) - 1)[cell[alive]]
+    order = np.argsort(cell, kind="stable")
+    pairs, cell = pairs[order], cell[order]
+    starts, out = np.searchsorted(cell, np.arange(len(cells) + 1)), []
     if not len(pairs):
-        return []
-    postings, owner = _ranges(index.pair_at[pairs], index.pair_at[pairs + 1])
-    score = np.bincount(cell[owner] * BLOCK + index.entry[postings] % BLOCK, index.impact[postings], len(cells) * BLOCK)
-    found = np.flatnonzero(score >= threshold)
-    return [(int(names[cells[k // BLOCK] // blocks]), int(cells[k // BLOCK] % blocks * BLOCK + k % BLOCK), float(score[k])) for k in found]
+        return out
+    for a, b in _chunks(np.add.reduceat(index.pair_at[pairs + 1] - index.pair_at[pairs], starts[:-1]), HELD):
+        some = slice(starts[a], starts[b])
+        postings, owner = _ranges(index.pair_at[pairs[some]], index.pair_at[pairs[some] + 1])
+        score = np.bincount((cell[some][owner] - a) * BLOCK + index.entry[postings] % BLOCK, index.impact[postings], (b - a) * BLOCK)
+        out += [(int(names[cells[a + k // BLOCK] // blocks]), int(cells[a + k // BLOCK] % blocks * BLOCK + k % BLOCK), float(score[k])) for k in np.flatnonzero(score >= threshold)]
+    return out
 
 
 def search(index: Index, column: pa.Array, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[tuple[object, float, float]]]:
@@ -196,6 +233,21 @@ def search(index: Index, column: pa.Array, threshold: float = THRESHOLD, overlap
     return out
 
 
+def term_counts(items: DataFrame) -> DataFrame:
+    """part, term and df (entries of the part's items with the term) of items (part, text); a row with a null term counts entries (df) and their words."""
+
+    def run(batches):
+        for b in batches:
+            for part, text in zip(b.column(0).to_pylist(), b.column(1)):
+                found = entries(text.as_py())
+                if found:
+                    terms, df = np.unique(np.concatenate([np.unique(e) for e in found]), return_counts=True)
+                    n = len(terms) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([None, *terms.view(np.int64).tolist()], pa.int64()), pa.array([len(found), *df.tolist()], pa.int64()), pa.array([sum(map(len, found))] + [0] * (n - 1), pa.int64())], ["part", "term", "df", "words"])
+
+    return items.mapInArrow(run, "part long, term long, df long, words long").groupBy("part", "term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs with leaks (in place of a column of that name), an array of (item_id, overlap, score) of the items found in the text."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
@@ -203,16 +255,37 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     passes = max(1, -(-size // index_bytes))
     hits = T.ArrayType(T.StructType([T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("overlap", T.DoubleType()), T.StructField("score", T.DoubleType())]))
     out, work = docs.withColumn("leaks", F.array().cast(hits)), common.Workspace(docs.sparkSession, "decontaminate")
+    # dealt by the whole row, so that an item with most rows is no larger than others; leaks of one item meet below
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
+    if passes > 1:
+        counts = work.table(term_counts(items.select("part", "text")))
+        count, words = counts.filter("term is null").agg(F.sum("df"), F.sum("words")).first()
+        every = counts.filter("term is not null").groupBy("term").agg(F.sum("df").alias("df"))
     for k in range(passes):
-        # bounded by the size above: rows of an item stay together
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect() if passes > 1 else items.collect()
-        index = build(sorted((tuple(r) for r in rows), key=repr))
+        index = build(sorted((tuple(r) for r in items.filter(F.col("part") == k).select("item_id", "text").collect()), key=repr), _whole(counts, every, k, count, words) if passes > 1 else None)
         if index is None:
             continue
         out = _search(out if k == 0 else work.table(out), docs.sparkSession.sparkContext.broadcast(index), text)
     return out
 
 
+def _whole(counts: DataFrame, every: DataFrame, part: int, count: int, words: int) -> Statistics:
+    """The whole benchmark's statistics of the terms of one part, which are bounded as its bytes are."""
+    found = counts.filter((F.col("part") == part) & F.col("term").isNotNull()).select("term").join(every, "term").toArrow()
+    terms = found["term"].to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    return Statistics(count, words, terms[order], found["df"].to_numpy()[order])
+
+
+def _merged(old: list[dict], new: list[tuple[object, float, float]]) -> list[dict]:
+    """Leaks of earlier passes and of this one, one of each item."""
+    best = {x["item_id"]: x for x in old}
+    for i, o, s in new:
+        x = best.get(i)
+        best[i] = {"item_id": i, "overlap": max(o, x["overlap"]) if x else o, "score": max(s, x["score"]) if x else s}
+    return list(best.values())
+
+
 def _search(docs: DataFrame, index, text: str) -> DataFrame:
     at, leaks = docs.columns.index(text), docs.columns.index("leaks")
     names = docs.columns
@@ -221,7 +294,7 @@ def _search(docs: DataFrame, index, text: str) -> DataFrame:
         for b in batches:
             kind = b.column(leaks).type
             found = search(index.value, b.column(at)) if b.num_rows else []
-            merged = [[*old, *({"item_id": i, "overlap": o, "score": s} for i, o, s in new)] for old, new in zip(b.column(leaks).to_pylist(), found)]
+            merged = [_merged(old, new) if new else old for old, new in zip(b.column(leaks).to_pylist(), found)]
             columns = [pa.array(merged, kind) if i == leaks else b.column(i) for i in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, names)
 

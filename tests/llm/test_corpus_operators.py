@@ -332,3 +332,40 @@ def test_items_of_few_words_are_found_inside_texts(spark):
     docs = spark.createDataFrame([(1, f"{filler} Alpha, {filler}"), (2, f"{filler} beta gamma"), (3, f"gamma beta {filler}"), (4, f"x d e f g {filler}"), (5, "beta gamma")], "doc_id long, text string")
     got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in decontaminate.find(docs, items).collect()}
     assert got == {1: {1}, 2: {2}, 3: set(), 4: {4}, 5: {2}}
+
+
+def test_passes_over_the_benchmark_agree(spark):
+    rng = np.random.default_rng(4)
+    make = lambda n: " ".join(rng.choice([f"q{i}" for i in range(500)], n))
+    items = [(i % 25, f"{make(int(rng.integers(12, 40)))}\n{make(int(rng.integers(3, 30)))}") for i in range(40)]
+    docs = []
+    for i in range(60):
+        words = make(int(rng.integers(20, 300))).split()
+        if i % 2:
+            item = items[int(rng.integers(0, 40))][1].split()
+            words[5:5] = item[: int(len(item) * rng.uniform(0.4, 1))]
+        docs.append((i, " ".join(words)))
+    docs, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    got = [{r["doc_id"]: sorted((x["item_id"], round(x["overlap"], 9), round(x["score"], 9)) for x in r["leaks"]) for r in decontaminate.find(docs, benchmark, index_bytes=b).collect()} for b in (size, size // 4)]
+    assert got[0] == got[1] and 5 < sum(map(bool, got[0].values())) < 40
+
+
+def test_chunks_of_windows_score_alike(monkeypatch):
+    rng = np.random.default_rng(8)
+    index = decontaminate.build([(i, " ".join(rng.choice([f"c{k}" for k in range(60)], 40))) for i in range(200)])
+    window = np.repeat(np.arange(30), 12)
+    term = np.concatenate([np.sort(rng.choice(len(index.vocabulary), 12, replace=False)) for _ in range(30)])
+    whole = sorted(decontaminate.retrieve(index, window, term, 0.2))
+    monkeypatch.setattr(decontaminate, "HELD", 50)
+    assert whole and sorted(decontaminate.retrieve(index, window, term, 0.2)) == whole
+
+
+def test_what_one_document_repeats_can_stay(spark):
+    rng = np.random.default_rng(2)
+    make = lambda n: " ".join(rng.choice([f"m{i}" for i in range(3000)], n))
+    own, shared = make(60), make(60)
+    rows = [(1, f"{own}\n{own}\n{make(30)} {shared}"), (2, f"{make(30)}\n{shared} {make(33)}"), (3, f"{make(5)} {own[:40]}")]
+    got = {r["doc_id"]: r for r in paragraphs.remove(spark.createDataFrame(rows, "doc_id long, text string"), within=False).collect()}
+    assert got[1]["text"] == rows[0][1] and got[3]["text"] == rows[2][1] and got[1]["first_ids"] == [] and got[3]["first_ids"] == []
+    assert shared not in got[2]["text"] and got[2]["first_ids"] == [1] and got[2]["removed_words"] == 60
