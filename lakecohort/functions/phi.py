@@ -85,10 +85,30 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(c: Column, f) -> Column:
+    """f of a column that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _unicode(pattern: str) -> str:
+    """Digits, white space and word boundaries of all scripts."""
+    return "(?U)" + pattern
+
+
+#: What a text must hold for a pattern to match; all patterns but these and names of persons need a digit.
+_NEEDED = {"EMAIL": "@", "URL": "://"}
+_DIGITLESS = ("PERSON_NAME_PREFIX", "PERSON_NAME_GENERIC")
+
+
 def labels(c: Column | str, patterns: dict[str, str]) -> Column:
-    """Sorted labels of the patterns that a text matches; empty for null."""
+    """Sorted labels of the patterns that a text matches; empty for null. Patterns that need a digit are tried on texts with one."""
     c = _col(c)
-    return F.array_sort(F.filter(F.array(*[F.when(c.rlike(p), k) for k, p in patterns.items()]), lambda x: x.isNotNull()))
+    hit = lambda k: F.when(c.rlike(_unicode(patterns[k])), k)
+    numbered = [hit(k) for k in patterns if k not in _NEEDED and k not in _DIGITLESS]
+    others = [F.when(c.contains(_NEEDED[k]), hit(k)) if k in _NEEDED else hit(k) for k in patterns if k in _NEEDED or k in _DIGITLESS]
+    none = F.array().cast("array<string>")
+    found = F.concat(F.when(c.rlike(r"\p{Nd}"), F.array(*numbered)).otherwise(none) if numbered else none, F.array(*others) if others else none)
+    return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
 
 
 def is_clinical_phrase(c: Column | str) -> Column:
@@ -99,7 +119,8 @@ def is_clinical_phrase(c: Column | str) -> Column:
 
 def is_death_note(c: Column | str) -> Column:
     text = F.trim(_col(c))
-    return F.coalesce((text != "") & reduce(Column.__or__, [text.rlike(p) for p in DEATH_NOTES]), F.lit(False))
+    # what all notes hold, as their patterns try every place of a long text
+    return F.coalesce(text.rlike("(?i)exp(?:i|ri)|died|death") & reduce(Column.__or__, [text.rlike(p) for p in DEATH_NOTES]), F.lit(False))
 
 
 def looks_like_name(c: Column | str, lexicon: list[str]) -> Column:
@@ -125,8 +146,7 @@ def blocked(c: Column | str) -> Column:
 
 def gate(c: Column | str, lexicon: list[str] | None = None) -> Column:
     """struct(blocked, findings, warnings)."""
-    findings = labels(c, BLOCKING)
-    return F.struct((F.size(findings) > 0).alias("blocked"), findings.alias("findings"), warnings(c, lexicon).alias("warnings"))
+    return _let(labels(c, BLOCKING), lambda f: F.struct((F.size(f) > 0).alias("blocked"), f.alias("findings"), warnings(c, lexicon).alias("warnings")))
 
 
 def gated_text(c: Column | str) -> Column:
@@ -136,17 +156,19 @@ def gated_text(c: Column | str) -> Column:
 
 def _tag_subjects(c: Column, pattern: str) -> Column:
     """Subject ids replaced by a keyed tag, on a table that has gone through with_key."""
-    pieces = F.split(c, pattern)
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    tags = F.transform(found, lambda x: F.concat(F.lit("<SUBJ_"), F.substring(keyed.hmac(x), 1, 8), F.lit(">")))
-    return F.when(F.size(found) > 0, F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(tags, i), F.lit("")))), "")).otherwise(c)
+
+    def tagged(text: Column) -> Column:
+        tags = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.concat(F.lit("<SUBJ_"), F.substring(keyed.hmac(x), 1, 8), F.lit(">")))
+        return F.when(text.rlike(pattern), F.array_join(F.transform(F.split(text, pattern), lambda p, i: F.concat(p, F.coalesce(F.get(tags, i), F.lit("")))), "")).otherwise(text)
+
+    return _let(c, tagged)
 
 
 def redact(c: Column | str, subjects: bool = False) -> Column:
     """Blocking, then noted shapes as <LABEL>; subject ids by keyed tags (needs with_key) or as <SUBJ>."""
     c = _col(c)
     for label, pattern in (BLOCKING | WARNING).items():
-        c = F.regexp_replace(c, pattern, f"<{label}>")
+        c = F.regexp_replace(c, _unicode(pattern), f"<{label}>")
     for pattern in SUBJECT:
         c = _tag_subjects(c, pattern) if subjects else F.regexp_replace(c, pattern, "<SUBJ>")
     return c
@@ -160,7 +182,7 @@ def redact_log(c: Column | str) -> Column:
     for pattern in SERVICE_KEYS:
         c = F.regexp_replace(c, pattern, "<API_KEY>")
     for label, pattern in (BLOCKING | WARNING).items():
-        c = F.regexp_replace(c, pattern, f"<{label}>")
+        c = F.regexp_replace(c, _unicode(pattern), f"<{label}>")
     return c
 
 
@@ -168,7 +190,7 @@ def mask_event(c: Column | str, limit: int = 500) -> Column:
     """Cut to a length, then every hit as one mark."""
     c = F.substring(_col(c), 1, limit)
     for pattern in (*SUBJECT, *SERVICE_KEYS, *BLOCKING.values(), *WARNING.values()):
-        c = F.regexp_replace(c, pattern, REDACTED)
+        c = F.regexp_replace(c, _unicode(pattern), REDACTED)
     return c
 
 

@@ -85,7 +85,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def candidates(variables: DataFrame, description: str, k: int = 3, name: str = "variable_name", described: str = "description", form: str = "form_name") -> DataFrame:
     """As search, with a fuzzy score where words don't match, and a confidence."""
-    wanted = text.normalise_text(description)
+    wanted = " ".join(text.words(description))
     scored = variables.withColumn("score", text.variable_score(description, F.col(name), F.col(described), F.col(form)))
     # only variables without a score go to Python
     start = F.substring(text.normalise(F.coalesce(F.col(described), F.lit(""))), 1, max(3 * len(wanted), 40))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections import OrderedDict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,7 +16,15 @@ from lakecohort.sources import files
 
 # Other names of outcomes.
 OUTCOME_ALIASES = {"relapse": "unfavorable", "failure": "unfavorable", "unfavourable": "unfavorable", "recurrence": "unfavorable", "progression": "incident_tb", "incident": "incident_tb", "tb": "incident_tb"}
-READ_ONLY = re.compile(r"^\s*(?:select|with)\b", re.I)
+#: Cohorts that a study keeps built.
+KEPT = 16
+# Parts of a statement that run_sql takes, by the names of Spark's parsed plan, and functions.
+PLAN = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Distinct UnresolvedHaving UnresolvedRelation SubqueryAlias".split())
+EXPRESSIONS = frozenset(
+    "UnresolvedAttribute UnresolvedStar UnresolvedAlias UnresolvedOrdinal Alias Literal And Or Not EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual In IsNull IsNotNull "
+    "Like Between Add Subtract Multiply Divide UnaryMinus Cast CaseWhen UnresolvedFunction SortOrder".split()
+)
+FUNCTIONS = frozenset("count sum avg mean min max stddev median lower upper trim length round abs floor ceil coalesce nullif if year month between".split())
 
 
 class Blocked(Exception):
@@ -33,7 +41,7 @@ class Study:
     quasi: tuple[str, ...] = ()
     sensitive: tuple[str, ...] = ()
     k: int = privacy.SMALL
-    _results: dict = field(default_factory=dict, repr=False)
+    _results: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     def _guard(self, df: DataFrame) -> DataFrame:
         present = rows.present(df, self.quasi)
@@ -62,9 +70,8 @@ class Study:
         if name is None:
             raise KeyError(f"unknown dataset {dataset!r}")
         found = self._guard(rows.filter_equal(self.frames[name], filter_column, filter_value))
-        first = rows.limited(found, order or found.columns[0], limit)
-        shown = rows.project(first, columns)
-        return rows.hide_dates(shown, [c for c, t in shown.dtypes if t == "string"])
+        file_order = "_provenance.row_index" if "_provenance" in found.columns else found.columns[0]
+        return _redacted(rows.project(rows.limited(found, order or file_order, limit), columns))
 
     def get_dataset_stats(self, dataset: str | None = None) -> DataFrame:
         """Counts of small tables are masked."""
@@ -76,11 +83,23 @@ class Study:
         return summaries.overview(self.variables, summaries.dataset_statistics(self.frames, rows.INTERNAL))
 
     def run_sql(self, query: str) -> DataFrame:
-        """One read-only statement over the views df_<table>; no other kind of statement is taken."""
-        if not READ_ONLY.match(query) or ";" in query.rstrip().rstrip(";"):
-            raise PermissionError("a single SELECT is allowed")
-        files.expose({n: rows.visible(df) for n, df in self.frames.items()})
-        return self._guard(self.spark.sql(query.rstrip().rstrip(";")))
+        """A single SELECT over the views df_<table>, of allowed parts and functions only; texts of the result are redacted.
+
+        What Spark's parser makes of the statement is checked, so nothing runs before it is taken. Each table that it reads
+        has to pass the gate as a whole: then every class of quasi-identifiers has enough rows, whatever is selected.
+        """
+        views = {files.view_name(n).lower(): n for n in self.frames}
+        try:
+            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+        except Exception:
+            raise PermissionError("a single SELECT is allowed") from None
+        used = _relations(plan)
+        if not used or not used <= set(views):
+            raise PermissionError("only tables of the study can be read")
+        for view in used:
+            self._guard(self.frames[views[view]])
+        files.expose({views[v]: rows.visible(self.frames[views[v]]) for v in used})
+        return _redacted(self.spark.sql(query))
 
     def cross_reference_variables(self, name: str, limit: int = 20) -> tuple[DataFrame, DataFrame]:
         """(definitions, completeness by table) of variables whose name holds the text."""
@@ -96,11 +115,15 @@ class Study:
 
     def run_study_analysis(self, cohort: str, outcome: str, predictors: Sequence[str], moderator: str | None = None) -> dict:
         """Descriptives, fits and caveats of a cohort; with few events descriptives only. Built tables are kept for the session."""
-        key = (cohort, outcome, tuple(sorted(predictors)))
         spec = self.cohorts[cohort]
+        version = tuple(df.semanticHash() for _, df in sorted(self.frames.items()))
+        key = (cohort, outcome, tuple(sorted(predictors)), version)
         outcome = outcome if outcome in spec.outcomes else OUTCOME_ALIASES.get(outcome.lower(), outcome)
         if key not in self._results:
             self._results[key] = build(spec, self.frames, outcome, predictors).cache()
+            while len(self._results) > KEPT:
+                self._results.popitem(last=False)[1].unpersist()
+        self._results.move_to_end(key)
         df = self._results[key]
         counts = summaries.events(df, "outcome").first()
         gaps = [r["column"] for r in summaries.missing(df, predictors, stats.MISSING).collect()]
@@ -121,6 +144,42 @@ class Study:
         return found.withColumn("text", phi.sanitise(phi.redact("text")))
 
 
+def _redacted(df: DataFrame) -> DataFrame:
+    """Dates hidden and identifiers taken out of every text."""
+    hidden = rows.hide_dates(df, [c for c, t in df.dtypes if t == "string"])
+    return phi.redact_leaves(hidden)
+
+
+def _relations(plan) -> set[str]:
+    """The views that a parsed plan reads; PermissionError if any part of it isn't allowed."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in PLAN:
+        raise PermissionError(f"{kind} is not allowed")
+    expressions = plan.expressions()
+    for i in range(expressions.length()):
+        _check(expressions.apply(i))
+    if kind == "UnresolvedRelation":
+        parts = plan.multipartIdentifier()
+        if parts.length() != 1:
+            raise PermissionError("only tables of the study can be read")
+        return {parts.apply(0).lower()}
+    children = plan.children()
+    return set().union(*(_relations(children.apply(i)) for i in range(children.length())))
+
+
+def _check(expression) -> None:
+    kind = expression.getClass().getSimpleName().rstrip("$")
+    if kind not in EXPRESSIONS:
+        raise PermissionError(f"{kind} is not allowed")
+    if kind == "UnresolvedFunction":
+        name = expression.nameParts()
+        if name.length() != 1 or name.apply(0).lower() not in FUNCTIONS:
+            raise PermissionError(f"function {name.mkString('.')} is not allowed")
+    children = expression.children()
+    for i in range(children.length()):
+        _check(children.apply(i))
+
+
 def narrative(cohort: str, outcome: str, result: dict) -> str:
     """The result as Markdown."""
     rate = "-" if result["rate"] is None else f"{result['rate']:.1%}"

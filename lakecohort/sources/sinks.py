@@ -20,26 +20,34 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _replace(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename source to target; what was there moves aside first and comes back if that fails."""
+    fs, goal = _fs(spark, target)
+    aside = _fs(spark, f"{target.rstrip('/')}.old-{uuid.uuid4().hex}")[1]
+    old = fs.exists(goal)
+    if old and not fs.rename(goal, aside):
+        return False
+    if not fs.rename(_fs(spark, source)[1], goal):
+        if old:
+            fs.rename(aside, goal)
+        return False
+    if old:
+        fs.delete(aside, True)
+    return True
+
+
 def write_staged(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Write beside the target and rename, so that readers see the old table or the whole new one."""
+    """Write beside the target, then rename: the target is the old table or the whole new one, and missing only between two renames."""
     spark, staging = df.sparkSession, f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     df.write.format(kind).save(staging)
-    fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(_fs(spark, staging)[1], target):
+    if not _replace(spark, staging, path):
         raise OSError(f"{staging} can't be renamed to {path}")
 
 
 def publish(spark: SparkSession, staging: str, target: str) -> bool:
     """Move a staged folder into place; an empty one isn't published."""
     fs, source = _fs(spark, staging)
-    if not fs.exists(source) or not fs.listStatus(source):
-        return False
-    goal = _fs(spark, target)[1]
-    if fs.exists(goal):
-        fs.delete(goal, True)
-    return bool(fs.rename(source, goal))
+    return fs.exists(source) and bool(fs.listStatus(source)) and _replace(spark, staging, target)
 
 
 def write_document(path: str, payload: object) -> None:
@@ -63,8 +71,15 @@ def with_provenance(df: DataFrame, source_file: str, sheet: str, study: str, ver
     """Rows with source_file and a _provenance struct. order: a column that numbers the rows of the file; without it rows are numbered as read."""
     at = at or datetime.now(UTC).isoformat()
     if order is None:
-        schema = df.schema.add("__row", "long")
-        df = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
+        # ids grow within a partition; how many rows come before it follows from the counts, one a partition
+        df = df.withColumn("__id", F.monotonically_increasing_id())
+        part = F.shiftright("__id", 33).alias("__part")
+        before, at_part = 0, []
+        for r in df.groupBy(part).agg(F.count("*").alias("n")).orderBy("__part").collect():
+            at_part.append((r["__part"], before))
+            before += r["n"]
+        bases = df.sparkSession.createDataFrame(at_part, "__part long, __base long")
+        df = df.withColumn("__part", F.shiftright("__id", 33)).join(F.broadcast(bases), "__part").withColumn("__row", F.col("__base") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__base")
         order = "__row"
     made = F.struct(
         F.lit(source_file).alias("source_file"), F.lit(sheet).alias("sheet_name"), F.col(order).cast("long").alias("row_index"), F.lit(study).alias("study_name"),
@@ -75,9 +90,10 @@ def with_provenance(df: DataFrame, source_file: str, sheet: str, study: str, ver
 
 
 def metadata_row(df: DataFrame, source_file: str) -> DataFrame:
-    """What stands for a file with a header and no rows: its columns."""
+    """What stands for a file with a header and no rows: its columns, as nulls and by name, under row index -1."""
     info = F.struct(F.lit("column_structure").alias("type"), F.array(*map(F.lit, df.columns)).alias("columns"), F.lit("file has no rows").alias("note"))
-    return df.sparkSession.range(1).select(F.lit(source_file).alias("source_file"), info.alias("_metadata"))
+    empty = [F.lit(None).cast(t).alias(c) for c, t in df.dtypes]
+    return df.sparkSession.range(1).select(*empty, F.lit(source_file).alias("source_file"), F.lit(-1).cast("long").alias("row_index"), info.alias("_metadata"))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

@@ -206,3 +206,37 @@ def test_scrub_on_a_stream(spark, tmp_path):
     q = streaming.scrub(streaming.read(spark, src, df.schema), rules, KEY, out, str(tmp_path / "q"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 1 and spark.read.parquet(str(tmp_path / "q")).count() == 1
+
+
+def test_statements_can_not_get_round_the_gate(spark, tmp_path):
+    study = _study(spark)
+    assert study.run_sql("SELECT IS_SEX, count(*) AS n FROM df_s WHERE IS_AGE > 30 GROUP BY IS_SEX ORDER BY n").count() == 2
+    few = api.Study(spark, {"t": spark.createDataFrame([("a", 1, "call +91 9876543210 or a.b@c.org"), ("b", 2, None)], "SEX string, AGE int, NOTE string")}, study.variables, quasi=("SEX",))
+    for q in ("SELECT NOTE FROM df_t", "SELECT AGE AS a, SEX AS b FROM df_t", "SELECT * FROM df_t"):
+        with pytest.raises(api.Blocked):
+            few.run_sql(q)
+    (tmp_path / "x.txt").write_text("secret")
+    refused = [
+        f"SELECT * FROM text.`{tmp_path}/x.txt`", "SELECT reflect('java.lang.System', 'getProperty', 'user.name') FROM df_s", "SELECT java_method('java.lang.System', 'nanoTime') FROM df_s",
+        f"WITH x AS (SELECT * FROM df_s) INSERT OVERWRITE DIRECTORY '{tmp_path}/out' USING csv SELECT * FROM x", "SELECT * FROM df_s WHERE IS_AGE IN (SELECT AGE FROM df_t)", "SELECT 1", "SELECT * FROM other",
+        "SELECT * FROM df_s; DROP TABLE x", "CREATE VIEW v AS SELECT * FROM df_s", "SELECT input_file_name() FROM df_s", "SELECT * FROM range(3)",
+    ]
+    for q in refused:
+        with pytest.raises(PermissionError):
+            study.run_sql(q)
+    assert not (tmp_path / "out").exists()
+    open_study = api.Study(spark, few.frames, study.variables)
+    shown = open_study.query_dataset("t").collect() + open_study.run_sql("SELECT NOTE FROM df_t").collect()
+    assert all("9876543210" not in str(r) and "a.b@c.org" not in str(r) for r in shown)
+
+
+def test_rows_are_numbered_as_read_and_headers_alone_are_kept(spark, tmp_path):
+    df = spark.range(100, numPartitions=4)
+    made = sinks.with_provenance(df, "f.csv", "s", "study", at="t").select("id", "_provenance.row_index").collect()
+    assert [r["id"] for r in made] == [r["row_index"] for r in made] == list(range(100))
+    row = sinks.metadata_row(spark.createDataFrame([], "a string, b int"), "f.csv").first()
+    assert row["a"] is None and row["b"] is None and row["row_index"] == -1 and row["_metadata"]["columns"] == ["a", "b"]
+    for n in (3, 5):
+        sinks.write_staged(spark.range(n), str(tmp_path / "t"), "parquet")
+        assert spark.read.parquet(str(tmp_path / "t")).count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]

@@ -33,3 +33,9 @@ def test_every_turn_is_sanitised_as_it_is(spark, tmp_path):
     assert got[2, 0] == framed("a user's new idea") and got[2, 3] == framed("é, plain")
     for i in range(len(phrases)):
         assert phi.INJECTED in got[1, i] and phrases[i] not in got[1, i]
+
+
+def test_digits_of_all_scripts_are_found(spark):
+    df = spark.createDataFrame([("९८७६ ५४३२ १०९८",), ("no digits, a.b@c.org",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(phi.labels("t", phi.BLOCKING)).collect()] == [["AADHAAR"], ["EMAIL"], [], []]
+    assert [r[0] for r in df.select(phi.redact("t")).collect()] == ["<AADHAAR>", "no digits, <EMAIL>", "plain", None]
