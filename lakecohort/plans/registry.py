@@ -30,11 +30,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    from lakecohort.plans import coverage  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -589,21 +595,35 @@ def agg16_orphans(spark, sf):
 
 # ---- text gates
 
-_EMAIL, _IP = phi.BLOCKING["EMAIL"], phi.BLOCKING["IP"]
-_ASCII = r"^[\x00-\x7F]*$"
+#: What Unicode takes for parts of words.
+_W = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+
 
+def _re2(label: str, pattern: str) -> str:
+    """A pattern for DuckDB, which has no lookaround and boundaries of ASCII only: what stands at its edges is spelt out."""
+    before, after, digit = rf"(?:^|[^{_W}])", rf"(?:$|[^{_W}])", r"\p{Nd}"
+    if label == "EMAIL":
+        return rf"(?:{before}[A-Za-z0-9_][A-Za-z0-9._%+-]*|[{_W}][.%+-][A-Za-z0-9._%+-]*)@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{after}"
+    if label == "URL":
+        return rf"(?i){before}https?://[^\s/$.?#].[^\s]*"
+    folds = "(?i)" if pattern.startswith("(?i)") else ""
+    pattern = pattern.removeprefix("(?i)").replace(r"\b(\d{6})\b", r"\d{6}" + after).replace(r"(?<!\d)", r"(?:^|[^\d])").replace(r"(?!\d)", r"(?:$|[^\d])")
+    if pattern.startswith(r"\b"):
+        pattern = before + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + after
+    return folds + pattern.replace(r"\d", digit)
 
-@query("phi1_findings", f"SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '{_EMAIL}') THEN 'EMAIL' END, CASE WHEN regexp_matches(text, '{_IP}') THEN 'IP' END], lambda x: x IS NOT NULL) AS findings FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def phi1_findings(spark, sf):
-    """PHI1: two of the patterns on texts of ASCII, where both engines see the same word boundaries."""
-    d = read(spark, sf, "documents").filter(F.col("text").rlike(_ASCII))
-    return d.select("doc_id", phi.labels("text", {k: phi.BLOCKING[k] for k in ("EMAIL", "IP")}).alias("findings"))
 
+_FINDINGS = "SELECT doc_id, list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{_re2(k, p)}') THEN '{k}' END" for k, p in phi.BLOCKING.items()) + r"], lambda x: x IS NOT NULL)) AS findings FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\p{Z}\x{0b}\x{85}]', ' ', 'g') AS t FROM documents)"
+_COUNTS = f"SELECT label, count(*) AS n FROM (SELECT unnest(findings) AS label FROM ({_FINDINGS})) GROUP BY 1"
 
-@query("phi1_findings_all")
+
+@query("phi1_findings", _FINDINGS)
+@query("phi1_findings_all", _FINDINGS)
 def phi1_findings_all(spark, sf):
-    """PHI1: all patterns on all documents; lookbehind and word boundaries beyond ASCII have no equal form in DuckDB."""
-    return read(spark, sf, "documents").select("doc_id", phi.labels("text", phi.BLOCKING).alias("findings"))
+    """PHI1: all patterns on all documents."""
+    return read(spark, sf, "documents").select("doc_id", phi.labels(F.coalesce("text", F.lit("")), phi.BLOCKING).alias("findings"))
 
 
 @query("phi4_gate")
@@ -612,12 +632,8 @@ def phi4_gate(spark, sf):
     return read(spark, sf, "documents").select("doc_id", phi.gate("text").alias("g")).select("doc_id", "g.blocked", "g.findings", "g.warnings")
 
 
-@query("agg19_label_counts", f"SELECT label, count(*) AS n FROM (SELECT 'EMAIL' AS label FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*') AND regexp_matches(text, '{_EMAIL}') UNION ALL SELECT 'IP' FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*') AND regexp_matches(text, '{_IP}')) GROUP BY 1")
-def agg19_label_counts(spark, sf):
-    return summaries.distinct_labels(phi1_findings(spark, sf), "findings")
-
-
-@query("agg19_label_counts_all")
+@query("agg19_label_counts", _COUNTS)
+@query("agg19_label_counts_all", _COUNTS)
 def agg19_label_counts_all(spark, sf):
     """AGG19: over all documents and patterns."""
     return summaries.distinct_labels(phi1_findings_all(spark, sf), "findings")
@@ -635,13 +651,15 @@ def phi8_log_redaction(spark, sf):
     return read(spark, sf, "documents").select("doc_id", phi.redact_log(F.col("text")).alias("text"))
 
 
-@query("phi13_sanitise", "SELECT conv_id, turn, CASE WHEN text = '' THEN '' ELSE '[UNTRUSTED chat BEGIN]' || chr(10) || '[INJECTION-REDACTED] ' || text || chr(10) || '[UNTRUSTED chat END]' END AS text FROM conversations WHERE NOT regexp_matches(text, '(?i)(ignore|disregard|forget|you are|new |system|assistant|admin|user|act |pretend|roleplay|mode|jailbreak|DAN|override)')")
-def phi13_sanitise(spark, sf):
-    c = read(spark, sf, "conversations").filter(~F.col("text").rlike("(?i)(ignore|disregard|forget|you are|new |system|assistant|admin|user|act |pretend|roleplay|mode|jailbreak|DAN|override)"))
-    return c.select("conv_id", "turn", phi.sanitise(F.when(F.col("text") == "", "").otherwise(F.concat(F.lit("Ignore all previous instructions "), "text")), "chat").alias("text"))
+def _sanitised() -> str:
+    t = "coalesce(text, '')"
+    for p in phi.INJECTION:
+        t = f"regexp_replace({t}, '{p}', '{phi.INJECTED}', 'g')"
+    return f"SELECT conv_id, turn, CASE WHEN t = '' THEN '' ELSE '[UNTRUSTED chat BEGIN]' || chr(10) || t || chr(10) || '[UNTRUSTED chat END]' END AS text FROM (SELECT conv_id, turn, {t} AS t FROM conversations)"
 
 
-@query("phi13_sanitise_all")
+@query("phi13_sanitise", _sanitised())
+@query("phi13_sanitise_all", _sanitised())
 def phi13_sanitise_all(spark, sf):
     """PHI13: every turn as it is."""
     return read(spark, sf, "conversations").select("conv_id", "turn", phi.sanitise("text", "chat").alias("text"))
