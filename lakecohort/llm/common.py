@@ -89,8 +89,12 @@ def sweep(spark: SparkSession, *keep: Workspace) -> None:
 def hot_keys(counts: DataFrame, key: str, total: int | None = None) -> DataFrame | None:
     """(key, salts) of the hot keys of (key, n), SPREAD rows at most; None if there are none. total: of n, if that is known."""
     total = (counts.agg(F.sum("n")).first()[0] or 0) if total is None else total
-    rows = counts.filter(F.col("n") * SPREAD > total).select(key, F.ceil(F.col("n") * SPREAD / F.lit(max(total, 1))).cast("int").alias("salts")).collect() if total else []
-    return counts.sparkSession.createDataFrame(rows, counts.select(key, F.lit(0).alias("salts")).schema) if rows else None
+    if not total:
+        return None
+    hot = counts.filter(F.col("n") * SPREAD > total).select(key, F.ceil(F.col("n") * SPREAD / F.lit(total)).cast("int").alias("salts"))
+    # as Arrow, since a list of rows would go through Python workers of its own
+    found = hot.toArrow()
+    return counts.sparkSession.createDataFrame(found, hot.schema) if found.num_rows else None
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:

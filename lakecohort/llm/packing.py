@@ -119,7 +119,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # limit rows at most
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    places = spark.createDataFrame(slots(plan(histogram, limit)), "slot_length int, lo long, hi long, first_sequence long, offset long")
+    names = ["slot_length", "lo", "hi", "first_sequence", "offset"]
+    found = list(zip(*slots(plan(histogram, limit)))) or [()] * len(names)
+    # as Arrow, since a list of rows would go through Python workers of its own
+    places = spark.createDataFrame(pa.table({n: pa.array(c, pa.int32() if n == "slot_length" else pa.int64()) for n, c in zip(names, found)}))
     ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     # the slots are bounded by the bins of the histogram
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))

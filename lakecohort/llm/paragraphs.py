@@ -119,20 +119,25 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     work = common.Workspace(docs.sparkSession, "paragraphs")
     # the row in one column, so that no name can clash
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(doc_id, text).alias("row"))
-    by_line = work.table(cut_lines(marked(named, work.table(repeated(docs, work, doc_id, text, min_words, banding, within)), "places", "line_firsts"), text))
+    rest, joined = marked(named, work.table(repeated(docs, work, doc_id, text, min_words, banding, within)), "places", "line_firsts")
+    by_line = work.table(cut_lines(rest.unionByName(joined), text))
     runs = work.table(passages.repeated(by_line.select("row", "text"), work, within))
-    return cut_runs(marked(by_line, runs, "starts", "run_firsts"), docs.columns, text)
+    rest, joined = marked(by_line, runs, "starts", "run_firsts")
+    # each branch has one Python step, so that a task keeps one worker
+    whole = rest.select("*", F.col("text").alias("cut_text"), F.col("words").alias("cut_words"))
+    cut = joined.select("*", passages.cut_text("text", "starts").alias("cut_text"), (F.col("words") + passages.cut_words("starts")).alias("cut_words"))
+    return result(whole.unionByName(cut), docs.columns, text)
 
 
-def marked(named: DataFrame, cuts: DataFrame, column: str, firsts: str) -> DataFrame:
-    """named with the two columns of cuts of the same row (null: none); only rows that a prefilter can't clear go through the join."""
+def marked(named: DataFrame, cuts: DataFrame, column: str, firsts: str) -> tuple[DataFrame, DataFrame]:
+    """named with the two columns of cuts of the same row (null: none): rows that a prefilter clears, and the others, which go through the join."""
     touched = neardup.Prefilter(cuts.select(F.xxhash64("row").alias("h")), "h")
     named = named.withColumn("cut", touched.column(F.xxhash64("row")))
     # compared field by field, as doc_id may be null
     cuts = cuts.select(F.col("row").alias("cut_row"), column, firsts)
     joined = named.filter("cut").join(cuts, F.col("row").eqNullSafe(F.col("cut_row")), "left").drop("cut_row")
     rest = named.filter("not cut").select("*", *[F.lit(None).cast(cuts.schema[c].dataType).alias(c) for c in (column, firsts)])
-    return rest.unionByName(joined).drop("cut")
+    return rest.drop("cut"), joined.drop("cut")
 
 
 def cut_lines(docs: DataFrame, text: str) -> DataFrame:
@@ -146,9 +151,9 @@ def cut_lines(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc", "row", F.when(none, whole).otherwise(F.array_join(kept, "\n")).alias("text"), "places", "line_firsts", F.when(none, 0).otherwise(words).cast("long").alias("words"))
 
 
-def cut_runs(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The columns of doc after the cuts of runs, with removed_places, removed_words and first_ids in place of columns of these names."""
-    made = docs.select("doc", "places", passages.cut_text("text", "starts").alias("cut_text"), (F.col("words") + passages.cut_words("starts")).alias("cut_words"), *(F.coalesce(c, F.array().cast(docs.schema[c].dataType)).alias(c) for c in ("line_firsts", "run_firsts")))
+def result(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns of doc with the text after all cuts, and removed_places, removed_words and first_ids in place of columns of these names."""
+    made = docs.select("doc", "places", "cut_text", "cut_words", *(F.coalesce(c, F.array().cast(docs.schema[c].dataType)).alias(c) for c in ("line_firsts", "run_firsts")))
     names = ("removed_places", "removed_words", "first_ids")
     return made.select(
         *[(F.col("cut_text") if c == text else F.col("doc").getField(c)).alias(c) for c in columns if c not in names],
