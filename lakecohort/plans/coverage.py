@@ -292,7 +292,7 @@ def scl23_relative_age(spark, sf):
 # ---- de-identification and gates
 
 
-@query("dei3_birthdate", "SELECT o_orderkey, NULL AS BIRTHDAT FROM orders")
+@query("dei3_birthdate", "SELECT o_orderkey, CAST(NULL AS VARCHAR) AS BIRTHDAT FROM orders")
 def dei3_birthdate(spark, sf):
     """DEI3: under safe harbour a date of birth is dropped."""
     o = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("SUBJID"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("BIRTHDAT"))
