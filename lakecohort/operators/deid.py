@@ -131,59 +131,61 @@ def date_text(c: Column, kind: str) -> Column:
     return c if kind == "string" else dates.as_stored(c) if kind.startswith("timestamp") else c.cast("string")
 
 
-def scrub(df: DataFrame, rules: Rules, key: bytes, audit: bool = False) -> DataFrame:
-    """Rows after all rules, with the marker; rows that have the marker already pass. With audit, a column __events counts (scope, field).
-
-    Columns that are dropped are gone; rows without a subject id are still here: split them with quarantine.
-    """
+def _changes(df: DataFrame, rules: Rules, moved: Column) -> tuple[list[Column], list[tuple[str, str, Column]]]:
+    """The columns after all rules, and (scope, field, whether it happened) of what rules do."""
     kinds = dict(df.dtypes)
     already = F.coalesce(F.col(MARKER) == VERSION, F.lit(False)) if MARKER in df.columns else F.lit(False)
-    keyed_df = keyed.with_key(df, key).withColumn("__subject", subject(df.columns, rules))
-    moved = keyed.offset(F.col("__subject"), rules.jitter_days)
     out, events = [], []
-
-    def event(scope: str, name: str, changed: Column) -> None:
-        events.append(F.when(changed & ~already, F.struct(F.lit(scope).alias("scope"), F.lit(name).alias("field"))))
-
+    event = lambda scope, name, changed: events.append((f"phi-scrub-{scope}", name, F.coalesce(changed & ~already, F.lit(False))))
     for name in df.columns:
         if name == MARKER:
             continue
         c, kind, a = F.col(f"`{name}`"), kinds[name], action(name, rules)
         new = c
         if a.kind == "drop":
-            event("phi-scrub-drop", name, F.lit(True))
+            event("drop", name, F.lit(True))
             continue
         if a.kind == "cap":
             new = cap(c, *a.arguments)
-            event("phi-scrub-cap", name, F.coalesce(numbers.to_number(c) > a.arguments[0], F.lit(False)))
+            event("cap", name, numbers.to_number(c) > a.arguments[0])
         elif a.kind == "generalize":
             new = generalize(c, *a.arguments)
-            event("phi-scrub-generalize", name, ~new.eqNullSafe(c.cast("string")))
+            event("generalize", name, ~new.eqNullSafe(c.cast("string")))
         elif a.kind == "suppress":
             new = suppress(c, *a.arguments, kind)
-            event("phi-scrub-suppress", name, F.coalesce(numbers.to_number(c) > a.arguments[0], F.lit(False)))
+            event("suppress", name, numbers.to_number(c) > a.arguments[0])
         elif a.kind == "date":
             text = date_text(c, kind)
-            new = dates.shift(text, moved, *a.arguments)
-            blank = F.coalesce(F.trim(text) == "", F.lit(True))
-            event("phi-scrub-date", name, new.isNotNull())
-            event("phi-scrub-date-unparsed", name, new.isNull() & ~blank)
+            new, parsed = dates.shift(text, moved, *a.arguments), dates.parse(text, *a.arguments).isNotNull()
+            event("date", name, parsed)
+            event("date-unparsed", name, ~parsed & ~F.coalesce(F.trim(text) == "", F.lit(True)))
         elif a.kind == "id":
             new = keyed.pseudonym(c, *a.arguments)
-            event("phi-scrub-id", name, F.coalesce(F.trim(c.cast("string")) != "", F.lit(False)))
+            event("id", name, F.trim(c.cast("string")) != "")
         if a.kind != "keep":
             new = F.when(already, date_text(c, kind) if a.kind == "date" else c if a.kind == "suppress" else c.cast("string")).otherwise(new)
         out.append(new.alias(name))
-    out.append(F.lit(VERSION).alias(MARKER))
-    if audit:
-        out.append((F.filter(F.array(*events), lambda e: e.isNotNull()) if events else F.array().cast("array<struct<scope:string,field:string>>")).alias("__events"))
-        out.append((F.col("__subject") == "").alias("__orphan"))
-    return keyed_df.select(*out)
+    return out, events
+
+
+def scrub(df: DataFrame, rules: Rules, key: bytes) -> DataFrame:
+    """Rows after all rules, with the marker; rows that have the marker already pass.
+
+    Columns that are dropped are gone; rows without a subject id are still here: split them with quarantine.
+    """
+    keyed_df = keyed.with_key(df, key).withColumn("__subject", subject(df.columns, rules))
+    out, _ = _changes(df, rules, keyed.offset(F.col("__subject"), rules.jitter_days))
+    return keyed_df.select(*out, F.lit(VERSION).alias(MARKER))
 
 
 def audit_counts(df: DataFrame, rules: Rules, key: bytes) -> DataFrame:
-    """scope, field and events of a scrub; what never happened has no row."""
-    return scrub(df, rules, key, audit=True).select(F.explode("__events").alias("e")).groupBy("e.scope", "e.field").agg(F.count("*").alias("events"))
+    """scope, field and events of a scrub; what never happened has no row. Flags are added up, so nothing is hashed or shifted; key is for symmetry."""
+    _, events = _changes(df, rules, F.lit(0))
+    if not events:
+        return df.sparkSession.createDataFrame([], "scope string, field string, events long")
+    sums = df.agg(*[F.coalesce(F.sum(flag.cast("long")), F.lit(0)).alias(str(i)) for i, (_, _, flag) in enumerate(events)])
+    each = F.array(*[F.struct(F.lit(scope).alias("scope"), F.lit(field).alias("field"), F.col(str(i)).alias("events")) for i, (scope, field, _) in enumerate(events)])
+    return sums.select(F.inline(each)).filter("events > 0")
 
 
 def quarantine(df: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from lakecohort.functions import dates, numbers, phi, text
 from lakecohort.operators import catalogue, dedup, deid, rows, stats
 from lakecohort.plans import api
 from lakecohort.plans.registry import TEST_KEY, query, read
-from lakecohort.sources import files, sinks
+from lakecohort.sources import files, runs, sinks
 
 TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
 
@@ -430,3 +430,48 @@ def st10_plot_points(spark, sf):
     """ST10: points near their outcome."""
     points = stats.plot_data(read(spark, sf, "labels"), "toxic", "quality")
     return points.select("x", "outcome", (F.abs(F.col("y") - F.col("outcome")) < 0.5).alias("near"))
+
+
+@query("scl19_small_talk", "SELECT conv_id, turn, turn % 4 <> 3 AS small FROM conversations")
+def scl19_small_talk(spark, sf):
+    """SCL19: greetings and what is too short."""
+    k = F.col("turn") % 4
+    said = F.when(k == 0, " Thank you!! ").when(k == 1, "ok").when(k == 2, "Hello, 1").otherwise(F.concat(F.lit("which forms hold "), "text"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", text.is_small_talk(said).alias("small"))
+
+
+@query("gov9_ingest", "SELECT c_custkey % 100 AS k, CAST(c_nationkey AS VARCHAR) AS nation, 0 AS code, true AS skipped_again, 1 AS broken_code FROM customer")
+def gov9_ingest(spark, sf):
+    """GOV1, GOV8, GOV9, DEI11: files read, cleaned, scrubbed and published; the same run again is skipped, one without subjects fails."""
+    path = local(folder(spark))
+    rules, c = deid.Rules(drop=("NAME",), ids=(("^SUBJID$", "SUBJ"),)), read(spark, sf, "customer")
+    made = c.select(F.col("c_custkey").alias("SUBJID"), (F.col("c_custkey") % 100).alias("K"), F.col("c_name").alias("NAME"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("NATION"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("NATION_2"))
+    _one_file(made, f"{path}/in/visits.csv")
+    _one_file(made.withColumn("SUBJID", F.lit(None).cast("string")), f"{path}/bad/visits.csv")
+    first, again = (runs.ingest(spark, f"{path}/in", f"{path}/out", rules, TEST_KEY) for _ in range(2))
+    broken = runs.ingest(spark, f"{path}/bad", f"{path}/none", rules, TEST_KEY)
+    out = spark.read.parquet(f"{path}/out/visits")
+    assert set(out.columns) == {"SUBJID", "K", "NATION", deid.MARKER}
+    return out.select(F.col("K").cast("long").alias("k"), F.substring("NATION", 2, 9).alias("nation"), F.lit(first["code"]).alias("code"), F.lit(again["skipped"]).alias("skipped_again"), F.lit(broken["code"]).alias("broken_code"))
+
+
+def _one_file(df: DataFrame, path: str) -> None:
+    """A table as one CSV file of this name, as studies hand them over."""
+    import os
+    import shutil
+    from pathlib import Path
+
+    sinks.write_csv(df, f"{path}.parts")
+    os.rename(next(Path(f"{path}.parts").glob("part-*.csv")), path)
+    shutil.rmtree(f"{path}.parts")
+
+
+@query("gov5_snapshots", "SELECT n_nationkey FROM nation")
+def gov5_snapshots(spark, sf):
+    """GOV5: a table changed after it was saved, and restored."""
+    path, n = folder(spark), read(spark, sf, "nation").select("n_nationkey")
+    n.write.parquet(f"{path}/t")
+    runs.save_snapshot(spark, f"{path}/t", f"{path}/store", "one")
+    sinks.write_staged(n.filter("n_nationkey = 0"), f"{path}/t", "parquet")
+    runs.restore_snapshot(spark, f"{path}/store", "one", f"{path}/t")
+    return spark.read.parquet(f"{path}/t")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakecohort.operators import catalogue, dedup, deid, privacy, rows, stats, summaries
 from lakecohort.plans import api, knowledge
-from lakecohort.sources import files, sinks
+from lakecohort.sources import files, runs, sinks
 from lakecohort.streaming import scrub as streaming
 
 KEY = bytes(range(32))
@@ -240,3 +240,16 @@ def test_rows_are_numbered_as_read_and_headers_alone_are_kept(spark, tmp_path):
         sinks.write_staged(spark.range(n), str(tmp_path / "t"), "parquet")
         assert spark.read.parquet(str(tmp_path / "t")).count() == n
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_runs_stop_where_they_fail(tmp_path):
+    done = []
+    step = lambda name, result=None: (name, lambda: (done.append(name), result)[1])
+    assert runs.run_steps([step("a"), step("b", {"errors": []}), step("c", True)]) == (0, None) and done == ["a", "b", "c"]
+    for bad in (False, {"errors": ["x"]}):
+        assert runs.run_steps([step("d", bad), step("e")]) == (1, "d")
+    assert runs.run_steps([("f", lambda: 1 / 0), step("e")]) == (1, "f") and "e" not in done
+    with runs.lock(str(tmp_path / "l")), pytest.raises(RuntimeError), runs.lock(str(tmp_path / "l")):
+        pass
+    with runs.lock(str(tmp_path / "l")):
+        pass
