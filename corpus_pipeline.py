@@ -2,6 +2,9 @@
 
 Every stage reads what the one before it wrote. All but the last return the columns of ``documents``. A document that a
 filtering stage has no reason to drop stays as it is.
+
+Columns beside those of ``documents`` are left out by every stage. Empty tables give empty results. Texts of any length are
+taken whole. Rows that are alike in all columns are near copies of each other: one stays.
 """
 
 from __future__ import annotations
@@ -12,25 +15,25 @@ from pyspark.sql import functions as F
 from lakecohort.llm import common, decontaminate, langid, minhash, packing, paragraphs
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: SQL can't express compression, MinHash or packing; tests hold each stage against a plain version.
+#: SQL can't express compression, MinHash or packing; tests hold each stage's operator against a plain version, and the stages' ids.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; lang is what was found."""
+    """Documents whose language is clear; lang is what was found. A null text, one without a letter and a narrow margin are rejected."""
     model = langid.fit(common.read(common.tuned(spark), sf_dir, "documents"))
     found = langid.identify(docs, model).filter("not lang_rejected")
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the smallest doc_id stays."""
+    """One row of each group of near copies: the smallest doc_id stays. Texts without words have no copies; of rows with one doc_id one stays."""
     common.tuned(spark)
     return minhash.keep_first(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without paragraphs that an earlier one nearly equals; a document with nothing left goes."""
+    """Texts without what an earlier document holds, whole lines or runs of 50 words; a document with nothing left goes, one that was empty before stays."""
     common.tuned(spark)
     out = paragraphs.remove(docs.select(*COLUMNS), within=False)
     changed = F.col("removed_words") > 0
@@ -38,13 +41,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item. Null and empty texts are clean; without a benchmark all are."""
     common.tuned(spark)
     return decontaminate.clean(docs.select(*COLUMNS), common.read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place in it."""
+    """Pieces of documents with their sequence and place in it. A null or empty text is its end token alone."""
     common.tuned(spark)
     return packing.pack(docs)
 
