@@ -123,9 +123,8 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     by_line = work.table(cut_lines(rest.unionByName(joined), text))
     runs = work.table(passages.repeated(by_line.select("row", "text"), work, within))
     rest, joined = marked(by_line, runs, "starts", "run_firsts")
-    # each branch has one Python step, so that a task keeps one worker
     whole = rest.select("*", F.col("text").alias("cut_text"), F.col("words").alias("cut_words"))
-    cut = joined.select("*", passages.cut_text("text", "starts").alias("cut_text"), (F.col("words") + passages.cut_words("starts")).alias("cut_words"))
+    cut = joined.withColumn("made", passages.cut("text", "starts")).select("*", F.col("made.text").alias("cut_text"), (F.col("words") + F.col("made.words")).alias("cut_words")).drop("made")
     return result(whole.unionByName(cut), docs.columns, text)
 
 
@@ -133,8 +132,9 @@ def marked(named: DataFrame, cuts: DataFrame, column: str, firsts: str) -> tuple
     """named with the two columns of cuts of the same row (null: none): rows that a prefilter clears, and the others, which go through the join."""
     touched = neardup.Prefilter(cuts.select(F.xxhash64("row").alias("h")), "h")
     named = named.withColumn("cut", touched.column(F.xxhash64("row")))
-    # compared field by field, as doc_id may be null
-    cuts = cuts.select(F.col("row").alias("cut_row"), column, firsts)
+    # compared field by field, as doc_id may be null; a merge join parts the prefilter's stage from what follows, so that
+    # a task needs one Python worker, not one for each step
+    cuts = cuts.select(F.col("row").alias("cut_row"), column, firsts).hint("merge")
     joined = named.filter("cut").join(cuts, F.col("row").eqNullSafe(F.col("cut_row")), "left").drop("cut_row")
     rest = named.filter("not cut").select("*", *[F.lit(None).cast(cuts.schema[c].dataType).alias(c) for c in (column, firsts)])
     return rest.drop("cut"), joined.drop("cut")

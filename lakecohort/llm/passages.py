@@ -130,21 +130,17 @@ def without(text: str, starts: np.ndarray) -> str:
     return b"".join([*parts, data[at:].tobytes()]).decode("utf-8")
 
 
-def cut_text(text: str, starts: str) -> F.Column:
-    """The column of texts without the runs; as it is where there are none."""
+def cut(text: str, starts: str) -> F.Column:
+    """A struct of the text without the runs (as it is where there are none) and of how many words the runs cover.
 
-    @F.arrow_udf("string")
-    def cutting(text: pa.Array, starts: pa.Array) -> pa.Array:
-        return pa.array([t if s is None or t is None else without(t, np.array(s)) for t, s in zip(text.to_pylist(), starts.to_pylist())], pa.string())
-
-    return cutting(text, starts)
-
-
-def cut_words(starts: str) -> F.Column:
-    """How many words the runs cover."""
+    Declared nondeterministic, so that a filter on it isn't pushed below and the texts go to Python once.
+    """
 
-    @F.arrow_udf("long")
-    def counting(starts: pa.Array) -> pa.Array:
-        return pa.array([0 if s is None else int(np.subtract(*covered(np.array(s))[::-1]).sum()) for s in starts.to_pylist()], pa.int64())
+    @F.arrow_udf("struct<text: string, words: long>")
+    def cutting(text: pa.Array, starts: pa.Array) -> pa.Array:
+        runs = [None if s is None else np.array(s) for s in starts.to_pylist()]
+        texts = [t if s is None or t is None else without(t, s) for t, s in zip(text.to_pylist(), runs)]
+        words = [0 if s is None else int(np.subtract(*covered(s)[::-1]).sum()) for s in runs]
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(words, pa.int64())], ["text", "words"])
 
-    return counting(starts)
+    return cutting.asNondeterministic()(text, starts)
