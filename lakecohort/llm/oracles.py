@@ -19,4 +19,50 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-SQL: dict[str, str] = {"op2_topk_search": TOP_K}
+FILTER_AUDIT = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents
+), m AS (
+  SELECT text, min(doc_id) AS first FROM d GROUP BY text
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (CASE WHEN len(words) < 50 THEN 'A' ELSE '' END)
+         || (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END)
+         || (CASE WHEN d.doc_id > m.first THEN 'E' ELSE '' END) AS fails
+  FROM d JOIN m ON d.text = m.text LEFT JOIN l ON d.doc_id = l.doc_id
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order
+  FROM x a JOIN x b ON b.c <> a.c JOIN x c ON c.c NOT IN (a.c, b.c) JOIN x d ON d.c NOT IN (a.c, b.c, c.c)
+    JOIN x e ON e.c NOT IN (a.c, b.c, c.c, d.c)
+), s AS (
+  SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o
+), r AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter, fails, good, toxic,
+         contains(fails, substr(filter_order, step, 1)) AS failed,
+         length(translate(substr(filter_order, 1, step - 1), fails, '')) < step - 1 AS gone
+  FROM f CROSS JOIN s
+), c AS (
+  SELECT part, filter_order, step, filter,
+         CAST(count(*) FILTER (WHERE NOT failed AND NOT gone) AS BIGINT) AS kept,
+         CAST(count(*) FILTER (WHERE failed AND NOT gone) AS BIGINT) AS removed,
+         CAST(count(*) FILTER (WHERE failed AND gone) AS BIGINT) AS redundant,
+         CAST(count(*) FILTER (WHERE fails = filter) AS BIGINT) AS unique_fails,
+         CAST(count(*) FILTER (WHERE failed AND NOT gone AND good = 1) AS BIGINT) AS good_lost,
+         CAST(count(*) FILTER (WHERE failed AND NOT gone AND toxic = 1) AS BIGINT) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM c
+"""
+
+SQL: dict[str, str] = {"op2_topk_search": TOP_K, "op13_filter_audit": FILTER_AUDIT}
