@@ -16,6 +16,7 @@ MODULES = {
     "op8_minhash_dedup": "minhash",
     "op9_html_text": "html",
     "op10_packing": "packing",
+    "op11_pattern_packing": "pattern_packing",
     "op12_merkle_manifest": "merkle",
     "op13_filter_audit": "filter_audit",
 }
