@@ -76,7 +76,7 @@ def _merkle() -> str:
         "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, (a & 1) * 3988292384))), 4294967295)"
     )
     parts, source_levels, top_levels = [], 6, 4
-    parts.append(f"d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS tree, sha256({head} || {told('text')}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {told(low)}) END AS changed FROM documents)")
+    parts.append(f"d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS tree, sha256({head} || {told('text')}) AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN sha256({head} || {told(low)}) END AS changed FROM documents)")
     parts.append("l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d)")
     for name, below, node, levels in (("r", "l", "leaf", source_levels), ("s", "t", "node", top_levels)):
         if name == "s":
