@@ -20,7 +20,9 @@ gives no rows; columns beside id and text are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Mapping
@@ -29,6 +31,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,36 +44,97 @@ END_ID = 0
 #: Blocks of patterns, steps of each fit, and the power of a length that weighs its residual.
 BLOCKS, STEPS, WEIGHT = 12, 300, 1.5
 #: Words whose ids a worker remembers; when full it starts again.
-CACHE, LONGEST = 200_000, 48
+CACHE, LONGEST = 500_000, 48
+#: What ends a piece; neither it nor a character with such first bytes is printable.
+MARK = "\U0010ffff"
 PIECES = "piece int, start long, length int, ids_crc32 long, part int, rank long"
 
 
 class WordIds(dict):
     """A mapping from a word without white space to its ids, as unsigned 32-bit integers in native (little-endian) order.
 
-    Vocabularies of the word-end kind drop white space, so the ids of a text are those of its words.
+    Vocabularies of the word-end kind drop white space, so the ids of a text are those of its words. Their merges are given
+    to tiktoken as ranks: a mark ends each piece and merges first of all with the piece's last byte. As a token is made of
+    tokens of lower ranks only, bytes and pairs lead to the same merges; tests compare ids. Words with a special token's
+    string and words with characters that aren't printable (unassigned ones are letters to newer libraries only, private
+    ones may look like the mark) go to the tokenizers library.
     """
 
     def __init__(self, path: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.encode_word = Tokenizer.from_file(path).encode
+        self.path, self.tokenizer = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        symbols = bpe_count.byte_symbols()
+        byte, mark = {c: i for i, c in enumerate(symbols)}, MARK.encode()
+        known = [(bytes([i]), vocab[c]) for i, c in enumerate(symbols)]
+        known += [(mark[:k], 0) for k in range(2, len(mark) + 1)] + [(bytes([i]) + mark, vocab[c + end]) for i, c in enumerate(symbols)]
+        for pair in spec["model"]["merges"]:
+            token = "".join(pair.split(" ") if isinstance(pair, str) else pair)
+            known.append((bytes(byte[c] for c in token.removesuffix(end)) + mark * token.endswith(end), vocab[token]))
+        ranks: dict[bytes, int] = {}
+        for data, _ in known:
+            ranks.setdefault(data, len(ranks))
+        ids = dict(reversed(known))  # the first of equal ones counts
+        self.ids = np.array([ids[data] for data in ranks], "<u4")
+        self.ends = np.array([data.endswith(mark) for data in ranks])
+        self.ranks_of = tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
+        self.hint = spec["added_tokens"][0]["content"][:2]
+
+    def exact(self, text: str) -> list[int]:
+        """The library's ids."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def parts(self, word: str) -> list[str] | None:
+        """The pieces of a word; None for the library."""
+        if self.hint in word or len(word) > LONGEST:
+            return None
+        if word.isascii():
+            plain = word.lower()
+            return [plain] if plain.isalpha() else self.pieces(plain)
+        if not word.isprintable():
+            return None
+        plain = unicodedata.normalize("NFC", word)
+        # character by character, as the library does; that differs from a whole text's lower case for a final sigma only
+        return self.pieces("".join(c.lower() for c in plain) if "\u03a3" in plain else plain.lower())
+
+    def learn(self, words: list[str]) -> None:
+        """The ids of new words, all at once."""
+        pieces, counts, known = [], [], []
+        for word in words:
+            if (parts := self.parts(word)) is not None:
+                pieces += parts
+                counts.append(len(parts))
+                known.append(word)
+        ranks = np.array(self.ranks_of(MARK.join([*pieces, ""])), np.int64)
+        past = np.append(0, np.flatnonzero(self.ends[ranks]) + 1)
+        data, at = self.ids[ranks].tobytes(), 0
+        for word, end in zip(known, (4 * past[np.cumsum(counts, dtype=np.int64)]).tolist()):
+            self[word] = data[at:end]
+            at = end
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.encode_word(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
+        """Long and odd words, which aren't kept."""
+        return array("I", self.exact(word)).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = regex.split(r"\p{White_Space}+", text) if bpe_count.ODD.search(text) else text.split()
-        return b"".join(map(self.__getitem__, filter(None, words)))
+        words = list(filter(None, regex.split(r"\p{White_Space}+", text))) if bpe_count.ODD.search(text) else text.split()
+        if len(self) > CACHE:
+            self.clear()
+        found = list(map(self.get, words))
+        if None in found:
+            self.learn(list({w for w, ids in zip(words, found) if ids is None}))
+            found = map(self.__getitem__, words)
+        return b"".join(found)
 
 
 _known: dict[str, WordIds] = {}
