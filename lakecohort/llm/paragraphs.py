@@ -143,12 +143,16 @@ def marked(named: DataFrame, cuts: DataFrame, column: str, firsts: str) -> tuple
 def cut_lines(docs: DataFrame, text: str) -> DataFrame:
     """doc, row, the text after the cuts at places, places, firsts and how many words went."""
     whole = F.col("doc").getField(text)
-    parts = F.split(whole, "\n")
-    kept = F.filter(parts, lambda line, i: ~F.array_contains("places", i))
-    lost = F.filter(parts, lambda line, i: F.array_contains("places", i))
-    words = F.size(F.filter(F.split(F.array_join(lost, " "), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    # what stays are the slices between cut lines, so the work follows the text's lines; lines are bound once, as x
+    before, after = F.concat(F.array(F.lit(-1)), "places"), lambda x: F.concat("places", F.array(F.size(x)))
+    between = lambda x, ends, begin, k: F.slice(x, begin + 2, ends[k] - begin - 1)
+    kept = lambda x: F.transform(F.array(after(x)), lambda ends: F.flatten(F.transform(before, lambda begin, k: between(x, ends, begin, k))))[0]
+    lost = lambda x: F.transform("places", lambda k: x[k])
+    made = F.transform(F.array(F.split(whole, "\n")), lambda x: F.struct(F.array_join(kept(x), "\n").alias("kept"), F.array_join(lost(x), " ").alias("lost")))[0]
+    docs = docs.withColumn("made", F.when(F.col("places").isNotNull(), made))
+    words = F.size(F.filter(F.split("made.lost", r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
     none = F.col("places").isNull()
-    return docs.select("doc", "row", F.when(none, whole).otherwise(F.array_join(kept, "\n")).alias("text"), "places", "line_firsts", F.when(none, 0).otherwise(words).cast("long").alias("words"))
+    return docs.select("doc", "row", F.when(none, whole).otherwise(F.col("made.kept")).alias("text"), "places", "line_firsts", F.when(none, 0).otherwise(words).cast("long").alias("words"))
 
 
 def result(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
