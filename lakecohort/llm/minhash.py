@@ -22,13 +22,16 @@ def decide(docs: DataFrame, doc_id: str, text: str, banding: neardup.Banding, wo
     """doc_id, h (hash of the text), n_shingles, component_id and kept of each row."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     drawn = work.table(neardup.sketches(source, ["doc_id", "h"], "text", banding))
-    classes = work.table(drawn.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands")))
+    classes = work.table(drawn.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.count("*").alias("n")))
     texts = source.select(F.xxhash64("doc_id").alias("key"), "text")
     roots = neardup.link(classes.select("digest", "bands", F.xxhash64("doc_id").alias("key")), neardup.whole_texts(texts, banding), banding, work)
-    linked = classes.select("digest", "doc_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    firsts = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = linked.join(firsts, "root").select("digest", "component_id")
-    out = drawn.select("doc_id", "h", "n_shingles", "digest").join(ids, "digest", "left")
+    # classes that are alone keep their id; the others and the rows of one text are dealt out where a root or a text is hot
+    linked = work.table(classes.select("digest", "doc_id").join(roots, "digest"))
+    firsts = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    met = common.spread_join(linked, firsts.drop("n"), "root", "digest", common.hot_keys(firsts.select("root", "n"), "root"))
+    ids = classes.select("digest", F.col("doc_id").alias("first")).join(met.select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "first").alias("component_id"))
+    hot = common.hot_keys(classes.select("digest", "n"), "digest")
+    out = common.spread_join(drawn.select("doc_id", "h", "n_shingles", "digest").withColumn("place", F.monotonically_increasing_id()), ids, "digest", "place", hot, "left")
     return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
