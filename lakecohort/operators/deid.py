@@ -178,6 +178,15 @@ def scrub(df: DataFrame, rules: Rules, key: bytes) -> DataFrame:
     return keyed_df.select(*out, F.lit(VERSION).alias(MARKER))
 
 
+def scrub_observed(df: DataFrame, rules: Rules, key: bytes, observation) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """scrub, with what audit_counts gives observed while its rows go by; (frame, scope and field of each metric in order)."""
+    keyed_df = keyed.with_key(df, key).withColumn("__subject", subject(df.columns, rules))
+    out, events = _changes(df, rules, keyed.offset(F.col("__subject"), rules.jitter_days))
+    if events:
+        keyed_df = keyed_df.observe(observation, *[F.coalesce(F.sum(flag.cast("long")), F.lit(0)).alias(str(i)) for i, (_, _, flag) in enumerate(events)])
+    return keyed_df.select(*out, F.lit(VERSION).alias(MARKER)), [(scope, name) for scope, name, _ in events]
+
+
 def audit_counts(df: DataFrame, rules: Rules, key: bytes) -> DataFrame:
     """scope, field and events of a scrub; what never happened has no row. Flags are added up, so nothing is hashed or shifted; key is for symmetry."""
     _, events = _changes(df, rules, F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from lakecohort.functions import dates, numbers, phi, text
 from lakecohort.operators import catalogue, dedup, deid, rows, stats
 from lakecohort.plans import api
 from lakecohort.plans.registry import TEST_KEY, query, read
-from lakecohort.sources import files, runs, sinks
+from lakecohort.sources import files, generations, runs, sinks
 
 TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
 
@@ -450,11 +451,59 @@ def gov9_ingest(spark, sf):
     _one_file(made.withColumn("SUBJID", F.lit(None).cast("string")), f"{path}/bad/visits.csv")
     first, again = (runs.ingest(spark, f"{path}/in", f"{path}/out", rules, TEST_KEY) for _ in range(2))
     broken = runs.ingest(spark, f"{path}/bad", f"{path}/none", rules, TEST_KEY)
-    out = spark.read.parquet(f"{path}/out/visits")
-    assert set(out.columns) == {"SUBJID", "K", "NATION", deid.MARKER}
+    out = runs.table(spark, f"{path}/out", "visits")
+    assert set(out.columns) == {"SUBJID", "K", "NATION", deid.MARKER, "_provenance"}
     return out.select(F.col("K").cast("long").alias("k"), F.substring("NATION", 2, 9).alias("nation"), F.lit(first["code"]).alias("code"), F.lit(again["skipped"]).alias("skipped_again"), F.lit(broken["code"]).alias("broken_code"))
 
 
+@query("gov9_ingest_ledger", """
+WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders), g AS (SELECT * FROM o WHERE o_orderkey % 11 <> 0)
+SELECT 'published visits' AS part, CAST(o_orderkey AS VARCHAR) AS name, place AS n FROM g
+UNION ALL SELECT 'quarantined visits', CAST(o_orderkey AS VARCHAR), place FROM o WHERE o_orderkey % 11 = 0
+UNION ALL SELECT 'published labs', CAST(c_custkey AS VARCHAR), row_number() OVER (ORDER BY c_custkey) - 1 FROM customer
+UNION ALL SELECT 'manifest visits', unnest(['read', 'quarantined', 'rows']), unnest([(SELECT count(*) FROM o), (SELECT count(*) FROM o WHERE o_orderkey % 11 = 0), (SELECT count(*) FROM g)])
+UNION ALL SELECT 'manifest labs', unnest(['read', 'quarantined', 'rows']), unnest([(SELECT count(*) FROM customer), 0, (SELECT count(*) FROM customer)])
+UNION ALL SELECT 'audit visits', unnest(['phi-scrub-id SUBJID', 'phi-scrub-date VISDAT', 'phi-scrub-cap PRICE', 'phi-scrub-drop CLERK']), unnest([(SELECT count(*) FROM g), (SELECT count(*) FROM g), (SELECT count(*) FROM g WHERE o_totalprice > 300000), (SELECT count(*) FROM g)])
+UNION ALL SELECT 'audit labs', 'phi-scrub-id SUBJID', count(*) FROM customer
+UNION ALL SELECT 'cleaning', unnest(['visits KEY_2 identical', 'visits NOTE2 entirely null', 'labs_old subset', 'scratch junk']), 1
+UNION ALL SELECT 'generations', unnest(['whole', 'skipped again', 'after a failure', 'without labs']), unnest([2, 1, 2, 1])""")
+def gov9_ingest_ledger(spark, sf):
+    """DEI10, DEI12, SNK4, SET3, SET4, SET5, GOV1, GOV2, GOV5, SNK6 within GOV9: several files in one run, each read by one plan; what is published, quarantined, counted and said of it.
+
+    Then the same again (skipped), one whose orphans are too many (the first generation stays whole) and one of fewer files (their tables go).
+    """
+    path = local(folder(spark))
+    rules = deid.Rules(drop=("CLERK",), dates=("DAT$",), cap=(("PRICE", 300000, "300000+"),), ids=(("^SUBJID$", "SUBJ"),), orphan_threshold=10**12)
+    o, c = read(spark, sf, "orders"), read(spark, sf, "customer")
+    visits = o.orderBy("o_orderkey").select(
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("SUBJID"), F.col("o_orderkey").alias("KEY"), F.col("o_orderkey").alias("KEY_2"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("VISDAT"),
+        F.col("o_totalprice").cast("double").alias("PRICE"), F.lit("x").alias("CLERK"), F.lit("n").alias("NOTE"), F.lit(None).cast("string").alias("NOTE2"),
+    )
+    labs = c.orderBy("c_custkey").select(F.col("c_custkey").alias("SUBJID"), F.col("c_acctbal").cast("double").alias("HB"), F.col("c_custkey").alias("AT"))
+    for name, df in (("visits", visits), ("labs", labs), ("labs_old", labs.filter("AT % 3 = 0")), ("scratch", labs.limit(3))):
+        _one_file(df, f"{path}/in/{name}.csv")
+    _one_file(visits, f"{path}/fewer/visits.csv")
+    run = lambda source, r=rules: runs.ingest(spark, source, f"{path}/out", r, TEST_KEY, pairs=[("labs", "labs_old")], junk=("scratch",))
+    first = run(f"{path}/in")
+    assert first["code"] == 0, first
+    store = generations.Folder(spark, f"{path}/out")
+    made, again, failed = store.generation(), run(f"{path}/in"), run(f"{path}/in", replace(rules, orphan_threshold=0))
+    after = sum(store.generation().drill().values())
+    assert failed["failed"] == "quarantine" and "allowed" in failed["error"]
+    told = made.manifest()
+    rows = [(f"manifest {t}", k, v[k]) for t, v in told["tables"].items() for k in ("read", "quarantined", "rows")]
+    rows += [(f"audit {e['dataset']}", f"{e['scope']} {e['field']}", e["events"]) for e in told["audit"]]
+    rows += [("cleaning", " ".join(filter(None, (e.get("dataset") or e.get("dropped"), e.get("column"), e["reason"]))), 1) for e in told["cleaning"]]
+    rows += [("generations", "whole", sum(made.drill().values())), ("generations", "skipped again", int(again["skipped"])), ("generations", "after a failure", after)]
+    assert run(f"{path}/fewer")["code"] == 0
+    rows.append(("generations", "without labs", len(store.manifest()["tables"])))
+    assert not store.has("labs") and store.published()[0] == made.name
+    out = named(spark, rows, "part string, name string, n long")
+    published = [made.table(t).select(F.lit(f"published {t}").alias("part"), F.col(k).cast("string").alias("name"), F.col("_provenance.row_index").alias("n")) for t, k in (("visits", "KEY"), ("labs", "AT"))]
+    held = spark.read.parquet(f"{made.quarantine}/visits").select(F.lit("quarantined visits").alias("part"), F.col("KEY").alias("name"), F.col("row_index").alias("n"))
+    return out.unionByName(published[0]).unionByName(published[1]).unionByName(held)
+
+
 def _one_file(df: DataFrame, path: str) -> None:
     """A table as one CSV file of this name, as studies hand them over."""
     import os

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pathlib import Path
 from xml.etree import ElementTree
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +106,36 @@ def read_table(spark: SparkSession, path: str) -> list[tuple[str, DataFrame]]:
     raise ValueError(f"unknown kind of file: {path}")
 
 
+def discover_all(spark: SparkSession, folder: str, suffixes: Sequence[str] = TABULAR, junk: Sequence[str] = JUNK) -> list[str]:
+    """As discover, of a folder of any Hadoop file system: paths of its files by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        raise FileNotFoundError(f"no data folder: {folder}")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile())
+    found = [n for n in names if Path(n).suffix.lower() in suffixes and not n.startswith((".", "~$")) and n not in junk]
+    if not found:
+        raise ValueError(f"no data files in {folder}")
+    return [f"{folder.rstrip('/')}/{n}" for n in found]
+
+
+def texts(spark: SparkSession, path: str) -> list[tuple[str, DataFrame]]:
+    """(output name, table of texts) of a CSV file, of which only the header is read here, or of a workbook's sheets (a local file)."""
+    if path.lower().endswith(".csv"):
+        found = [("sheet1", spark.read.options(header=True, encoding="UTF-8", nullValue="", emptyValue="").csv(path))]
+    else:
+        found = read_xlsx(spark, path.removeprefix("file://").removeprefix("file:"))
+    return [(output_name(path, sheet, len(found)), df) for sheet, df in found]
+
+
+def has_blocks(df: DataFrame) -> bool:
+    """Is the table read from a file, so that rows know their block?"""
+    try:
+        return bool(df.select("_metadata.file_block_start").columns)
+    except AnalysisException:
+        return False
+
+
 def output_name(path: str, sheet: str, sheets: int) -> str:
     return Path(path).stem if sheets == 1 else f"{Path(path).stem}__{sheet}"
 
