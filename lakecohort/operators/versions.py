@@ -95,6 +95,8 @@ class Results:
         made = make()
         if isinstance(made, DataFrame):
             made = made.cache()
+        elif isinstance(made, tuple):
+            made = tuple(x.cache() if isinstance(x, DataFrame) else x for x in made)
         with self.lock:
             self.misses += 1
             self.kept[key] = made

@@ -377,7 +377,7 @@ def srt4_best_form(spark, sf):
 
 
 def _study(spark, sf) -> api.Study:
-    return api.Study(spark, {"customer": read(spark, sf, "customer")}, _parts(spark, sf))
+    return api.Study(spark, {"customer": read(spark, sf, "customer")}, _parts(spark, sf), quasi=("c_mktsegment",))
 
 
 @query("api3_variable_details", "SELECT 'V_' || p_partkey AS variable_name, p_name AS description FROM part WHERE p_partkey = 12")

@@ -225,7 +225,11 @@ def test_statements_can_not_get_round_the_gate(spark, tmp_path):
         with pytest.raises(PermissionError):
             study.run_sql(q)
     assert not (tmp_path / "out").exists()
-    open_study = api.Study(spark, few.frames, study.variables)
+    unnamed = api.Study(spark, few.frames, study.variables)
+    for ask in (lambda: unnamed.query_dataset("t"), lambda: unnamed.run_sql("SELECT NOTE FROM df_t")):
+        with pytest.raises(ValueError):  # without quasi-identifiers nothing can be gated
+            ask()
+    open_study = api.Study(spark, {"t": few.frames["t"].unionAll(few.frames["t"]).unionAll(few.frames["t"])}, study.variables, quasi=("SEX",), k=3)
     shown = open_study.query_dataset("t").collect() + open_study.run_sql("SELECT NOTE FROM df_t").collect()
     assert all("9876543210" not in str(r) and "a.b@c.org" not in str(r) for r in shown)
 
