@@ -1,4 +1,4 @@
-"""Logistic regression from sums: each Newton step is one aggregation, whatever the number of rows.
+"""Logistic regression from sums over counted patterns: each Newton step is one aggregation for all models, whatever the number of rows.
 
 Perfect separation, constant predictors and fits that don't converge are failures (None), never numbers.
 """
@@ -8,9 +8,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_ROWS, LEAST_INTERACTION, ALPHA = 20, 30, 0.05
@@ -53,86 +54,162 @@ class Fit:
         return out
 
 
-def logit(df: DataFrame, outcome: str, predictors: Sequence[str]) -> Fit | None:
-    """Maximum likelihood with an intercept over rows without nulls. Predictors are standardised within, for steady steps."""
-    cols = [F.col(f"`{p}`").cast("double") for p in predictors]
-    data = df.select(F.col(outcome).cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
-    moments = data.agg(F.count("*").alias("n"), F.sum("y").alias("s"), *[f(f"x{i}").alias(f"{k}{i}") for i in range(len(cols)) for k, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
-    n, events = moments["n"], moments["s"] or 0.0
-    if not n or events in (0.0, float(n)):
-        return None
-    mean, spread = np.array([moments[f"m{i}"] for i in range(len(cols))]), np.array([moments[f"d{i}"] for i in range(len(cols))])
-    if (spread == 0).any():
-        return None
-    x = [F.lit(1.0), *((F.col(f"x{i}") - float(mean[i])) / float(spread[i]) for i in range(len(cols)))]
-    k, beta, before = len(x), np.zeros(len(x)), -math.inf
-    beta[0] = math.log(events / (n - events))
-    for _ in range(STEPS):
-        eta = sum((float(b) * c for b, c in zip(beta, x)), F.lit(0.0))
-        step = data.withColumn("__e", eta).withColumn("__p", 1 / (1 + F.exp(-F.col("__e"))))
-        w, r = F.col("__p") * (1 - F.col("__p")), F.col("y") - F.col("__p")
+def patterns(df: DataFrame, outcome: str, predictors: Sequence[str]) -> DataFrame:
+    """The design in short: each different row of y, x0, x1, ... and how often (n) it occurs. NaN counts as missing.
+
+    One pass over the source; where predictors have few values the result is small, whatever the number of rows, and all
+    that follows reads it alone. It is kept for the session until released.
+    """
+    number = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    rows = df.select(number(outcome).alias("y"), *[number(p).alias(f"x{i}") for i, p in enumerate(predictors)]).filter("y is not null")
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).cache()
+
+
+class Model:
+    """A model while it is fitted: predictors by their place in the patterns, standardised within for steady steps."""
+
+    def __init__(self, names: Sequence[str], columns: Sequence[Column]):
+        self.names, self.columns, self.fit, self.open = tuple(names), list(columns), None, True
+        # rows count where the outcome and all predictors of this model are there
+        self.rows = F.when(reduce(Column.__and__, [c.isNotNull() for c in columns]), F.col("n")) if columns else F.col("n")
+
+    def means(self) -> list[Column]:
+        return [F.sum(self.rows), F.sum(self.rows * F.col("y")), *[F.sum(self.rows * c) / F.sum(self.rows) for c in self.columns]]
+
+    def begin(self, found: Sequence) -> None:
+        self.n, self.events, self.mean = int(found[0] or 0), found[1] or 0.0, [x or 0.0 for x in found[2:]]
+        self.open = bool(self.n) and self.events not in (0.0, float(self.n))
+
+    def spreads(self) -> list[Column]:
+        return [F.sqrt(F.sum(self.rows * (c - m) * (c - m)) / F.sum(self.rows)) for c, m in zip(self.columns, self.mean)]
+
+    def scale(self, found: Sequence) -> None:
+        self.spread = np.array(found, float)
+        self.open = not (self.spread == 0).any()
+        self.beta, self.before = np.zeros(len(self.columns) + 1), -math.inf
+        self.beta[0] = math.log(self.events / (self.n - self.events))
+
+    def sums(self) -> list[Column]:
+        """Log-likelihood, gradient and upper half of the curvature at the present coefficients."""
+        x = [F.lit(1.0), *((c - float(m)) / float(s) for c, m, s in zip(self.columns, self.mean, self.spread))]
+        e = reduce(Column.__add__, (float(b) * c for b, c in zip(self.beta, x)))
+        p = 1 / (1 + F.exp(-e))
         # log(1 + exp(e)) without overflow
-        ll = F.sum(F.col("y") * F.col("__e") - F.greatest(F.col("__e"), F.lit(0.0)) - F.log1p(F.exp(-F.abs("__e"))))
-        row = step.agg(ll, *[F.sum(r * c) for c in x], *[F.sum(w * x[i] * x[j]) for i in range(k) for j in range(i, k)]).first()
-        gradient, hessian, at = np.array(row[1 : k + 1]), np.zeros((k, k)), k + 1
-        for i in range(k):
-            for j in range(i, k):
-                hessian[i, j] = hessian[j, i] = row[at]
-                at += 1
+        ll = F.sum(self.rows * (F.col("y") * e - F.greatest(e, F.lit(0.0)) - F.log1p(F.exp(-F.abs(e)))))
+        return [ll, *[F.sum(self.rows * (F.col("y") - p) * c) for c in x], *[F.sum(self.rows * p * (1 - p) * x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]]
+
+    def step(self, found: Sequence) -> None:
+        k = len(self.beta)
+        gradient, hessian = np.array(found[1 : k + 1], float), np.zeros((k, k))
+        hessian[np.triu_indices(k)] = found[k + 1 :]
+        hessian += np.triu(hessian, 1).T
         try:
             covariance = np.linalg.inv(hessian)
         except np.linalg.LinAlgError:
+            self.open = False
+            return
+        if abs(found[0] - self.before) <= 1e-10 * (abs(found[0]) + 1e-10):
+            self.open, self.fit = False, self._fit(found[0], covariance)
+            return
+        self.before, self.beta = found[0], self.beta + covariance @ gradient
+
+    def _fit(self, log_likelihood: float, covariance: np.ndarray) -> Fit | None:
+        mean, spread, beta = np.array(self.mean), self.spread, self.beta
+        slopes = beta[1:] / spread
+        back = np.eye(len(beta))
+        back[0, 1:] = -mean / spread
+        back[1:, 1:] = np.diag(1 / spread)
+        errors = np.sqrt(np.diag(back @ covariance @ back.T))
+        if not np.isfinite(errors).all() or (np.abs(beta[1:]) > SLOPE).any() or (errors[1:] * spread > ERROR).any():
             return None
-        if abs(row[0] - before) <= 1e-10 * (abs(row[0]) + 1e-10):
+        rate = self.events / self.n
+        null = self.n * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate))
+        return Fit(("intercept", *self.names), (float(beta[0] - (slopes * mean).sum()), *map(float, slopes)), tuple(map(float, errors)), float(log_likelihood), null, self.n)
+
+
+def _ask(table: DataFrame, models: Sequence[Model], what: str, then: str) -> None:
+    """One aggregation with the sums of all models; each gets its own."""
+    parts = [getattr(m, what)() for m in models]
+    row = table.agg(*[c.alias(f"{i}_{j}") for i, part in enumerate(parts) for j, c in enumerate(part)]).first()
+    at = 0
+    for m, part in zip(models, parts):
+        getattr(m, then)(row[at : at + len(part)])
+        at += len(part)
+
+
+def fits(table: DataFrame, models: Sequence[Model], least: int = 0) -> list[Fit | None]:
+    """Maximum likelihood with an intercept of all models at once: each Newton step is one aggregation over the patterns. Models of fewer than ``least`` rows aren't fitted."""
+    if models:
+        _ask(table, models, "means", "begin")
+    active = [m for m in models if m.open and m.n >= least]
+    if active:
+        _ask(table, active, "spreads", "scale")
+    for _ in range(STEPS):
+        active = [m for m in active if m.open]
+        if not active:
             break
-        before, beta = row[0], beta + covariance @ gradient
-    else:
-        return None
-    slopes = beta[1:] / spread
-    back = np.eye(k)
-    back[0, 1:] = -mean / spread
-    back[1:, 1:] = np.diag(1 / spread)
-    errors = np.sqrt(np.diag(back @ covariance @ back.T))
-    if not np.isfinite(errors).all() or (np.abs(beta[1:]) > SLOPE).any() or (errors[1:] * spread > ERROR).any():
-        return None
-    rate = events / n
-    return Fit(("intercept", *predictors), (float(beta[0] - (slopes * mean).sum()), *map(float, slopes)), tuple(map(float, errors)), float(row[0]), n * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate)), n)
+        _ask(table, active, "sums", "step")
+    return [m.fit for m in models]
+
+
+def _model(names: Sequence[str], predictors: Sequence[str]) -> Model:
+    return Model(names, [F.col(f"x{list(predictors).index(p)}") for p in names])
+
+
+def logit(df: DataFrame, outcome: str, predictors: Sequence[str]) -> Fit | None:
+    """Maximum likelihood with an intercept over rows without nulls."""
+    table = patterns(df, outcome, predictors)
+    try:
+        return fits(table, [_model(predictors, predictors)])[0]
+    finally:
+        table.unpersist()
 
 
 def univariate(df: DataFrame, outcome: str, predictors: Sequence[str]) -> list[dict]:
-    """One fit a predictor; too few rows, one class or a failed fit give nulls."""
-    out = []
-    for p in predictors:
-        rows = df.select(outcome, p).dropna()
-        n = rows.count()
-        fit = logit(rows, outcome, [p]) if n >= LEAST_ROWS else None
-        none = {k: None for k in ("coef", "std_error", "odds_ratio", "ci_low", "ci_high", "p_value")} | {"significant": False}
-        out.append({"variable": p, "n": n} | (none if fit is None else {k: v for k, v in fit.table()[1].items() if k != "variable"}))
-    return out
+    """One fit a predictor, all at once; too few rows, one class or a failed fit give nulls."""
+    table = patterns(df, outcome, predictors)
+    try:
+        models = [_model([p], predictors) for p in predictors]
+        found = fits(table, models, LEAST_ROWS)
+    finally:
+        table.unpersist()
+    none = {k: None for k in ("coef", "std_error", "odds_ratio", "ci_low", "ci_high", "p_value")} | {"significant": False}
+    return [{"variable": p, "n": m.n} | (none if fit is None else {k: v for k, v in fit.table()[1].items() if k != "variable"}) for p, m, fit in zip(predictors, models, found)]
 
 
 def backward(df: DataFrame, outcome: str, predictors: Sequence[str], alpha: float = ALPHA) -> Fit | None:
-    """Drop the least significant predictor until all are, or one is left. Rows are chosen anew for each model; after a failure the last good model counts."""
+    """Drop the least significant predictor until all are, or one is left. Rows are chosen anew for each model; after a failure the last good model counts.
+
+    The source is read once: every model of the way is fitted from its patterns.
+    """
     left, best = list(predictors), None
-    if left:
-        kinds = df.agg(*[F.count_distinct(p).alias(p) for p in left]).first()
-        left = [p for p in left if kinds[p] > 1]
-    while left:
-        fit = logit(df.select(outcome, *left), outcome, left)
-        if fit is None:
-            break
-        best = fit
-        worst = max(range(len(left)), key=lambda i: fit.p_values[i + 1])
-        if len(left) == 1 or fit.p_values[worst + 1] <= alpha:
-            break
-        left.pop(worst)
+    if not left:
+        return None
+    table = patterns(df, outcome, predictors)
+    try:
+        kinds = table.agg(*[F.count_distinct(f"x{i}") for i in range(len(left))]).first()
+        left = [p for p, n in zip(left, kinds) if n > 1]
+        while left:
+            fit = fits(table, [_model(left, predictors)])[0]
+            if fit is None:
+                break
+            best = fit
+            worst = max(range(len(left)), key=lambda i: fit.p_values[i + 1])
+            if len(left) == 1 or fit.p_values[worst + 1] <= alpha:
+                break
+            left.pop(worst)
+    finally:
+        table.unpersist()
     return best
 
 
 def interaction(df: DataFrame, outcome: str, factor: str, moderator: str) -> dict:
     """p values of both and of their product, and the product's odds ratio."""
-    rows = df.select(outcome, factor, moderator).dropna().withColumn("interaction", F.col(factor) * F.col(moderator))
-    fit = logit(rows, outcome, [factor, moderator, "interaction"]) if rows.count() >= LEAST_INTERACTION else None
+    table = patterns(df, outcome, [factor, moderator])
+    try:
+        fit = fits(table, [Model([factor, moderator, "interaction"], [F.col("x0"), F.col("x1"), F.col("x0") * F.col("x1")])], LEAST_INTERACTION)[0]
+    finally:
+        table.unpersist()
     if fit is None:
         return {"factor": factor, "moderator": moderator, "p_factor": None, "p_moderator": None, "p_interaction": None, "or_interaction": None}
     p = fit.p_values

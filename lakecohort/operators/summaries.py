@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import privacy
+from . import privacy, quantiles
 
 #: Columns of so many distinct values at most are described by counts.
 CATEGORIES = 5
@@ -25,11 +25,19 @@ def first_value(df: DataFrame, subject: str, value: Column, order: str, name: st
 
 
 def numeric_summary(df: DataFrame, column: str, *by: str) -> DataFrame:
-    c = F.col(column)
-    return df.groupBy(*by).agg(
-        F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"),
-        F.count(c).alias("n_valid"), F.sum(c.isNull().cast("long")).alias("n_missing"),
+    """mean, std, median, min, max, n_valid and n_missing, of each group or of all rows; the median is selected, so groups may be of any size."""
+    c = F.col(f"`{column}`")
+    names = [f"__{i}" for i in range(len(by))]
+    plain = df.groupBy(*[F.col(f"`{b}`").alias(n) for b, n in zip(by, names)]).agg(
+        F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n_valid"), F.coalesce(F.sum(c.isNull().cast("long")), F.lit(0)).alias("n_missing"),
     )
+    middle = quantiles.medians(df, column, by)
+    if by:
+        middle = middle.select(*[F.col(f"`{b}`").alias(f"{n}m") for b, n in zip(by, names)], "median")
+        out = plain.join(middle, reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"{n}m")) for n in names]), "left")
+    else:
+        out = plain.join(middle, F.lit(True), "left")  # a row each
+    return out.select(*[F.col(n).alias(b) for n, b in zip(names, by)], "mean", "std", "median", "min", "max", "n_valid", "n_missing")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
