@@ -89,20 +89,13 @@ class Model:
         self.beta, self.before = np.zeros(len(self.columns) + 1), -math.inf
         self.beta[0] = math.log(self.events / (self.n - self.events))
 
-    def sums(self) -> list[Column]:
-        """Log-likelihood, gradient and upper half of the curvature at the present coefficients."""
-        x = [F.lit(1.0), *((c - float(m)) / float(s) for c, m, s in zip(self.columns, self.mean, self.spread))]
-        e = reduce(Column.__add__, (float(b) * c for b, c in zip(self.beta, x)))
-        p = 1 / (1 + F.exp(-e))
-        # log(1 + exp(e)) without overflow
-        ll = F.sum(self.rows * (F.col("y") * e - F.greatest(e, F.lit(0.0)) - F.log1p(F.exp(-F.abs(e)))))
-        return [ll, *[F.sum(self.rows * (F.col("y") - p) * c) for c in x], *[F.sum(self.rows * p * (1 - p) * x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]]
-
     def step(self, found: Sequence) -> None:
         k = len(self.beta)
         gradient, hessian = np.array(found[1 : k + 1], float), np.zeros((k, k))
         hessian[np.triu_indices(k)] = found[k + 1 :]
         hessian += np.triu(hessian, 1).T
+        if not self.open:
+            return
         try:
             covariance = np.linalg.inv(hessian)
         except np.linalg.LinAlgError:
@@ -137,6 +130,25 @@ def _ask(table: DataFrame, models: Sequence[Model], what: str, then: str) -> Non
         at += len(part)
 
 
+def _step(table: DataFrame, models: Sequence[Model]) -> None:
+    """One Newton step of all models: log-likelihood, gradient and upper half of the curvature of each in one aggregation."""
+    scaled, eta, sums = [], [], []
+    for i, m in enumerate(models):
+        scaled += [m.rows.alias(f"n{i}"), *[((c - float(m.mean[j])) / float(m.spread[j])).alias(f"z{i}_{j + 1}") for j, c in enumerate(m.columns)]]
+        z = [F.lit(1.0), *[F.col(f"z{i}_{j + 1}") for j in range(len(m.columns))]]
+        eta.append(reduce(Column.__add__, [float(b) * c for b, c in zip(m.beta, z)]).alias(f"e{i}"))
+        n, e, p, y = F.col(f"n{i}"), F.col(f"e{i}"), F.col(f"p{i}"), F.col("y")
+        # log(1 + exp(e)) without overflow
+        sums.append([F.sum(n * (y * e - F.greatest(e, F.lit(0.0)) - F.log1p(F.exp(-F.abs(e))))), *[F.sum(n * (y - p) * c) for c in z], *[F.sum(n * p * (1 - p) * z[j] * z[k]) for j in range(len(z)) for k in range(j, len(z))]])
+    chances = {f"p{i}": 1 / (1 + F.exp(-F.col(f"e{i}"))) for i in range(len(models))}
+    rows = table.select("*", *scaled).select("*", *eta).withColumns(chances)
+    row = rows.agg(*[c.alias(f"{i}_{j}") for i, part in enumerate(sums) for j, c in enumerate(part)]).first()
+    at = 0
+    for m, part in zip(models, sums):
+        m.step(row[at : at + len(part)])
+        at += len(part)
+
+
 def fits(table: DataFrame, models: Sequence[Model], least: int = 0) -> list[Fit | None]:
     """Maximum likelihood with an intercept of all models at once: each Newton step is one aggregation over the patterns. Models of fewer than ``least`` rows aren't fitted."""
     if models:
@@ -144,11 +156,11 @@ def fits(table: DataFrame, models: Sequence[Model], least: int = 0) -> list[Fit
     active = [m for m in models if m.open and m.n >= least]
     if active:
         _ask(table, active, "spreads", "scale")
+    active = [m for m in active if m.open]
     for _ in range(STEPS):
-        active = [m for m in active if m.open]
-        if not active:
+        if not any(m.open for m in active):
             break
-        _ask(table, active, "sums", "step")
+        _step(table, active)
     return [m.fit for m in models]
 
 

@@ -115,9 +115,9 @@ def jn13_form_dependencies(spark, sf):
 @query("src9_promoted_tables", "SELECT '' AS folder, 'sheet_table_1' AS name, CAST(r_regionkey AS VARCHAR) AS a, r_name AS b FROM region UNION ALL SELECT 'extras', 'sheet_table_2', '1', '2'")
 def src9_promoted_tables(spark, sf):
     """SRC8, SRC9: a sheet split at empty rows; from the marker on tables are extras."""
-    body = [[str(r["r_regionkey"]), r["r_name"]] for r in read(spark, sf, "region").collect()]
-    sheet = [["a", "b"], *body, [None, " "], ["IGNORE BELOW", None], ["a", "b"], ["1", "2"]]
-    made = [df.select(F.lit(f).alias("folder"), F.lit(n).alias("name"), "a", "b") for f, n, df in files.promote(spark, files.split_sheet(sheet), "sheet", "x.xlsx")]
+    body = read(spark, sf, "region").select((F.col("r_regionkey") + 1).alias("row_index"), F.col("r_regionkey").cast("string").alias("c1"), F.col("r_name").alias("c2"))
+    frame = named(spark, [(0, "a", "b"), (10**6, None, " "), (10**6 + 1, "IGNORE BELOW", None), (10**6 + 2, "a", "b"), (10**6 + 3, "1", "2")], "row_index long, c1 string, c2 string")
+    made = [df.select(F.lit(f).alias("folder"), F.lit(n).alias("name"), "a", "b") for f, n, df in files.promoted(frame.unionByName(body), "sheet", "x.xlsx")]
     return made[0].unionByName(made[1])
 
 

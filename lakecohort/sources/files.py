@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import Path
 from xml.etree import ElementTree
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,12 +161,78 @@ def read_forms(spark: SparkSession, folder: str) -> DataFrame:
     return df.withColumn("file", F.input_file_name()).filter(F.size("variables") > 0)
 
 
+#: Rows of a block whose running sums one task works out.
+FAN = 1 << 16
+
+
+def running(df: DataFrame, at: str, value: Column, name: str) -> DataFrame:
+    """df with the sum of value over all rows before, by the numbers (0 to 2^32) of the column at.
+
+    In two levels: sums within blocks of 65536 numbers start from the sums of the blocks before, so no window holds more rows
+    than a block, or blocks than a block of blocks.
+    """
+    before = lambda c, block, order: F.coalesce(F.sum(c).over(Window.partitionBy(block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = df.withColumn("__value", value).withColumn("__own", F.expr(f"`{at}` div {FAN}"))
+    totals = own.groupBy("__own").agg(F.sum("__value").alias("__total"))
+    bases = totals.select("__own", before("__total", F.expr(f"__own div {FAN}"), "__own").alias("__base"))
+    return own.withColumn("__inside", before("__value", "__own", at)).join(bases, "__own").withColumn(name, F.col("__inside") + F.col("__base")).drop("__value", "__own", "__inside", "__base")
+
+
+def is_blank(c: Column) -> Column:
+    return F.coalesce(F.trim(c.cast("string")) == "", F.lit(True))
+
+
 def strips(df: DataFrame, order: str = "row_index") -> DataFrame:
-    """Rows that aren't empty, with the number of their strip: empty rows part strips. For one sheet."""
-    empty = F.concat_ws("", *[F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns if c != order]) == ""
-    before = F.sum(empty.cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("__gap", before).filter(~empty)
-    return marked.withColumn("strip", F.dense_rank().over(Window.orderBy("__gap"))).drop("__gap")
+    """Rows that aren't empty, with the number of their strip: empty rows part strips. For one sheet of any length, whose rows are numbered (with gaps or not)."""
+    cells = [F.col(f"`{c}`") for c in df.columns if c != order]
+    marked = df.withColumn("__empty", reduce(Column.__and__, map(is_blank, cells), F.lit(True)))
+    placed = running(marked.withColumn("__order", F.col(order).cast("long")), "__order", F.lit(1), "__pos").withColumn("__block", F.expr(f"__pos div {FAN}"))
+    # the row before lies in the same block, or is the last of the block before
+    last = placed.groupBy((F.col("__block") + 1).alias("__block")).agg(F.max_by("__empty", "__pos").alias("__last"))
+    before = F.coalesce(F.lag("__empty").over(Window.partitionBy("__block").orderBy("__pos")), F.col("__last"), F.lit(True))
+    opened = placed.join(last, "__block", "left").withColumn("__opens", ~F.col("__empty") & before)
+    counted = running(opened, "__pos", F.col("__opens").cast("int"), "__strips")
+    return counted.filter("not __empty").withColumn("strip", (F.col("__strips") + F.col("__opens").cast("int")).cast("int")).select(*df.columns, "strip")
+
+
+def promoted(df: DataFrame, sheet: str, source: str, order: str = "row_index", marker: str = "ignore below") -> list[tuple[str, str, DataFrame]]:
+    """(folder, name, table) of each table of a sheet: strips of rows, parted by columns that are empty throughout the strip.
+
+    The first row of a table that isn't empty is its header; from a table that begins with the marker on, the folder is
+    extras. The driver sees which columns each strip fills and the headers, not the rows.
+    """
+    cells = [c for c in df.columns if c != order]
+    known = strips(df, order)
+    filled = known.groupBy("strip").agg(*[F.max(~is_blank(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(cells)]).orderBy("strip").collect()  # a row a strip
+    tables = [(row["strip"], run) for row in filled for run in _runs([c if row[str(i)] else None for i, c in enumerate(cells)])]
+    if not tables:
+        return []
+    some = lambda run: reduce(Column.__or__, [~is_blank(F.col(f"`{c}`")) for c in run])
+    content = lambda k, run: (F.col("strip") == k) & some(run)
+    head = lambda run: F.struct(F.col(order).alias("at"), F.array(*[F.col(f"`{c}`").cast("string") for c in run]).alias("names"))
+    heads = known.agg(*[F.min_by(head(run), F.when(content(k, run), F.col(order))).alias(str(i)) for i, (k, run) in enumerate(tables)]).first()
+    out, folder = [], ""
+    for i, (k, run) in enumerate(tables):
+        first, rows = heads[i], known.filter(content(k, run))
+        if any(marker in str(v).lower() for v in first["names"] if v is not None):
+            folder = "extras"
+            first = rows.filter(F.col(order) > first["at"]).agg(F.min_by(head(run), order)).first()[0]
+        if first is not None:
+            body = rows.filter(F.col(order) > first["at"])
+            made = body.select(*[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(run, unique_names(first["names"]))])
+            out.append((folder, f"{sheet}_table_{i + 1}", tagged(made, sheet, str(i + 1), source)))
+    return out
+
+
+def _runs(names: Sequence[str | None]) -> list[list[str]]:
+    """Runs of names between the missing ones."""
+    out: list[list[str]] = [[]]
+    for n in names:
+        if n is not None:
+            out[-1].append(n)
+        elif out[-1]:
+            out.append([])
+    return [x for x in out if x]
 
 
 def column_islands(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:

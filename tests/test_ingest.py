@@ -123,3 +123,41 @@ def test_fingerprints(spark):
         assert versions.fingerprint(spark.createDataFrame(other, kind)) != same
     assert versions.fingerprint(df.withColumnRenamed("s", "t")) != same
     assert versions.fingerprint(df.limit(0)) == versions.fingerprint(df.limit(0).repartition(2))
+
+
+def plain_strips(rows):
+    out, strip, before = [], 0, True
+    for at, v in sorted(rows):
+        empty = not (v or "").strip()
+        if not empty:
+            strip += before
+            out.append((at, v, strip))
+        before = empty
+    return out
+
+
+@pytest.mark.parametrize("gap", [1, 3])
+def test_strips_over_many_blocks(spark, gap, monkeypatch):
+    import random
+
+    from lakecohort.sources import files
+
+    monkeypatch.setattr(files, "FAN", 64)
+    random.seed(4)
+    rows = [(gap * i, random.choice(["x", "y", "", " ", None]) if not 300 < i < 900 else ("z" if i < 600 else None)) for i in range(1300)]
+    got = files.strips(spark.createDataFrame(rows, "row_index long, v string").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == plain_strips(rows)
+    for n in (0, 1):
+        few = spark.createDataFrame(rows[:n] + [(5, None)] * n, "row_index long, v string")
+        assert files.strips(few).count() == len(plain_strips(rows[:n]))
+
+
+def test_tables_of_a_sheet_as_the_plain_splitter(spark):
+    from lakecohort.sources import files
+
+    sheet = [["a", "b", None, "c"], ["1", "2", None, "3"], [None, None, None, "4"], [None, " ", "", None], ["ignore below", None, None, "q"], ["z", None, None, "r"], ["9", None, None, "8"], [None] * 4, ["h", "h", None, None]]
+    plain = files.promote(spark, files.split_sheet(sheet), "s", "d.xlsx")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(sheet)], "row_index int, c1 string, c2 string, c3 string, c4 string")
+    got = files.promoted(df, "s", "d.xlsx")
+    assert [(f, n, d.columns, sorted(map(tuple, d.collect()), key=repr)) for f, n, d in got] == [(f, n, d.columns, sorted(map(tuple, d.collect()), key=repr)) for f, n, d in plain]
+    assert files.promoted(df.limit(0), "s", "d.xlsx") == []

@@ -69,12 +69,13 @@ def test_fits_against_all_rows(people):
 
 def test_models_share_their_steps(spark, people, monkeypatch):
     asked = []
-    ask = stats._ask
+    ask, step = stats._ask, stats._step
     monkeypatch.setattr(stats, "_ask", lambda table, models, what, then: (asked.append((what, len(models))), ask(table, models, what, then)))
+    monkeypatch.setattr(stats, "_step", lambda table, models: (asked.append(("step", len(models))), step(table, models)))
     found = stats.univariate(people, "y", ["a", "b b", "c", "one"])
     assert [f["n"] for f in found] == [people.filter("a is not null").count(), people.filter("not isnan(`b b`)").count(), 2000, 2000]
     assert found[3]["coef"] is None and all(f["coef"] is not None for f in found[:3])
-    assert asked[0] == ("means", 4) and asked[1] == ("spreads", 4) and len(asked) <= 12  # not one job a model and step
+    assert asked[0] == ("means", 4) and asked[1] == ("spreads", 4) and set(asked[2:]) == {("step", 3)} and len(asked) <= 12  # not one job a model and step
     alone = stats.logit(people, "y", ["c"])
     assert found[2]["coef"] == pytest.approx(alone.coefficients[1], rel=1e-9)
 
