@@ -89,16 +89,18 @@ def candidates(variables: DataFrame, description: str, k: int = 3, name: str = "
     scored = variables.withColumn("score", text.variable_score(description, F.col(name), F.col(described), F.col(form)))
     # only variables without a score go to Python
     start = F.substring(text.normalise(F.coalesce(F.col(described), F.lit(""))), 1, max(3 * len(wanted), 40))
-    fuzzy = scored.filter("score = 0").withColumn("score", F.when(similarity(F.lit(wanted), start) >= text.FUZZY_RATIO, text.FUZZY_POINTS).otherwise(0))
+    # of those only the ones whose letters allow the ratio
+    near = scored.filter("score = 0").withColumn("__start", start).filter(text.ratio_bound(wanted, F.col("__start")) >= text.FUZZY_RATIO)
+    fuzzy = near.withColumn("score", F.when(similarity(F.lit(wanted), F.col("__start")) >= text.FUZZY_RATIO, text.FUZZY_POINTS).otherwise(0)).drop("__start")
     best = rows.top(scored.filter("score > 0").unionByName(fuzzy), "score", max(1, min(k, 10)), F.length(name), F.col(name))
     first = F.max("score").over(Window.partitionBy())
     return best.withColumn("confidence", text.confidence(F.col("score"), first)).withColumn("low_confidence", F.col("confidence") < text.LOW_CONFIDENCE)
 
 
-def snippets(texts: DataFrame, query: str, k: int = 5, column: str = "text", form: str = "form_name") -> DataFrame:
-    """The best snippets for a query: by score, then shorter, then by form."""
+def snippets(texts: DataFrame, query: str, k: int = 5, column: str = "text", form: str = "form_name", tie: str | None = None) -> DataFrame:
+    """The best snippets for a query: by score, then shorter, then by form, then by the column tie."""
     scored = texts.withColumn("score", text.snippet_score(query, F.col(column)))
-    return rows.top(scored, "score", max(1, min(k, 15)), F.length(column), F.col(form))
+    return rows.top(scored, "score", max(1, min(k, 15)), F.length(column), F.col(form), *([F.col(tie)] if tie else []))
 
 
 def best_form(variables: DataFrame, query: str) -> DataFrame:

@@ -71,6 +71,11 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
     return _content(a).unionByName(_content(b)).distinct()
 
 
+def exact_copies(df: DataFrame, text: str, ordinal: str) -> DataFrame:
+    """h (a digest), n and first (the smallest ordinal) of each text that occurs more than once; combined before the shuffle."""
+    return df.groupBy(F.md5(F.col(text).cast("binary")).alias("h")).agg(F.count("*").alias("n"), F.min(ordinal).alias("first")).filter("n > 1")
+
+
 def resolve_duplicate(name_a: str, a: DataFrame, name_b: str, b: DataFrame) -> tuple[dict[str, DataFrame], dict]:
     """(datasets that stay, event) of two datasets that hold the same form: the larger stays (a tie: the first)."""
     if not same_schema(a, b):

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakecohort.functions import dates, numbers, phi, text
+from lakecohort.functions import dates, keyed, numbers, phi, text
 from lakecohort.operators import catalogue, dedup, deid, rows, stats
 from lakecohort.plans import api
+from lakecohort.plans.registry import _SQL as _QUERY_SQL
 from lakecohort.plans.registry import TEST_KEY, query, read
 from lakecohort.sources import files, generations, runs, sinks
 
@@ -40,10 +43,11 @@ def named(spark: SparkSession, found: list[tuple], schema: str) -> DataFrame:
 # ---- sources
 
 
-@query("src1_discover", "SELECT unnest([" + ",".join(f"'{t}.parquet'" for t in TABLES) + "]) AS name")
+@query("src1_discover", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def src1_discover(spark, sf):
-    """SRC1: the files of a folder by suffix."""
-    return named(spark, [(p.name,) for p in files.discover(local(sf), (".parquet",))], "name string")
+    """SRC1: the files of a folder by suffix, each read."""
+    found = [spark.read.parquet(path).agg(F.lit(path.rsplit("/", 1)[-1]).alias("name"), F.count("*").alias("n")) for path in files.discover_all(spark, sf, (".parquet",), folders=True)]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("src2_csv", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NA' WHEN c_custkey % 3 = 2 THEN c_name END AS mark, c_acctbal FROM customer")
@@ -121,10 +125,13 @@ def src9_promoted_tables(spark, sf):
     return made[0].unionByName(made[1])
 
 
-@query("src10_unique_names", "SELECT unnest(range(6)) AS place, unnest(['a', 'a_1', 'Unnamed', 'b', 'a_2', 'Unnamed_1']) AS name")
+@query("src10_unique_names", """
+WITH h AS (SELECT n_nationkey, CASE WHEN n_regionkey = 3 THEN 'Unnamed' ELSE 'r' || n_regionkey END AS name FROM nation)
+SELECT n_nationkey, name || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n_nationkey) AS k FROM h)""")
 def src10_unique_names(spark, sf):
-    """SRC10: repeated and missing header names."""
-    return named(spark, list(enumerate(files.unique_names(["a", "a", None, "b", "a", " "]))), "place long, name string")
+    """SRC10: repeated and missing header names; a header is a row of names."""
+    header = read(spark, sf, "nation").orderBy("n_nationkey").select("n_nationkey", F.when(F.col("n_regionkey") != 3, F.concat(F.lit("r"), "n_regionkey")).otherwise(F.when(F.col("n_nationkey") % 2 == 0, " ")).alias("name")).collect()
+    return named(spark, list(zip([r["n_nationkey"] for r in header], files.unique_names([r["name"] for r in header]))), "n_nationkey long, name string")
 
 
 @query("src15_named_frames", "SELECT c_custkey, c_name FROM customer")
@@ -191,15 +198,21 @@ def prj2_rename(spark, sf):
     return rows.rename_concepts(read(spark, sf, "customer").select("c_custkey", "c_acctbal"), {"balance": "c_acctbal", "other": "none"})
 
 
-@query("prj4_resolver", "SELECT unnest(['CUST', 'er', 'zzz', '.']) AS wanted, unnest(['customer', 'conversations', NULL, NULL]) AS found")
+@query("prj4_resolver", "SELECT p.p_partkey, min(n.n_name) AS found FROM part p LEFT JOIN nation n ON contains(lower(n.n_name), lower(substr(p.p_name, 1, 2))) GROUP BY 1")
 def prj4_resolver(spark, sf):
-    """PRJ4: the first name in order that holds the text literally."""
-    return named(spark, [(w, rows.resolve(w, TABLES)) for w in ("CUST", "er", "zzz", ".")], "wanted string, found string")
+    """PRJ4: the first name in order that holds the text literally; datasets are called as nations are, texts come from parts."""
+    known = [r["n_name"] for r in read(spark, sf, "nation").select("n_name").collect()]
+    parts = read(spark, sf, "part").select("p_partkey", F.substring("p_name", 1, 2).alias("wanted"))
+    wanted = [r["wanted"] for r in parts.select("wanted").distinct().limit(26**2 * 4).collect()]  # two letters
+    found = named(spark, [(w, rows.resolve(w, known)) for w in wanted], "wanted string, found string")
+    return parts.join(F.broadcast(found), "wanted").select("p_partkey", "found")
 
 
-@query("prj5_resolve_all", "SELECT unnest(['conversations', 'customer', 'orders', 'supplier']) AS found")
+@query("prj5_resolve_all", "SELECT r_name AS region, n_name AS found FROM region JOIN nation ON contains(lower(n_name), lower(substr(r_name, 1, 1)))")
 def prj5_resolve_all(spark, sf):
-    return named(spark, [(n,) for n in rows.resolve_all("ER", TABLES)], "found string")
+    """PRJ5: all names that hold the text."""
+    known = [r["n_name"] for r in read(spark, sf, "nation").select("n_name").collect()]
+    return named(spark, [(r["r_name"], n) for r in read(spark, sf, "region").collect() for n in rows.resolve_all(r["r_name"][:1], known)], "region string, found string")
 
 
 @query("prj9_membership", "SELECT p_partkey, CASE WHEN p_size IN (1, 2, 5) THEN p_size END AS size FROM part")
@@ -257,9 +270,9 @@ def scl16_labels(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", numbers.sex_label(F.col("c_nationkey") % 3).alias("sex"))
 
 
-@query("scl17_odds_ratio", "SELECT c_custkey, round(exp(c_acctbal / 10000), 6) AS small, c_acctbal > 709 AS overflows FROM customer WHERE c_acctbal NOT BETWEEN 709 AND 710")
+@query("scl17_odds_ratio", "SELECT c_custkey, round(exp(c_acctbal / 10000), 6) AS small, c_acctbal > ln(1.7976931348623157e308) AS overflows FROM customer")
 def scl17_odds_ratio(spark, sf):
-    c = read(spark, sf, "customer").filter("c_acctbal not between 709 and 710")  # the limit lies between
+    c = read(spark, sf, "customer")
     return c.select("c_custkey", F.round(numbers.odds_ratio(F.col("c_acctbal") / 10000), 6).alias("small"), F.isnan(numbers.odds_ratio(F.col("c_acctbal"))).alias("overflows"))
 
 
@@ -301,20 +314,31 @@ def dei3_birthdate(spark, sf):
     return out.select("o_orderkey", F.lit(None if "BIRTHDAT" not in out.columns else "kept").cast("string").alias("BIRTHDAT"))
 
 
-@query("dei13_key", "SELECT 32 AS bytes, true AS again, true AS refused")
-def dei13_key(spark, sf):
-    """DEI13: a key is made once, read by its owner only, and refused when others can read it."""
-    import os
+@query("dei3_birthdate_limited", _QUERY_SQL["dei8_date_shift"].replace("AS shifted", "AS BIRTHDAT"))
+def dei3_birthdate_limited(spark, sf):
+    """DEI3: in a limited data set a date of birth moves with the subject's other dates."""
+    o = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("SUBJID"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("BIRTHDAT"))
+    rules = deid.Rules(birthdate=("BIRTH",), posture=deid.LIMITED, authority="board 7")
+    return deid.scrub(o, rules, TEST_KEY).select("o_orderkey", "BIRTHDAT")
 
-    path = os.path.join(tempfile.mkdtemp(prefix="lakecohort-"), "key")
-    key, refused = deid.load_key(path, create=True), False
-    again = deid.load_key(path) == key
+
+@query("dei13_key", _QUERY_SQL["dei9_pseudonyms"].replace("SELECT c_custkey,", "SELECT c_custkey, true AS made, true AS refused,"))
+def dei13_key(spark, sf):
+    """DEI13: pseudonyms by a key that is read from its owner's file; one that others can read is refused, a new one is made once."""
+    home = tempfile.mkdtemp(prefix="lakecohort-")
+    path, refused = os.path.join(home, "key"), False
+    with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT, 0o600), "w") as f:
+        f.write(TEST_KEY.hex())
+    key = deid.load_key(path)
     os.chmod(path, 0o644)
     try:
         deid.load_key(path)
     except PermissionError:
         refused = True
-    return named(spark, [(len(key), again, refused)], "bytes int, again boolean, refused boolean")
+    new = os.path.join(home, "new")
+    made = deid.load_key(new, create=True) == deid.load_key(new) != key
+    c = keyed.with_key(read(spark, sf, "customer"), key)
+    return c.select("c_custkey", F.lit(made).alias("made"), F.lit(refused).alias("refused"), keyed.pseudonym(F.col("c_custkey"), "SUBJ").alias("subject"), keyed.pseudonym(F.col("c_custkey"), "FAM").alias("family"))
 
 
 @query("phi10_mask", "SELECT c_custkey, 'id [REDACTED], ' || repeat('x', 470) AS t FROM customer")
@@ -352,9 +376,12 @@ def set2_same_schema(spark, sf):
     return named(spark, [(dedup.same_schema(a, a.select(*reversed(a.columns))), dedup.same_schema(a, b))], "same boolean, other boolean")
 
 
-@query("set4_junk", "SELECT unnest(['a', 'c']) AS name")
+@query("set4_junk", "SELECT n_name AS dataset, count(*) AS records FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_name NOT IN ('FRANCE', 'CHINA') GROUP BY 1")
 def set4_junk(spark, sf):
-    return named(spark, [(n,) for n in dedup.without_junk(["a", "b", "c"], ("b", "x"))], "name string")
+    """SET4: datasets (a nation's customers each) without the junk ones."""
+    kept = dedup.without_junk([r["n_name"] for r in read(spark, sf, "nation").select("n_name").collect()], ("FRANCE", "CHINA", "none"))
+    c = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.filter(F.col("n_name").isin(kept)).groupBy(F.col("n_name").alias("dataset")).agg(F.count("*").alias("records"))
 
 
 @query("set9_surviving_names", "SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey', 'r_regionkey', 'r_name']) AS name, 'gone' AS dropped")
@@ -408,22 +435,36 @@ def api10_completeness(spark, sf):
     return _study(spark, sf).cross_reference_variables("c_acct")[1]
 
 
-@query("st7_caveats", f"SELECT n, CASE WHEN n < {stats.SEVERE} THEN 2 WHEN n < {stats.LOW} THEN 2 ELSE 1 END AS notes, n < {stats.SEVERE} AS severe FROM (SELECT unnest(range(0, 60)) AS n)")
+_EVENTS = "WITH e AS (SELECT c_nationkey AS nation, sum((c_acctbal < 0)::INT)::BIGINT AS n FROM customer GROUP BY 1)"
+
+
+def _events_by_nation(spark, sf):
+    return read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.sum((F.col("c_acctbal") < 0).cast("long")).alias("n")).collect()  # 25 rows
+
+
+@query("st7_caveats", f"{_EVENTS} SELECT nation, n, CASE WHEN n < {stats.LOW} THEN 2 ELSE 1 END AS notes, n < {stats.SEVERE} AS severe FROM e")
 def st7_caveats(spark, sf):
-    """ST7: notes by events, and one for each column with gaps."""
-    found = [(n, stats.caveats(n, ["a"])) for n in range(60)]
-    return named(spark, [(n, len(c), "not reliable" in c[0]) for n, c in found], "n long, notes int, severe boolean")
+    """ST7: notes by each nation's events, and one for each column with gaps."""
+    found = [(r["nation"], r["n"], stats.caveats(r["n"], ["a"])) for r in _events_by_nation(spark, sf)]
+    return named(spark, [(k, n, len(c), "not reliable" in c[0]) for k, n, c in found], "nation long, n long, notes int, severe boolean")
 
 
-@query("st13_underpowered", f"SELECT n, n < {stats.SEVERE} OR n / 6.0 < 5 AS six, n < {stats.SEVERE} OR n < 5 AS none FROM (SELECT unnest(range(0, 60)) AS n)")
+@query("st13_underpowered", f"{_EVENTS} SELECT nation, n < {stats.SEVERE} OR n / 6.0 < 5 AS six, n < {stats.SEVERE} OR n < 5 AS none FROM e")
 def st13_underpowered(spark, sf):
-    return named(spark, [(n, stats.underpowered(n), stats.underpowered(n, 0)) for n in range(60)], "n long, six boolean, none boolean")
+    """ST13: of each nation's events."""
+    return named(spark, [(r["nation"], stats.underpowered(r["n"]), stats.underpowered(r["n"], 0)) for r in _events_by_nation(spark, sf)], "nation long, six boolean, none boolean")
 
 
-@query("st14_plot_routing", "SELECT unnest(['sex', 'bmi', 'other', 'sex']) AS predictor, unnest(['violin', 'scatter', NULL, 'violin']) AS kind, unnest([false, false, false, true]) AS noted")
+@query("st14_plot_routing", """
+WITH p AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'sex' WHEN 1 THEN 'bmi' WHEN 2 THEN 'other' ELSE 'age' END AS predictor, CASE WHEN p_partkey % 2 = 0 THEN 'scatter' END AS wanted FROM part)
+SELECT p_partkey, predictor, CASE predictor WHEN 'sex' THEN 'violin' WHEN 'other' THEN NULL ELSE 'scatter' END AS kind, predictor = 'sex' AND wanted IS NOT NULL AS noted FROM p""")
 def st14_plot_routing(spark, sf):
-    found = [(p, *stats.plot_kind(p, w)) for p, w in (("sex", None), ("bmi", "scatter"), ("other", "violin"), ("sex", "scatter"))]
-    return named(spark, [(p, k, bool(note)) for p, k, note in found], "predictor string, kind string, noted boolean")
+    """ST14: the plot that fits a predictor's scale, and a note where another was wanted."""
+    predictor = F.element_at(F.array(*map(F.lit, ("sex", "bmi", "other", "age"))), (F.col("p_size") % 4 + 1).cast("int"))
+    p = read(spark, sf, "part").select("p_partkey", predictor.alias("predictor"), F.when(F.col("p_partkey") % 2 == 0, "scatter").alias("wanted"))
+    asked = p.select("predictor", "wanted").distinct().collect()  # eight rows
+    routes = named(spark, [(r["predictor"], r["wanted"], *(lambda k, note: (k, bool(note)))(*stats.plot_kind(r["predictor"], r["wanted"]))) for r in asked], "q string, w string, kind string, noted boolean")
+    return p.join(F.broadcast(routes), (F.col("predictor") == F.col("q")) & F.col("wanted").eqNullSafe(F.col("w"))).select("p_partkey", "predictor", "kind", "noted")
 
 
 @query("st10_plot_points", "SELECT quality AS x, toxic AS outcome, true AS near FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL")
@@ -506,7 +547,6 @@ def gov9_ingest_ledger(spark, sf):
 
 def _one_file(df: DataFrame, path: str) -> None:
     """A table as one CSV file of this name, as studies hand them over."""
-    import os
     import shutil
     from pathlib import Path
 

@@ -68,8 +68,8 @@ def _offset(value: str) -> str:
 @query("src4_events_json", "SELECT event_id, json_extract_string(props, '$.' || k) AS value, k AS name FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def src4_events_json(spark, sf):
     """SRC4-6: JSON text parsed without a fixed schema."""
-    parsed = F.from_json("props", "map<string,string>")
-    return read(spark, sf, "events").select("event_id", F.explode(parsed).alias("name", "value"))
+    lines = files.parse_lines(read(spark, sf, "events").select("event_id", "props"), "props", "map<string,string>")
+    return lines.select("event_id", F.explode("parsed").alias("name", "value"))
 
 
 @query("src8_strips", """
@@ -500,8 +500,7 @@ c AS (SELECT *, (length(x) - length(replace(x, 'tion', ''))) // 4 AS a, (length(
 s AS (SELECT doc_id, source, text, 25 * contains(x, 'tion heon')::INT + 10 * (a > 0 AND b > 0)::INT + CASE WHEN a > 0 THEN 4 + least(a - 1, 6) ELSE 0 END + CASE WHEN b > 0 THEN 4 + least(b - 1, 6) ELSE 0 END AS score FROM c)
 SELECT doc_id, CAST(score AS INTEGER) AS score FROM s WHERE score > 0 ORDER BY score DESC, length(text), source, doc_id LIMIT 5""")
 def srt3_snippet_search(spark, sf):
-    d = read(spark, sf, "documents").withColumn("score", text.snippet_score("tion heon", F.col("text")))
-    return rows.top(d, "score", 5, F.length("text"), F.col("source"), F.col("doc_id")).select("doc_id", "score")
+    return catalogue.snippets(read(spark, sf, "documents"), "tion heon", 5, form="source", tie="doc_id").select("doc_id", "score")
 
 
 # ---- de-identification
@@ -711,4 +710,4 @@ def st6_descriptive(spark, sf):
 @query("jn5_exact_duplicates", "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def jn5_exact_duplicates(spark, sf):
     """SET1 on texts: groups by digest, combined before the shuffle."""
-    return read(spark, sf, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return dedup.exact_copies(read(spark, sf, "documents"), "text", "doc_id").select("h", "n", F.col("first").alias("first_id"))

@@ -107,13 +107,13 @@ def read_table(spark: SparkSession, path: str) -> list[tuple[str, DataFrame]]:
     raise ValueError(f"unknown kind of file: {path}")
 
 
-def discover_all(spark: SparkSession, folder: str, suffixes: Sequence[str] = TABULAR, junk: Sequence[str] = JUNK) -> list[str]:
-    """As discover, of a folder of any Hadoop file system: paths of its files by name."""
+def discover_all(spark: SparkSession, folder: str, suffixes: Sequence[str] = TABULAR, junk: Sequence[str] = JUNK, folders: bool = False) -> list[str]:
+    """As discover, of a folder of any Hadoop file system: paths of its files by name. folders: tables that are folders count."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise FileNotFoundError(f"no data folder: {folder}")
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if folders or s.isFile())
     found = [n for n in names if Path(n).suffix.lower() in suffixes and not n.startswith((".", "~$")) and n not in junk]
     if not found:
         raise ValueError(f"no data files in {folder}")
