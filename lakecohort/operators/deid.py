@@ -24,6 +24,24 @@ SAFE_HARBOR, LIMITED = "safe_harbor", "limited_dataset"
 ORDER = ("keep", "birthdate", "drop", "cap", "generalize", "suppress", "date", "id")
 
 
+#: Words of column names by what they say, for the default rules.
+WORDS = {
+    "birth": "birth brth dob bday",
+    "person": "first[-_]?name last[-_]?name middle[-_]?name given[-_]?name surname father mother spouse guardian next[-_]?of[-_]?kin patient[-_]?name subject[-_]?name",
+    "place": "village city town district taluk ward locality state province addr residence postal zip pin_?code gps latitude longitude",
+    "contact": "phone mobile fax e[-_]?mail website homepage ip[-_]?addr user[-_]?agent",
+    "state_id": "ssn social_?security aadhaa?r passport voter ration[-_]?card mrn medical_?record",
+    "social": "relig caste tribe mother_?tongue educ literacy school occup profession income salary wage",
+    "free_text": "comment remark note$ explain",
+    "image": "photo fingerprint biometric voiceprint dicom",
+    "staff": "interviewer assessor examiner nurse physician clinician doctor staff investigator coordinator monitor auditor technician",
+    "numbered": "account bank insurance policy beneficiary certificate licen[cs]e registration vehicle chassis device serial session transaction tracking cookie login user unique",
+    "entry": "created modified updated entered verified uploaded imported exported locked",
+}
+#: Broader values of marital status.
+MARITAL = {"married": "Married", "married/living together": "Married", "living together": "Married", "single": "Single", "never married": "Single", "unmarried": "Single", "widowed": "Other", "divorced": "Other", "separated": "Other", "separated/divorced": "Other"}
+
+
 @dataclass(frozen=True)
 class Rules:
     """Patterns are searched in column names without regard to case."""
@@ -60,6 +78,34 @@ class Rules:
         if any(not m for _, m in self.generalize):
             raise ValueError("a rule has no mapping")
 
+    @classmethod
+    def defaults(cls, **changes) -> Rules:
+        """Rules for a study that has none of its own yet, by the kinds of identifiers that safe harbour names.
+
+        Patterns are made of words (see WORDS below) and hold for any study's column names; a study adds its own and keeps
+        what they take too much of.
+        """
+        number, name = r"[-_]?(?:id|num|no|number|code|card)", r"[-_]?(?:name|id|initials?)"
+        any_of = lambda words: f"(?:{'|'.join(words.split())})"
+        made = {
+            "subject_ids": ("SUBJID", "FID"),
+            "keep": ("_TIME?$", "VISIT$", "(?:^|_)SEX$", "_LABID_?(?:OK|ND)$"),
+            "birthdate": (any_of(WORDS["birth"]),),
+            "drop": (
+                *[any_of(WORDS[k]) for k in ("person", "place", "contact", "state_id", "social", "free_text", "image")], any_of(WORDS["staff"]) + name, r"(?:^|[-_])(?:INIT(?:IAL)?S?|SIGN(?:ATURE)?)\d*$",
+                any_of(WORDS["numbered"]) + number, any_of(WORDS["entry"]) + r"[-_]?(?:by|at|on|date|time|timestamp)", r"(?:DTH|DEATH)[-_]?(?:DAT|DATE|PLACE)", r"[-_]NAME$",
+            ),
+            "cap": ((r"(?:^|[-_])AGE$", 89, "90+"),),
+            "generalize": ((r"MARI(?:T|STAT)", MARITAL),),
+            "suppress": ((r"contacts?(?:[-_]?(?:total|count))?$", 5),),
+            "dates": (r"DAT\d*$", r"_DT$", r"DATE\d*$"),
+            "ids": (
+                (r"(?:^|_)SUBJID$", "SUBJ"), (any_of("patient subject participant") + number, "SUBJ"), (r"(?:^|_)FID\d*$", "FAM"), (any_of("family household") + number, "FAM"),
+                (any_of("screen scrn enrol enroll") + number, "SCRN"), (any_of("facility center centre site clinic hospital") + number, "FAC"), (any_of("specimen sample accession lab") + number, "LAB"),
+            ),
+        }
+        return cls(**made | changes)
+
     @classmethod
     def from_mapping(cls, config: Mapping) -> Rules:
         """Rules from a parsed configuration with the names of the fields; lists become tuples."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakecohort.functions import dates, keyed, numbers, phi, text
-from lakecohort.operators import catalogue, dedup, deid, rows, stats
+from lakecohort.operators import catalogue, dedup, deid, plots, rows, stats
 from lakecohort.plans import api
 from lakecohort.plans.registry import _SQL as _QUERY_SQL
 from lakecohort.plans.registry import TEST_KEY, query, read
@@ -474,6 +474,38 @@ def st10_plot_points(spark, sf):
     return points.select("x", "outcome", (F.abs(F.col("y") - F.col("outcome")) < 0.5).alias("near"))
 
 
+@query("st10_violin_density", """
+WITH s AS (SELECT lang, count(n_chars) AS n, min(n_chars) AS lo, max(n_chars) AS hi, stddev_samp(n_chars) * count(n_chars) ** -0.2 AS h FROM documents WHERE lang IS NOT NULL GROUP BY 1 HAVING stddev_samp(n_chars) > 0),
+g AS (SELECT *, unnest(range(64)) AS point FROM s), p AS (SELECT *, lo + (hi - lo) * point / 63 AS x FROM g)
+SELECT p.lang, CAST(point AS INTEGER) AS point, round(x, 6) AS x, round(1000 * sum(exp(-0.5 * ((x - n_chars) / h) ** 2)) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM p JOIN documents d ON d.lang = p.lang WHERE n_chars IS NOT NULL GROUP BY 1, 2, 3""")
+def st10_violin_density(spark, sf):
+    """ST10: kernel densities on a grid, by aggregation."""
+    found = plots.density(read(spark, sf, "documents"), "n_chars", ["lang"])
+    return found.select("lang", "point", F.round("x", 6).alias("x"), F.round(1000 * F.col("density"), 6).alias("density"))
+
+
+_U = "(CAST('0x' || substr(md5('toxic|quality:' || doc_id), {at}, 13) AS BIGINT) + 0.5::DOUBLE) / 16.0::DOUBLE ** 13"
+
+
+@query("st10_jittered_points", f"SELECT doc_id AS key, quality AS x, round(toxic + {plots.JITTER} * sqrt(-2 * ln({_U.format(at=1)})) * cos(2 * pi() * ({_U.format(at=14)})), 6) AS y, toxic AS outcome FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL")
+def st10_jittered_points(spark, sf):
+    """ST10: points moved by what their key says, the same in every run."""
+    return plots.points(read(spark, sf, "labels"), "toxic", "quality", "doc_id").withColumn("y", F.round("y", 6))
+
+
+_Z2 = stats.Z**2
+
+
+@query("st10_interaction_rates", f"""
+WITH r AS (SELECT d.lang AS factor, l.quality AS moderator, count(*) AS n, avg(l.toxic) AS p FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IS NOT NULL AND l.quality IS NOT NULL AND d.lang IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5),
+w AS (SELECT *, (p + {_Z2} / (2 * n)) / (1 + {_Z2} / n) AS middle, {stats.Z} * sqrt(p * (1 - p) / n + {_Z2} / (4 * n * n)) / (1 + {_Z2} / n) AS half FROM r)
+SELECT factor, moderator, n, round(p, 6) AS rate, round(greatest(middle - half, 0), 6) AS low, round(least(middle + half, 1), 6) AS high FROM w""")
+def st10_interaction_rates(spark, sf):
+    """ST10: rates of the pairs of two predictors."""
+    rows_ = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return plots.rates(rows_, "toxic", "lang", "quality").withColumns({c: F.round(c, 6) for c in ("rate", "low", "high")})
+
+
 @query("scl19_small_talk", "SELECT conv_id, turn, turn % 4 <> 3 AS small FROM conversations")
 def scl19_small_talk(spark, sf):
     """SCL19: greetings and what is too short."""
