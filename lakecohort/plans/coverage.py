@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from dataclasses import replace
 from functools import reduce
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +21,7 @@ from lakecohort.operators import catalogue, dedup, deid, plots, rows, stats
 from lakecohort.plans import api
 from lakecohort.plans.registry import _SQL as _QUERY_SQL
 from lakecohort.plans.registry import TEST_KEY, query, read
-from lakecohort.sources import files, generations, runs, sinks
+from lakecohort.sources import files, generations, runs, sinks, workbooks
 
 TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
 
@@ -65,6 +69,33 @@ def _event_lines(spark, sf, broken: bool) -> DataFrame:
     return e.select(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"event_id": '), F.substring(F.col("event_type"), 1, 3))).otherwise(line).alias("value")) if broken else e.select(line.alias("value"))
 
 
+@query("src3_workbook", "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_mktsegment AS segment FROM customer")
+def src3_workbook(spark, sf):
+    """SRC3: workbooks written from a table, one a task, and read as ranges of rows."""
+    path = local(folder(spark))
+
+    def write(batches):
+        task = TaskContext.get().partitionId()
+        os.makedirs(path, exist_ok=True)
+        book = f"{path}/{task}.xlsx"
+        with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{workbooks.MAIN[1:-1]}" xmlns:r="{workbooks.LINK[1:-3]}"><sheets><sheet name="S" r:id="a"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/></Relationships>')
+            cell = lambda v: f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+            with z.open("xl/worksheets/sheet1.xml", "w") as f:
+                f.write(f'<worksheet xmlns="{workbooks.MAIN[1:-1]}"><sheetData><row>{"".join(map(cell, ("key", "name", "segment")))}</row>'.encode())
+                for b in batches:
+                    for row in zip(*(c.to_pylist() for c in b.columns)):
+                        f.write(f"<row>{''.join(map(cell, row))}</row>".encode())
+                f.write(b"</sheetData></worksheet>")
+        yield pa.RecordBatch.from_pydict({"book": [book]})
+
+    c = read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition(3, "c_custkey")
+    books = [r["book"] for r in c.mapInArrow(write, "book string").collect()]  # a path a task
+    found = reduce(DataFrame.unionByName, [df for b in sorted(set(books)) for _, df in files.read_xlsx(spark, b, 400)])
+    return found.select(F.col("key").cast("long").alias("c_custkey"), "key", "name", "segment")
+
+
 @query("src4_jsonl_lenient", "SELECT event_id, event_type, value FROM events WHERE event_id % 5 <> 0")
 def src4_jsonl_lenient(spark, sf):
     """SRC4: malformed lines are skipped."""

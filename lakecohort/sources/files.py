@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-import zipfile
 from collections.abc import Sequence
 from functools import reduce
 from pathlib import Path
-from xml.etree import ElementTree
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakecohort.sources import workbooks
+
 TABULAR = (".xlsx", ".csv")
 JUNK = (".DS_Store", "Thumbs.db", "desktop.ini", ".gitkeep")
 FORM = (
@@ -40,39 +40,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
-
-
 def xlsx_sheets(path: str) -> list[tuple[str, list[list[str | None]]]]:
-    """(sheet, rows of cell texts) of a workbook, read with the standard library."""
-    with zipfile.ZipFile(path) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS):
-            target = links[sheet.get(f"{{{_NS['r']}}}id")].lstrip("/")
-            rows = []
-            for row in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{{{_NS['m']}}}row"):
-                cells: list[str | None] = []
-                for c in row.findall("m:c", _NS):
-                    letters = re.match(r"[A-Z]+", c.get("r", "A"))[0]
-                    at = 0
-                    for x in letters:
-                        at = 26 * at + ord(x) - 64
-                    cells += [None] * (at - 1 - len(cells))
-                    value = c.find("m:v", _NS)
-                    if c.get("t") == "s" and value is not None:
-                        cells.append(shared[int(value.text)])
-                    elif c.get("t") == "inlineStr":
-                        cells.append("".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")))
-                    else:
-                        cells.append(value.text if value is not None else None)
-                rows.append(cells)
-            out.append((sheet.get("name"), rows))
-    return out
+    """(sheet, rows of cell texts) of a workbook of dictionary size, read where it is called."""
+    return [(name, [cells for _, cells in workbooks.rows(path, member)]) for name, member in workbooks.sheets(path).items()]
 
 
 def unique_names(names: Sequence[str | None]) -> list[str]:
@@ -86,14 +56,14 @@ def unique_names(names: Sequence[str | None]) -> list[str]:
     return out
 
 
-def read_xlsx(spark: SparkSession, path: str) -> list[tuple[str, DataFrame]]:
-    """(sheet, table of texts with the first row as header) of each sheet with a header."""
+def read_xlsx(spark: SparkSession, path: str, rows_per_partition: int = workbooks.ROWS) -> list[tuple[str, DataFrame]]:
+    """(sheet, table of texts with the first row as header) of each sheet with a header; rows are parsed where Spark reads them, in ranges."""
+    spark.dataSource.register(workbooks.Workbooks)
     out = []
-    for name, rows in xlsx_sheets(path):
-        if rows:
-            head = unique_names(rows[0])
-            body = [tuple([*r[: len(head)], *[None] * (len(head) - len(r))]) for r in rows[1:]]
-            out.append((name, spark.createDataFrame(body, T.StructType([T.StructField(h, T.StringType()) for h in head]))))
+    for name in workbooks.sheets(path):
+        df = spark.read.format("workbook").option("sheet", name).option("rowsPerPartition", rows_per_partition).load(path)
+        if df.columns:
+            out.append((name, df))
     return out
 
 

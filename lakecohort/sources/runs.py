@@ -189,7 +189,7 @@ class Staged:
 def stage(df: DataFrame, source_file: str, rules: deid.Rules, path: str) -> Staged:
     """Write a table of texts once and learn from it what later steps need."""
     columns = df.columns
-    place = F.col("_metadata.file_block_start") if files.has_blocks(df) else F.lit(0).cast("long")
+    place = F.col("_metadata.file_block_start") if files.has_blocks(df) else F.spark_partition_id().cast("long")
     orphan = deid.subject(columns, rules) == ""
     cells = [F.col(f"`{c}`") for c in columns]
     flags = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("__orphan").cast("long")), F.lit(0)).alias("orphans")]
