@@ -112,8 +112,9 @@ def labels(c: Column | str, patterns: dict[str, str]) -> Column:
 
 
 def is_clinical_phrase(c: Column | str) -> Column:
-    text = F.lower(F.trim(F.regexp_replace(_col(c), r"\s+", " ")))
-    words = F.split(text, " ")
+    """A phrase of the list as it is written there, but for case and outer white space, or two or more clinical words."""
+    text = F.lower(F.regexp_replace(_col(c), r"^\s+|\s+$", ""))
+    words = F.split(text, r"\s+")
     return F.coalesce(text.isin(*CLINICAL_PHRASES) | ((F.size(words) >= 2) & F.forall(words, lambda w: w.isin(*CLINICAL_WORDS))), F.lit(False))
 
 

@@ -298,12 +298,55 @@ def _check(expression) -> None:
 
 
 def narrative(cohort: str, outcome: str, result: dict) -> str:
-    """The result as Markdown."""
+    """The result as Markdown: head, descriptives, fits and interactions, each where the result has it."""
+    parts = [_head(cohort, outcome, result), _descriptive(result.get("descriptive") or {}), _fits(result.get("univariate") or []), _model(result.get("multivariate")), _interactions(result.get("interaction") or [])]
+    return "\n\n".join(p for p in parts if p)
+
+
+def _table(head: Sequence[str], rows_: Sequence[Sequence[object]]) -> str:
+    line = lambda cells: "| " + " | ".join("-" if c is None else str(c) for c in cells) + " |"
+    return "\n".join([line(head), "|" + "-|" * len(head), *map(line, rows_)])
+
+
+def _number(x: float | None, shape: str = ".2f") -> str | None:
+    return None if x is None else format(x, shape)
+
+
+def _head(cohort: str, outcome: str, result: dict) -> str:
     rate = "-" if result["rate"] is None else f"{result['rate']:.1%}"
-    lines = [f"## {cohort}: {outcome}", "", f"{result['n']} rows, {result['events']} events ({rate})"]
-    lines += [f"- {c}" for c in result["caveats"]]
-    if fits := result.get("univariate"):
-        lines += ["", "| variable | n | OR | 95 % CI | p |", "|-|-|-|-|-|"]
-        for f in fits:
-            lines.append(f"| {f['variable']} | {f['n']} | " + ("- | - | - |" if f["coef"] is None else f"{f['odds_ratio']:.2f} | {f['ci_low']:.2f}-{f['ci_high']:.2f} | {f['p_value']:.3g} |"))
+    lines = [f"## {cohort}: {outcome}", "", f"{result['n']} rows, {result['events']} events ({rate})", *(f"- {c}" for c in result["caveats"])]
+    return "\n".join(lines)
+
+
+def _descriptive(found: dict[str, list[dict]]) -> str:
+    """Means of measures, counts of categories."""
+    out = []
+    for name, rows_ in found.items():
+        for r in rows_:
+            said = (r["value"], r["n"]) if "value" in r else (f"mean {_number(r['mean']) or '-'}, median {_number(r['median']) or '-'}", r["n_valid"])
+            out.append((name, *said))
+    return _table(("variable", "value", "n"), out) if out else ""
+
+
+def _fits(found: list[dict]) -> str:
+    interval = lambda f: None if f["coef"] is None else f"{f['ci_low']:.2f}-{f['ci_high']:.2f}"
+    return _table(("variable", "n", "OR", "95 % CI", "p"), [(f["variable"], f["n"], _number(f["odds_ratio"]), interval(f), _number(f["p_value"], ".3g")) for f in found]) if found else ""
+
+
+def _model(found: dict | None) -> str:
+    """The model that is left after elimination; which predictors are significant in it."""
+    if found is None:
+        return ""
+    table = _table(("variable", "adjusted OR", "95 % CI", "p"), [(f["variable"], _number(f["odds_ratio"]), f"{f['ci_low']:.2f}-{f['ci_high']:.2f}", _number(f["p_value"], ".3g")) for f in found["table"] if f["variable"] != "intercept"])
+    named = ", ".join(f["variable"] for f in found["table"] if f["significant"] and f["variable"] != "intercept")
+    return f"{table}\n\nn {found['n']}, AIC {found['aic']:.1f}, BIC {found['bic']:.1f}, pseudo R2 {found['pseudo_r2']:.3f}. " + (f"Significant: {named}." if named else "No predictor is significant.")
+
+
+def _interactions(found: list[dict]) -> str:
+    lines = []
+    for f in found:
+        if f["p_interaction"] is None:
+            lines.append(f"- {f['factor']} by {f['moderator']}: could not be fitted")
+        else:
+            lines.append(f"- {f['factor']} by {f['moderator']}: OR {f['or_interaction']:.2f}, p {f['p_interaction']:.3g}" + (" (the effect differs)" if f["p_interaction"] < stats.ALPHA else ""))
     return "\n".join(lines)

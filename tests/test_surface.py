@@ -69,3 +69,15 @@ def test_the_oldest_result_goes(spark):
     assert list(kept.kept) == [1, 3] and frames[0].is_cached
     kept.clear()
     assert not frames[0].is_cached
+
+
+def test_reports_have_their_parts():
+    fit = {"variable": "age", "coef": 0.5, "std_error": 0.1, "odds_ratio": 1.65, "ci_low": 1.2, "ci_high": 2.2, "p_value": 0.01, "significant": True}
+    result = {
+        "n": 50, "events": 9, "rate": 0.18, "caveats": ["few"], "descriptive": {"sex": [{"value": "1", "n": "<5"}], "age": [{"mean": 40.0, "median": None, "n_valid": 50}]}, "univariate": [{"n": 50} | fit, {"n": 3} | dict.fromkeys(fit) | {"variable": "x"}],
+        "multivariate": {"table": [fit | {"variable": "intercept"}, fit], "aic": 10.0, "bic": 12.0, "pseudo_r2": 0.2, "n": 50}, "interaction": [{"factor": "age", "moderator": "sex", "p_factor": 0.1, "p_moderator": 0.1, "p_interaction": 0.01, "or_interaction": 2.0}, {"factor": "x", "moderator": "sex", "p_interaction": None}],
+    }
+    text = api.narrative("A", "death", result)
+    for part in ("## A: death", "50 rows, 9 events (18.0%)", "- few", "| sex | 1 | <5 |", "mean 40.00, median -", "| age | 50 | 1.65 | 1.20-2.20 | 0.01 |", "| x | 3 | - | - | - |", "Significant: age.", "AIC 10.0", "OR 2.00, p 0.01 (the effect differs)", "could not be fitted"):
+        assert part in text, part
+    assert api.narrative("A", "death", {"n": 1, "events": "<5", "rate": None, "caveats": []}) == "## A: death\n\n1 rows, <5 events (-)"
