@@ -36,7 +36,11 @@ def shift(c: Column | str, days: Column, day_first: bool = False) -> Column:
     Text that is no date becomes null: a date that can't be moved must not pass.
     """
     c = F.col(c) if isinstance(c, str) else c
-    moved = F.date_add(parse(c, day_first), days.cast("int"))
+    return shift_parsed(c, F.date_add(parse(c, day_first), days.cast("int")), day_first)
+
+
+def shift_parsed(c: Column, moved: Column, day_first: bool = False) -> Column:
+    """As shift, where the moved date is known; best a column of its own, as it is used in more than one place."""
     half = F.trim(F.regexp_extract(c, SLASH, 4))
     slash = F.concat(F.date_format(moved, "d/M/yyyy" if day_first else "M/d/yyyy"), F.when(half != "", F.concat(F.lit(" "), half)).otherwise(""))
     return F.when(c.rlike(ISO), F.date_format(moved, "yyyy-MM-dd")).when(c.rlike(SLASH), slash)

@@ -177,13 +177,22 @@ def date_text(c: Column, kind: str) -> Column:
     return c if kind == "string" else dates.as_stored(c) if kind.startswith("timestamp") else c.cast("string")
 
 
+def _dated(df: DataFrame, rules: Rules) -> DataFrame:
+    """df with the date of each cell that a date rule covers, in a projection of its own: it is used several times."""
+    found = {}
+    for i, (name, kind) in enumerate(df.dtypes):
+        if name != MARKER and (a := action(name, rules)).kind == "date":
+            found[f"__date{i}"] = dates.parse(date_text(F.col(f"`{name}`"), kind), *a.arguments)
+    return df.select("*", *[c.alias(k) for k, c in found.items()])
+
+
 def _changes(df: DataFrame, rules: Rules, moved: Column) -> tuple[list[Column], list[tuple[str, str, Column]]]:
-    """The columns after all rules, and (scope, field, whether it happened) of what rules do."""
+    """The columns after all rules, and (scope, field, whether it happened) of what rules do; over what _dated gives."""
     kinds = dict(df.dtypes)
     already = F.coalesce(F.col(MARKER) == VERSION, F.lit(False)) if MARKER in df.columns else F.lit(False)
     out, events = [], []
     event = lambda scope, name, changed: events.append((f"phi-scrub-{scope}", name, F.coalesce(changed & ~already, F.lit(False))))
-    for name in df.columns:
+    for i, name in enumerate(df.columns):
         if name == MARKER:
             continue
         c, kind, a = F.col(f"`{name}`"), kinds[name], action(name, rules)
@@ -201,8 +210,8 @@ def _changes(df: DataFrame, rules: Rules, moved: Column) -> tuple[list[Column],
             new = suppress(c, *a.arguments, kind)
             event("suppress", name, numbers.to_number(c) > a.arguments[0])
         elif a.kind == "date":
-            text = date_text(c, kind)
-            new, parsed = dates.shift(text, moved, *a.arguments), dates.parse(text, *a.arguments).isNotNull()
+            text, date = date_text(c, kind), F.col(f"__date{i}")
+            new, parsed = dates.shift_parsed(text, F.date_add(date, moved.cast("int")), *a.arguments), date.isNotNull()
             event("date", name, parsed)
             event("date-unparsed", name, ~parsed & ~F.coalesce(F.trim(text) == "", F.lit(True)))
         elif a.kind == "id":
@@ -214,20 +223,26 @@ def _changes(df: DataFrame, rules: Rules, moved: Column) -> tuple[list[Column],
     return out, events
 
 
+def _moved(df: DataFrame, rules: Rules, key: bytes) -> DataFrame:
+    """df with the key, dates and __moved, the days by which the row's subject moves: worked out once a row."""
+    known = keyed.with_key(_dated(df, rules), key).withColumn("__subject", subject(df.columns, rules))
+    return known.withColumn("__moved", keyed.offset(F.col("__subject"), rules.jitter_days))
+
+
 def scrub(df: DataFrame, rules: Rules, key: bytes) -> DataFrame:
     """Rows after all rules, with the marker; rows that have the marker already pass.
 
     Columns that are dropped are gone; rows without a subject id are still here: split them with quarantine.
     """
-    keyed_df = keyed.with_key(df, key).withColumn("__subject", subject(df.columns, rules))
-    out, _ = _changes(df, rules, keyed.offset(F.col("__subject"), rules.jitter_days))
+    out, _ = _changes(df, rules, F.col("__moved"))
+    keyed_df = _moved(df, rules, key)
     return keyed_df.select(*out, F.lit(VERSION).alias(MARKER))
 
 
 def scrub_observed(df: DataFrame, rules: Rules, key: bytes, observation) -> tuple[DataFrame, list[tuple[str, str]]]:
     """scrub, with what audit_counts gives observed while its rows go by; (frame, scope and field of each metric in order)."""
-    keyed_df = keyed.with_key(df, key).withColumn("__subject", subject(df.columns, rules))
-    out, events = _changes(df, rules, keyed.offset(F.col("__subject"), rules.jitter_days))
+    out, events = _changes(df, rules, F.col("__moved"))
+    keyed_df = _moved(df, rules, key)
     if events:
         keyed_df = keyed_df.observe(observation, *[F.coalesce(F.sum(flag.cast("long")), F.lit(0)).alias(str(i)) for i, (_, _, flag) in enumerate(events)])
     return keyed_df.select(*out, F.lit(VERSION).alias(MARKER)), [(scope, name) for scope, name, _ in events]
@@ -238,7 +253,7 @@ def audit_counts(df: DataFrame, rules: Rules, key: bytes) -> DataFrame:
     _, events = _changes(df, rules, F.lit(0))
     if not events:
         return df.sparkSession.createDataFrame([], "scope string, field string, events long")
-    sums = df.agg(*[F.coalesce(F.sum(flag.cast("long")), F.lit(0)).alias(str(i)) for i, (_, _, flag) in enumerate(events)])
+    sums = _dated(df, rules).agg(*[F.coalesce(F.sum(flag.cast("long")), F.lit(0)).alias(str(i)) for i, (_, _, flag) in enumerate(events)])
     each = F.array(*[F.struct(F.lit(scope).alias("scope"), F.lit(field).alias("field"), F.col(str(i)).alias("events")) for i, (scope, field, _) in enumerate(events)])
     return sums.select(F.inline(each)).filter("events > 0")
 
