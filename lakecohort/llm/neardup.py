@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -257,6 +256,14 @@ def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
             return edges.select(F.col("u").alias("digest"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("digest"), F.col("v").alias("root")).distinct())
 
 
+def _more(roots: DataFrame, edges: DataFrame, work: common.Workspace) -> DataFrame:
+    """components with new edges: what is known already is one star a component, which needs few steps; without new edges nothing changes."""
+    if edges.isEmpty():
+        return roots
+    stars = roots.filter("digest != root").select(F.col("digest").alias("a"), F.col("root").alias("b"))
+    return components(stars.union(edges.select("a", "b")), work)
+
+
 def _mixed(members: DataFrame, roots: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Members, with their roots, of the buckets of more than two classes that hold several components."""
     named = members.filter("n > 2").select("key", "n", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -406,20 +413,17 @@ def link(classes: DataFrame, full_sets, banding: Banding, work: common.Workspace
     wanted.drop()
 
     pairs = work.table(members.filter("digest != lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct())
-    edges = [work.table(verified(pairs, full, banding))]
-    roots = components(edges[0], work)
+    roots = components(work.table(verified(pairs, full, banding)), work)
     # a pair of the first round has its smaller digest as a
     seen = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
     for seed in range(DRAWS):
         drawn = _drawn(_mixed(members, roots, hot), seed, hot)
         drawn = work.table(drawn.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"))
-        edges.append(work.table(verified(drawn, full, banding)))
-        roots = components(reduce(DataFrame.union, edges), work)
+        roots = _more(roots, work.table(verified(drawn, full, banding)), work)
     mixed = work.table(_mixed(members, roots, hot))
     chosen = work.table(mixed.join(_involved(_cells(mixed, full, hot, "sig"), banding), ["key", "digest"], "left_semi"))
     if not chosen.isEmpty():
-        edges.append(work.table(_linked(_cells(chosen, full, hot, "sig", "items"), banding)))
-        roots = components(reduce(DataFrame.union, edges), work)
+        roots = _more(roots, work.table(_linked(_cells(chosen, full, hot, "sig", "items"), banding)), work)
     found = work.table(roots)
     work.drop(shared, members, full, pairs, mixed, chosen)
     return found
