@@ -9,16 +9,38 @@ taken whole. Rows that are alike in all columns are near copies of each other: o
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakecohort.llm import common, decontaminate, langid, minhash, packing, paragraphs
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: SQL can't express compression, MinHash or packing; tests hold each stage's operator against a plain version, and the stages' ids.
+#: SQL can't express compression, MinHash or packing; tests check each stage's ids, and most stages' operators against plain versions.
 ORACLE_SQL = None
 
 
+#: Folders of the tables that the stage before worked with.
+_used: list[str] = []
+
+
+def _stage(f):
+    """A stage gets its predecessor's rows as they were written, so what the predecessor worked with is deleted first."""
+
+    @wraps(f)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.delete(spark, *_used)
+        known = [p for p in common._open if p not in _used]
+        common._open[:], _used[:] = known, []
+        out = f(spark, docs, sf_dir)
+        _used.extend(p for p in common._open if p not in known)
+        return out
+
+    return begin
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; lang is what was found. A null text, one without a letter and a narrow margin are rejected."""
     model = langid.fit(common.read(common.tuned(spark), sf_dir, "documents"))
@@ -26,12 +48,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the smallest doc_id stays. Texts without words have no copies; of rows with one doc_id one stays."""
     common.tuned(spark)
     return minhash.keep_first(docs.select(*COLUMNS))
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier document holds, whole lines or runs of 50 words; a document with nothing left goes, one that was empty before stays."""
     common.tuned(spark)
@@ -40,12 +64,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.filter(~(changed & (F.trim("text") == ""))).withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@_stage
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item. Null and empty texts are clean; without a benchmark all are."""
     common.tuned(spark)
     return decontaminate.clean(docs.select(*COLUMNS), common.read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and place in it. A null or empty text is its end token alone."""
     common.tuned(spark)
