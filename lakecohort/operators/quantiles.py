@@ -3,7 +3,8 @@
 A first pass takes a sketch of each group's quantiles; the sketch's error is bounded, so the values at the middle ranks lie
 between two of its quantiles that are a few thousandths of the group apart. A second pass counts what lies below and takes
 a sketch of what lies between. A third counts the values between the bounds that remain (some hundred-thousandths of the
-group) and finds the value at each middle rank from running sums. Everything is one lazy plan of partial aggregates.
+group) and finds the value at each middle rank from running sums. Everything is one lazy plan of partial aggregates. Rows
+of large groups meet their bounds where they are, so no task gets a group's rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Quantiles of a sketch, and its accuracy: ranks are off by one in so many at most.
 STEPS, ACCURACY = 1000, 10_000
+#: Bounds of groups of more values are broadcast: a row for so many rows of the table at most.
+LARGE = 1 << 18
 
 
 def _sketch(v: Column) -> Column:
@@ -23,12 +26,12 @@ def _sketch(v: Column) -> Column:
 
 
 def _bounds(known: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, r0 and r1 (middle ranks in the whole group), lo and hi between which their values lie. known: has n, q, min, max, below (values before those of the sketch) and r0, r1."""
+    """keys, r0 and r1 (middle ranks in the whole group), large, lo and hi between which their values lie. known: has n, q, min, max, below (values before those of the sketch), r0, r1 and large."""
     place = lambda r: (F.col(r) - F.col("below")) / F.col("n") * STEPS
     first, last = F.floor(place("r0")).cast("int") - 2, F.ceil(place("r1") + STEPS / F.col("n")).cast("int") + 2
     lo = F.when(first <= 0, F.col("min")).otherwise(F.get("q", F.greatest(first, F.lit(0))))
     hi = F.when(last >= STEPS, F.col("max")).otherwise(F.get("q", F.least(last, F.lit(STEPS))))
-    return known.filter("n > 0").select(*keys, "r0", "r1", lo.alias("lo"), hi.alias("hi"))
+    return known.filter("n > 0").select(*keys, "r0", "r1", "large", lo.alias("lo"), hi.alias("hi"))
 
 
 def medians(df: DataFrame, column: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:
@@ -38,10 +41,10 @@ def medians(df: DataFrame, column: str, by: Sequence[str] = (), name: str = "med
     values = df.select(*given, F.col(f"`{column}`").cast("double").alias("v")).filter("v is not null")
     measures = lambda v: (F.count(v).alias("n"), _sketch(v).alias("q"), F.min(v).alias("min"), F.max(v).alias("max"))
     whole = values.groupBy(*keys).agg(*measures(F.col("v")))
-    ranks = whole.withColumns({"below": F.lit(0).cast("long"), "r0": F.expr("(n - 1) div 2"), "r1": F.expr("n div 2")})
+    ranks = whole.withColumns({"below": F.lit(0).cast("long"), "r0": F.expr("(n - 1) div 2"), "r1": F.expr("n div 2"), "large": F.col("n") > LARGE})
     first = _met(values, _bounds(ranks, keys), keys)
     inside = F.when((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")), F.col("v"))
-    again = first.groupBy(*keys).agg(*measures(inside), F.count_if(F.col("v") < F.col("lo")).alias("below"), F.max("r0").alias("r0"), F.max("r1").alias("r1"))
+    again = first.groupBy(*keys).agg(*measures(inside), F.count_if(F.col("v") < F.col("lo")).alias("below"), *[F.max(c).alias(c) for c in ("r0", "r1", "large")])
     second = _met(values, _bounds(again, keys), keys).filter("v <= hi")
     # what lies below the bounds is one row, before the others
     counts = second.groupBy(*keys, "r0", "r1", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
@@ -52,6 +55,9 @@ def medians(df: DataFrame, column: str, by: Sequence[str] = (), name: str = "med
 
 
 def _met(values: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
-    """values with the bounds of their group; a null key is a key. Spark broadcasts the bounds where they are small."""
+    """values with the bounds of their group; a null key is a key. Rows of large groups stay where they are, the others go through a join."""
     named = bounds.withColumnsRenamed({k: f"{k}_" for k in keys})
-    return values.join(named, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])).drop(*[f"{k}_" for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    large = F.broadcast(named.filter("large"))
+    rest = values.join(large, same, "left_anti").join(named.filter("not large"), same)
+    return values.join(large, same).unionByName(rest).drop(*[f"{k}_" for k in keys])

@@ -32,6 +32,17 @@ def test_medians_of_small_groups(spark):
     assert "median(" not in summaries.numeric_summary(df, "v", "the key")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_rows_of_large_groups_are_not_moved(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    moved = lambda: (lambda x: sum(x.apply(i).shuffleWriteRecords() for i in range(x.size())))(stages())
+    df = spark.range(600_030).selectExpr("CASE WHEN id >= 600000 THEN 'few' WHEN id % 2 = 0 THEN 'even' END AS g", "cast(id % 50 AS double) AS v")
+    before = moved()
+    got = {r["g"]: r["median"] for r in quantiles.medians(df, "v", ["g"]).collect()}
+    assert got == {"even": 24.0, None: 25.0, "few": 14.5}
+    assert moved() - before < 60_000
+
+
 def plain_logit(x, y):
     """Newton's method over all rows; coefficients, errors, log-likelihood."""
     x = np.column_stack([np.ones(len(y)), *x])
