@@ -551,8 +551,8 @@ def gov9_ingest(spark, sf):
     path = local(folder(spark))
     rules, c = deid.Rules(drop=("NAME",), ids=(("^SUBJID$", "SUBJ"),)), read(spark, sf, "customer")
     made = c.select(F.col("c_custkey").alias("SUBJID"), (F.col("c_custkey") % 100).alias("K"), F.col("c_name").alias("NAME"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("NATION"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("NATION_2"))
-    _one_file(made, f"{path}/in/visits.csv")
-    _one_file(made.withColumn("SUBJID", F.lit(None).cast("string")), f"{path}/bad/visits.csv")
+    _handed_over(made, f"{path}/in/visits.csv")
+    _handed_over(made.withColumn("SUBJID", F.lit(None).cast("string")), f"{path}/bad/visits.csv")
     first, again = (runs.ingest(spark, f"{path}/in", f"{path}/out", rules, TEST_KEY) for _ in range(2))
     broken = runs.ingest(spark, f"{path}/bad", f"{path}/none", rules, TEST_KEY)
     out = runs.table(spark, f"{path}/out", "visits")
@@ -572,7 +572,7 @@ UNION ALL SELECT 'audit labs', 'phi-scrub-id SUBJID', count(*) FROM customer
 UNION ALL SELECT 'cleaning', unnest(['visits KEY_2 identical', 'visits NOTE2 entirely null', 'labs_old subset', 'scratch junk']), 1
 UNION ALL SELECT 'generations', unnest(['whole', 'skipped again', 'after a failure', 'without labs']), unnest([2, 1, 2, 1])""")
 def gov9_ingest_ledger(spark, sf):
-    """DEI10, DEI12, SNK4, SET3, SET4, SET5, GOV1, GOV2, GOV5, SNK6 within GOV9: several files in one run, each read by one plan; what is published, quarantined, counted and said of it.
+    """DEI10, DEI12, SNK4, SET3, SET4, SET5, GOV1, GOV2, GOV5, SNK6 within GOV9: several tables in one run, each read by one plan; what is published, quarantined, counted and said of it.
 
     Then the same again (skipped), one whose orphans are too many (the first generation stays whole) and one of fewer files (their tables go).
     """
@@ -585,8 +585,8 @@ def gov9_ingest_ledger(spark, sf):
     )
     labs = c.orderBy("c_custkey").select(F.col("c_custkey").alias("SUBJID"), F.col("c_acctbal").cast("double").alias("HB"), F.col("c_custkey").alias("AT"))
     for name, df in (("visits", visits), ("labs", labs), ("labs_old", labs.filter("AT % 3 = 0")), ("scratch", labs.limit(3))):
-        _one_file(df, f"{path}/in/{name}.csv")
-    _one_file(visits, f"{path}/fewer/visits.csv")
+        _handed_over(df, f"{path}/in/{name}.csv")
+    _handed_over(visits, f"{path}/fewer/visits.csv")
     run = lambda source, r=rules: runs.ingest(spark, source, f"{path}/out", r, TEST_KEY, pairs=[("labs", "labs_old")], junk=("scratch",))
     first = run(f"{path}/in")
     assert first["code"] == 0, first
@@ -608,14 +608,9 @@ def gov9_ingest_ledger(spark, sf):
     return out.unionByName(published[0]).unionByName(published[1]).unionByName(held)
 
 
-def _one_file(df: DataFrame, path: str) -> None:
-    """A table as one CSV file of this name, as studies hand them over."""
-    import shutil
-    from pathlib import Path
-
-    sinks.write_csv(df, f"{path}.parts")
-    os.rename(next(Path(f"{path}.parts").glob("part-*.csv")), path)
-    shutil.rmtree(f"{path}.parts")
+def _handed_over(df: DataFrame, path: str) -> None:
+    """A table as a CSV folder of this name, a part for each task."""
+    df.write.option("header", True).csv(path)
 
 
 @query("gov5_snapshots", "SELECT n_nationkey FROM nation")

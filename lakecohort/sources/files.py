@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from lakecohort.sources import workbooks
 
 TABULAR = (".xlsx", ".csv")
+#: Kinds of tables that may be folders of parts, which follow each other by name.
+PARTED = (".csv",)
 JUNK = (".DS_Store", "Thumbs.db", "desktop.ini", ".gitkeep")
 FORM = (
     "form_name string, source_pdf string, version string, summary string, "
@@ -77,21 +79,30 @@ def read_table(spark: SparkSession, path: str) -> list[tuple[str, DataFrame]]:
     raise ValueError(f"unknown kind of file: {path}")
 
 
-def discover_all(spark: SparkSession, folder: str, suffixes: Sequence[str] = TABULAR, junk: Sequence[str] = JUNK, folders: bool = False) -> list[str]:
-    """As discover, of a folder of any Hadoop file system: paths of its files by name. folders: tables that are folders count."""
+def discover_all(spark: SparkSession, folder: str, suffixes: Sequence[str] = TABULAR, junk: Sequence[str] = JUNK, folders: bool | Sequence[str] = False) -> list[str]:
+    """As discover, of a folder of any Hadoop file system: paths of its files by name. folders: tables that are folders count, all or those of these suffixes."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise FileNotFoundError(f"no data folder: {folder}")
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if folders or s.isFile())
+    counts = lambda name: folders is True or bool(folders) and Path(name).suffix.lower() in folders
+    names = sorted(n for n, plain in ((s.getPath().getName(), s.isFile()) for s in fs.listStatus(path)) if plain or counts(n))
     found = [n for n in names if Path(n).suffix.lower() in suffixes and not n.startswith((".", "~$")) and n not in junk]
     if not found:
         raise ValueError(f"no data files in {folder}")
     return [f"{folder.rstrip('/')}/{n}" for n in found]
 
 
+def parted(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folder's tables that are folders of parts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(path) if fs.exists(path) else ()
+    return sorted(s.getPath().getName() for s in found if s.isDirectory() and Path(s.getPath().getName()).suffix.lower() in PARTED)
+
+
 def texts(spark: SparkSession, path: str) -> list[tuple[str, DataFrame]]:
-    """(output name, table of texts) of a CSV file, of which only the header is read here, or of a workbook's sheets (a local file)."""
+    """(output name, table of texts) of a CSV file or folder of parts, of which only the header is read here, or of a workbook's sheets (a local file)."""
     if path.lower().endswith(".csv"):
         found = [("sheet1", spark.read.options(header=True, encoding="UTF-8", nullValue="", emptyValue="").csv(path))]
     else:

@@ -83,7 +83,9 @@ def version(rules: deid.Rules, key: bytes, pairs: Sequence[tuple[str, str]] = ()
 
 
 def ingest(spark: SparkSession, folder: str, target: str, rules: deid.Rules, key: bytes, study: str = "study", pairs: Sequence[tuple[str, str]] = (), junk: Sequence[str] = ()) -> dict:
-    """Read the tabular files of a folder, clean, scrub and publish them together as a new generation under target.
+    """Read the tables of a folder, clean, scrub and publish them together as a new generation under target.
+
+    A table is a file, or a CSV folder whose parts follow each other by name: no task reads more than a part of it.
 
     Each file is read by one plan, which stages its rows, those without a subject apart, and meanwhile observes what the
     later steps have to know: rows, orphans, the columns' kinds and which columns are copies. The staged rows are numbered as
@@ -97,7 +99,7 @@ def ingest(spark: SparkSession, folder: str, target: str, rules: deid.Rules, key
     """
     spark_folder = generations.Folder(spark, target)
     with spark_folder.lock():
-        inputs = {r["name"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in sinks.digests(spark, folder).select("name", "bytes", "sha256").collect()}
+        inputs = {r["name"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in sinks.digests(spark, folder, files.parted(spark, folder)).select("name", "bytes", "sha256").collect()}
         now = version(rules, key, pairs, junk)
         before = spark_folder.manifest()
         if before and before["inputs"] == inputs and before["version"] == now and all(spark_folder.has(n) for n in before["tables"]):
@@ -108,7 +110,7 @@ def ingest(spark: SparkSession, folder: str, target: str, rules: deid.Rules, key
         manifest: dict = {"generation": made.name, "study": study, "version": now, "inputs": inputs, "key_fingerprint": hashlib.sha256(key).hexdigest(), "artifacts": ARTIFACTS, "posture": rules.posture, "tables": {}, "audit": [], "cleaning": []}
 
         def read() -> None:
-            for path in files.discover_all(spark, folder):
+            for path in files.discover_all(spark, folder, folders=files.PARTED):
                 for n, df in files.texts(spark, path):
                     if n in staged:
                         raise ValueError(f"two inputs are called {n}")
@@ -153,7 +155,7 @@ def ingest(spark: SparkSession, folder: str, target: str, rules: deid.Rules, key
 
 @dataclass(frozen=True)
 class Staged:
-    """A file's rows as texts in a staged table: __orphan (partition), __block and __row say where a row lies."""
+    """A file's rows as texts in a staged table: __orphan (partition), __file, __block and __row say where a row lies."""
 
     path: str
     source_file: str
@@ -164,17 +166,17 @@ class Staged:
     orphans: int
 
     def _table(self, spark: SparkSession) -> DataFrame:
-        schema = T.StructType([*(T.StructField(c, T.StringType()) for c in self.columns), T.StructField("__block", T.LongType()), T.StructField("__row", T.LongType()), T.StructField("__orphan", T.BooleanType())])
+        schema = T.StructType([*(T.StructField(c, T.StringType()) for c in self.columns), T.StructField("__file", T.StringType()), T.StructField("__block", T.LongType()), T.StructField("__row", T.LongType()), T.StructField("__orphan", T.BooleanType())])
         return spark.read.schema(schema).parquet(self.path) if self.read else spark.createDataFrame([], schema)
 
     def numbered(self, spark: SparkSession) -> DataFrame:
-        """All rows with __source and __at, the place in the file: a block's rows follow each other, and blocks are counted."""
+        """All rows with __source and __at, the place in the table: a block's rows follow each other, and blocks are counted."""
         table = self._table(spark)
-        blocks = table.groupBy("__block").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))  # as many rows as the file has blocks
-        before = F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        bases = blocks.select("__block", (before - F.col("__first")).alias("__base"))
-        out = table.join(bases, "__block").withColumn("__at", F.col("__row") + F.col("__base")).withColumn("__source", F.lit(self.source_file))
-        return out.drop("__block", "__row", "__base")
+        blocks = table.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))  # as many rows as the table has blocks
+        before = F.coalesce(F.sum("__n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bases = blocks.select("__file", "__block", (before - F.col("__first")).alias("__base"))
+        out = table.join(F.broadcast(bases), ["__file", "__block"]).withColumn("__at", F.col("__row") + F.col("__base")).withColumn("__source", F.lit(self.source_file))
+        return out.drop("__file", "__block", "__row", "__base")
 
     def orphan_rows(self, spark: SparkSession) -> DataFrame:
         return self.numbered(spark).filter("__orphan").drop("__orphan").withColumnsRenamed({"__source": "source_file", "__at": "row_index"})
@@ -189,7 +191,7 @@ class Staged:
 def stage(df: DataFrame, source_file: str, rules: deid.Rules, path: str) -> Staged:
     """Write a table of texts once and learn from it what later steps need."""
     columns = df.columns
-    place = F.col("_metadata.file_block_start") if files.has_blocks(df) else F.spark_partition_id().cast("long")
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start")) if files.has_blocks(df) else (F.lit(""), F.spark_partition_id().cast("long"))
     orphan = deid.subject(columns, rules) == ""
     cells = [F.col(f"`{c}`") for c in columns]
     flags = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("__orphan").cast("long")), F.lit(0)).alias("orphans")]
@@ -200,7 +202,7 @@ def stage(df: DataFrame, source_file: str, rules: deid.Rules, path: str) -> Stag
     for i, (c, base) in enumerate(pairs):
         flags += [F.coalesce(F.bool_and(F.col(f"`{c}`").isNull()), F.lit(True)).alias(f"null{i}"), F.coalesce(F.bool_and(F.col(f"`{c}`").eqNullSafe(F.col(f"`{base}`"))), F.lit(True)).alias(f"same{i}")]
     seen = Observation()
-    marked = df.select(*cells, place.alias("__block"), F.monotonically_increasing_id().alias("__row"), orphan.alias("__orphan"))
+    marked = df.select(*cells, place[0].alias("__file"), place[1].alias("__block"), F.monotonically_increasing_id().alias("__row"), orphan.alias("__orphan"))
     marked.observe(seen, *flags).write.partitionBy("__orphan").parquet(path)
     got = seen.get
     kinds = {c: next((k for k in KINDS if 0 < got[f"n{i}"] == got[f"{k}{i}"]), "string") for i, c in enumerate(columns)}

@@ -6,6 +6,7 @@ import json
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -96,10 +97,12 @@ def metadata_row(df: DataFrame, source_file: str) -> DataFrame:
     return df.sparkSession.range(1).select(*empty, F.lit(source_file).alias("source_file"), F.lit(-1).cast("long").alias("row_index"), info.alias("_metadata"))
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes, modified and sha256 of files, computed where they are read."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+def digests(spark: SparkSession, path: str, parted: Sequence[str] = ()) -> DataFrame:
+    """name, bytes, modified and sha256 of files, computed where they are read. parted: names of folders whose parts count too, as folder/part."""
+    files, at = spark.read.format("binaryFile").load([path, *(f"{path.rstrip('/')}/{p}" for p in parted)]), F.split("path", "/")
+    last, above = F.element_at(at, -1), F.element_at(at, -2)
+    name = F.when(above.isin(*parted), F.concat_ws("/", above, last)).otherwise(last) if parted else last
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
 
 
 def lineage(inputs: DataFrame, outputs: DataFrame, counts: dict[str, int], study: str, key_fingerprint: str = "") -> dict:

@@ -42,6 +42,22 @@ def test_nothing_is_lost(spark, place):
     assert runs.ingest(spark, str(place / "in"), str(place / "out"), RULES, KEY, study="s")["skipped"]
 
 
+def test_a_table_in_parts_is_one_table(spark, place):
+    for k, rows in enumerate((("3,2020-01-02", "1,x"), (",2020-01-03",), ("2,2020-01-04", "5,2020-01-05"))):
+        put(place / "more", "labs.csv", "SUBJID,HB", "1,10")
+        put(place / "more" / "visits.csv", f"part-0000{k}.csv", "SUBJID,VISDAT", *rows)
+    got = runs.ingest(spark, str(place / "more"), str(place / "out"), RULES, KEY)
+    assert got["code"] == 0 and got["published"] == ["labs", "visits"]
+    store = generations.Folder(spark, str(place / "out"))
+    assert {r["row_index"] for r in store.table("visits").select("_provenance.*").collect()} == {0, 1, 3, 4}
+    assert [(r["row_index"], r["source_file"]) for r in spark.read.parquet(store.generation().quarantine + "/visits").collect()] == [(2, "visits.csv")]
+    told = store.manifest()
+    assert set(told["inputs"]) == {"labs.csv", *(f"visits.csv/part-0000{k}.csv" for k in range(3))} and told["tables"]["visits"]["read"] == 5
+    assert runs.ingest(spark, str(place / "more"), str(place / "out"), RULES, KEY)["skipped"]
+    put(place / "more" / "visits.csv", "part-00001.csv", "SUBJID,VISDAT", "7,2020-01-03")
+    assert not runs.ingest(spark, str(place / "more"), str(place / "out"), RULES, KEY)["skipped"]
+
+
 def test_a_failure_leaves_the_generation_whole(spark, place, monkeypatch):
     first = runs.ingest(spark, str(place / "in"), str(place / "out"), RULES, KEY)
     store = generations.Folder(spark, str(place / "out"))
