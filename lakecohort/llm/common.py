@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,22 @@ BATCH_ROWS = 256
 BATCH_BYTES = 4 << 20
 #: A key is hot if it holds more than one in SPREAD of the rows; so at most SPREAD keys are.
 SPREAD = 1024
+#: Spark's setting that deletes the shuffle files of what has run; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def once(spark: SparkSession):
+    """Frames that are made and run within are run once: their shuffle files go as soon as they have run.
+
+    Not for frames that operators return: those may be run again.
+    """
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -58,7 +75,8 @@ class Workspace:
         """Write df and read it back."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        with once(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
@@ -88,15 +106,26 @@ def sweep(spark: SparkSession, *keep: Workspace) -> None:
 
 def hot_keys(counts: DataFrame, key: str, total: int | None = None) -> DataFrame | None:
     """(key, salts) of the hot keys of (key, n), SPREAD rows at most; None if there are none. total: of n, if that is known."""
-    total = (counts.agg(F.sum("n")).first()[0] or 0) if total is None else total
-    if not total:
-        return None
-    hot = counts.filter(F.col("n") * SPREAD > total).select(key, F.ceil(F.col("n") * SPREAD / F.lit(total)).cast("int").alias("salts"))
-    # as Arrow, since a list of rows would go through Python workers of its own
-    found = hot.toArrow()
+    with once(counts.sparkSession):
+        total = (counts.agg(F.sum("n")).first()[0] or 0) if total is None else total
+        if not total:
+            return None
+        hot = counts.filter(F.col("n") * SPREAD > total).select(key, F.ceil(F.col("n") * SPREAD / F.lit(total)).cast("int").alias("salts"))
+        # as Arrow, since a list of rows would go through Python workers of its own
+        found = hot.toArrow()
     return counts.sparkSession.createDataFrame(found, hot.schema) if found.num_rows else None
 
 
+def count(df: DataFrame) -> int:
+    with once(df.sparkSession):
+        return df.count()
+
+
+def empty(df: DataFrame) -> bool:
+    with once(df.sparkSession):
+        return df.isEmpty()
+
+
 def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows.join(table, key) of a table with one row a key: the rows of a hot key are dealt out by the column ``by``, the table's row goes to each place."""
     if hot is None:

@@ -56,7 +56,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", band
     checked = named.filter("maybe").join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
     out = named.filter("not maybe").unionByName(checked)
     twice = work.table(decided.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    if twice.isEmpty():
+    if common.empty(twice):
         return out.select("doc.*")
     again = neardup.Prefilter(twice.select(F.xxhash64("doc_id").alias("x")), "x")
     out = out.withColumn("again", again.column(F.xxhash64("id")))

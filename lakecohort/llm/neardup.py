@@ -87,11 +87,12 @@ class Prefilter:
 
     def __init__(self, hashes: DataFrame, column: str, count: int | None = None):
         """count: how many hashes there are, if that is known."""
-        count = hashes.count() if count is None else count
+        count = common.count(hashes) if count is None else count
         bits = min(MOST_BITS, 1 << max(16, (BITS_EACH * count).bit_length()))
         at = [F.expr(f"(({column} & {bits - 1}L) + {j} * shiftrightunsigned({column}, 32)) & {bits - 1}L") for j in range(PROBES)]
-        words = hashes.select(F.explode(F.array(at)).alias("bit")).groupBy(F.expr("cast(bit >> 6 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
-        found = words.toArrow()  # bits / 64 rows at most
+        with common.once(hashes.sparkSession):
+            words = hashes.select(F.explode(F.array(at)).alias("bit")).groupBy(F.expr("cast(bit >> 6 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
+            found = words.toArrow()  # bits / 64 rows at most
         bitmap = np.zeros(bits // 64, np.uint64)
         bitmap[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
         self.bits, self.bitmap = bits, hashes.sparkSession.sparkContext.broadcast(bitmap)
@@ -243,7 +244,7 @@ def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
             work.drop(kept)
         kept = edges
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = common.hot_keys(both.groupBy("u").agg(F.count("*").alias("n")), "u", 2 * edges.count())
+        hot = common.hot_keys(both.groupBy("u").agg(F.count("*").alias("n")), "u", 2 * common.count(edges))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = common.spread_join(both, low, "u", "v", hot).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -251,14 +252,14 @@ def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
         edges = work.table(small.select("e.u", "e.v").filter("u != v").distinct())
         # stars: each node has one edge, and no root has one
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
-        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
+        if common.empty(ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1")):
             work.drop(kept)
             return edges.select(F.col("u").alias("digest"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("digest"), F.col("v").alias("root")).distinct())
 
 
 def _more(roots: DataFrame, edges: DataFrame, work: common.Workspace) -> DataFrame:
     """components with new edges: what is known already is one star a component, which needs few steps; without new edges nothing changes."""
-    if edges.isEmpty():
+    if common.empty(edges):
         return roots
     stars = roots.filter("digest != root").select(F.col("digest").alias("a"), F.col("root").alias("b"))
     return components(stars.union(edges.select("a", "b")), work)
@@ -408,7 +409,7 @@ def link(classes: DataFrame, full_sets, banding: Banding, work: common.Workspace
     members = work.table(common.spread_join(joined, leads, "key", "digest", hot))
     work.drop(joined)
     linkable = members.select("digest").distinct()
-    wanted = Prefilter(classes.select("digest", F.col("key").alias("h")).join(linkable, "digest", "left_semi"), "h", min(classes.count(), members.count()))
+    wanted = Prefilter(classes.select("digest", F.col("key").alias("h")).join(linkable, "digest", "left_semi"), "h", min(common.count(classes), common.count(members)))
     full = work.table(full_sets(wanted).join(linkable, "digest", "left_semi").dropDuplicates(["digest"]))
     wanted.drop()
 
@@ -422,7 +423,7 @@ def link(classes: DataFrame, full_sets, banding: Banding, work: common.Workspace
         roots = _more(roots, work.table(verified(drawn, full, banding)), work)
     mixed = work.table(_mixed(members, roots, hot))
     chosen = work.table(mixed.join(_involved(_cells(mixed, full, hot, "sig"), banding), ["key", "digest"], "left_semi"))
-    if not chosen.isEmpty():
+    if not common.empty(chosen):
         roots = _more(roots, work.table(_linked(_cells(chosen, full, hot, "sig", "items"), banding)), work)
     found = work.table(roots)
     work.drop(shared, members, full, pairs, mixed, chosen)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -369,3 +370,18 @@ def test_what_one_document_repeats_can_stay(spark):
     got = {r["doc_id"]: r for r in paragraphs.remove(spark.createDataFrame(rows, "doc_id long, text string"), within=False).collect()}
     assert got[1]["text"] == rows[0][1] and got[3]["text"] == rows[2][1] and got[1]["first_ids"] == [] and got[3]["first_ids"] == []
     assert shared not in got[2]["text"] and got[2]["first_ids"] == [1] and got[2]["removed_words"] == 60
+
+
+def test_shuffle_files_of_inner_tables_go_once_they_have_run(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    known = files()
+    work = common.Workspace(spark, "test")
+    made = work.table(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("key")).agg(F.count("*").alias("n")))
+    assert common.hot_keys(spark.range(5000).groupBy("id").agg(F.count("*").alias("n")), "id") is None and common.count(made) == 7
+    for _ in range(100):  # files go in the background
+        if not files() - known:
+            break
+        time.sleep(0.1)
+    assert not files() - known
+    assert spark.conf.get(common.CLEANUP) == "false"
