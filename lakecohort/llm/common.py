@@ -8,14 +8,15 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds on one Arrow batch for the Python workers: rows, and bytes that end a batch once it has reached them.
 BATCH_ROWS = 256
 BATCH_BYTES = 4 << 20
-#: A key is hot if it holds more than one in SPREAD of the rows; so at most SPREAD keys are.
-SPREAD = 1024
+#: A key is hot if it holds more than one in SPREAD of the rows, so at most SPREAD keys are, and more than FEW rows: dealing
+#: out fewer costs a plan of joins and saves nothing.
+SPREAD, FEW = 1024, 256
 #: Spark's setting that deletes the shuffle files of what has run; else they stay until the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -71,14 +72,15 @@ class Workspace:
         self.count = 0
         _open.append(self.root)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Write df and read it back."""
+    def table(self, df: DataFrame, **sums: Column) -> DataFrame:
+        """Write df and read it back. Its rows, and sums by their names, are observed meanwhile (seen), which spares jobs that count."""
         self.count += 1
         path = f"{self.root}/{self.count}"
+        observed = Observation()
         with once(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
+            df.observe(observed, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in sums.items())).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._workspace_path = path
+        out._workspace_path, out._seen = path, observed.get
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -108,9 +110,9 @@ def hot_keys(counts: DataFrame, key: str, total: int | None = None) -> DataFrame
     """(key, salts) of the hot keys of (key, n), SPREAD rows at most; None if there are none. total: of n, if that is known."""
     with once(counts.sparkSession):
         total = (counts.agg(F.sum("n")).first()[0] or 0) if total is None else total
-        if not total:
+        if total <= FEW:
             return None
-        hot = counts.filter(F.col("n") * SPREAD > total).select(key, F.ceil(F.col("n") * SPREAD / F.lit(total)).cast("int").alias("salts"))
+        hot = counts.filter((F.col("n") * SPREAD > total) & (F.col("n") > FEW)).select(key, F.ceil(F.col("n") * SPREAD / F.lit(total)).cast("int").alias("salts"))
         # as Arrow, since a list of rows would go through Python workers of its own
         found = hot.toArrow()
     return counts.sparkSession.createDataFrame(found, hot.schema) if found.num_rows else None
@@ -126,6 +128,11 @@ def empty(df: DataFrame) -> bool:
         return df.isEmpty()
 
 
+def seen(table: DataFrame, name: str = "rows") -> int:
+    """What was observed while a workspace's table was written."""
+    return table._seen[name] or 0
+
+
 def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows.join(table, key) of a table with one row a key: the rows of a hot key are dealt out by the column ``by``, the table's row goes to each place."""
     if hot is None:

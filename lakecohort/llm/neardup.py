@@ -208,12 +208,12 @@ def similar(sig_a: np.ndarray, sig_b: np.ndarray, floors: list[tuple[int, int]])
 
 
 def verified(pairs: DataFrame, full: DataFrame, banding: Banding) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity: first by their signatures, then exactly.
+    """The pairs (a, b) of a table, each there once, whose sets reach the similarity: first by their signatures, then exactly.
 
     A class may be a of most pairs, but b of few (a bucket each).
     """
     left, right = (full.select(F.col("digest").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
-    hot = common.hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
+    hot = common.hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", common.seen(pairs))
     both = common.spread_join(pairs.select("a", "b").join(right, "b"), left, "a", "b", hot).select("a", "b", "sig_a", "sig_b", "items_a", "items_b")
 
     def run(batches):
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, full: DataFrame, banding: Banding) -> DataFrame:
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary").distinct()
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
@@ -239,12 +239,12 @@ def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
     Large and small stars in turn until nothing changes; every step joins on the node, and the edges of a hub are dealt out.
     """
     edges, kept = work.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
-    while True:
+    while common.seen(edges):
         if kept is not None:
             work.drop(kept)
         kept = edges
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = common.hot_keys(both.groupBy("u").agg(F.count("*").alias("n")), "u", 2 * common.count(edges))
+        hot = common.hot_keys(both.groupBy("u").agg(F.count("*").alias("n")), "u", 2 * common.seen(edges))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = common.spread_join(both, low, "u", "v", hot).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -255,11 +255,12 @@ def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
         if common.empty(ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1")):
             work.drop(kept)
             return edges.select(F.col("u").alias("digest"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("digest"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("digest"), F.col("v").alias("root"))
 
 
 def _more(roots: DataFrame, edges: DataFrame, work: common.Workspace) -> DataFrame:
-    """components with new edges: what is known already is one star a component, which needs few steps; without new edges nothing changes."""
-    if common.empty(edges):
+    """components with a table of new edges: what is known already is one star a component, which needs few steps; without new edges nothing changes."""
+    if not common.seen(edges):
         return roots
     stars = roots.filter("digest != root").select(F.col("digest").alias("a"), F.col("root").alias("b"))
     return components(stars.union(edges.select("a", "b")), work)
@@ -392,39 +393,48 @@ def _linked(cells: DataFrame, banding: Banding) -> DataFrame:
     return cells.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link(classes: DataFrame, full_sets, banding: Banding, work: common.Workspace) -> DataFrame:
+def link(classes: DataFrame, count: int, full_sets, banding: Banding, work: common.Workspace) -> DataFrame:
     """(digest, root) of every class with a link to another.
 
-    classes: digest, bands and key, a 64-bit hash of one unit that has the set; full_sets makes the sets of the units whose
+    classes: digest, bands and key, a 64-bit hash of one unit that has the set; count: how many there are; full_sets makes the sets of the units whose
     keys pass a prefilter again, as sets of classes that share no bucket need never be kept. Joins by the key of a bucket
     deal out large buckets.
     """
     keys = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    shared = work.table(keys.filter("n > 1"))
-    hot = common.hot_keys(shared, "key")
-    filled = Prefilter(shared, "key")
+    shared = work.table(keys.filter("n > 1"), n=F.sum("n"))
+    if not common.seen(shared):
+        return classes.select("digest", F.col("digest").alias("root")).limit(0)
+    hot = common.hot_keys(shared, "key", common.seen(shared, "n"))
+    filled = Prefilter(shared, "key", common.seen(shared))
     joined = work.table(common.spread_join(_banded(classes, filled), shared, "key", "digest", hot))
     filled.drop()
     leads = joined.groupBy("key").agg(F.min("digest").alias("lead"))
     members = work.table(common.spread_join(joined, leads, "key", "digest", hot))
     work.drop(joined)
     linkable = members.select("digest").distinct()
-    wanted = Prefilter(classes.select("digest", F.col("key").alias("h")).join(linkable, "digest", "left_semi"), "h", min(common.count(classes), common.count(members)))
+    wanted = Prefilter(classes.select("digest", F.col("key").alias("h")).join(linkable, "digest", "left_semi"), "h", min(count, common.seen(members)))
     full = work.table(full_sets(wanted).join(linkable, "digest", "left_semi").dropDuplicates(["digest"]))
     wanted.drop()
 
     pairs = work.table(members.filter("digest != lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct())
-    roots = components(work.table(verified(pairs, full, banding)), work)
+    roots = components(verified(pairs, full, banding), work)
     # a pair of the first round has its smaller digest as a
     seen = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    for seed in range(DRAWS):
-        drawn = _drawn(_mixed(members, roots, hot), seed, hot)
-        drawn = work.table(drawn.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"))
-        roots = _more(roots, work.table(verified(drawn, full, banding)), work)
     mixed = work.table(_mixed(members, roots, hot))
-    chosen = work.table(mixed.join(_involved(_cells(mixed, full, hot, "sig"), banding), ["key", "digest"], "left_semi"))
-    if not common.empty(chosen):
-        roots = _more(roots, work.table(_linked(_cells(chosen, full, hot, "sig", "items"), banding)), work)
+    for seed in range(DRAWS if common.seen(mixed) else 0):
+        drawn = work.table(_drawn(mixed, seed, hot).join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"))
+        found = work.table(verified(drawn, full, banding)) if common.seen(drawn) else drawn
+        if common.seen(found):
+            # a bucket of one component never holds several again
+            roots, before = _more(roots, found, work), mixed
+            mixed = work.table(_mixed(before, roots, hot))
+            work.drop(before)
+        work.drop(drawn)
+    if common.seen(mixed):
+        chosen = work.table(mixed.join(_involved(_cells(mixed, full, hot, "sig"), banding), ["key", "digest"], "left_semi"))
+        if common.seen(chosen):
+            roots = _more(roots, work.table(_linked(_cells(chosen, full, hot, "sig", "items"), banding)), work)
+        work.drop(chosen)
     found = work.table(roots)
-    work.drop(shared, members, full, pairs, mixed, chosen)
+    work.drop(shared, members, full, pairs, mixed)
     return found

@@ -98,14 +98,14 @@ def repeated(docs: DataFrame, work: common.Workspace, doc_id: str, text: str, mi
     """(row, places, line_firsts) of the lines to cut, and the documents that keep them."""
     source = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     drawn = sketches(source, min_words, banding)
-    classes = work.table(drawn.groupBy("digest").agg(F.min("unit").alias("unit"), F.max("unit").alias("last"), F.max("bands").alias("bands"), F.count("*").alias("n")))
-    roots = neardup.link(classes.select("digest", "bands", "unit.key"), full_lines(source, min_words, banding), banding, work)
+    classes = work.table(drawn.groupBy("digest").agg(F.min("unit").alias("unit"), F.max("unit").alias("last"), F.max("bands").alias("bands"), F.count("*").alias("n")), n=F.sum("n"))
+    roots = neardup.link(classes.select("digest", "bands", "unit.key"), common.seen(classes), full_lines(source, min_words, banding), banding, work)
     linked = classes.select("digest", "unit", "last").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     apart = lambda x: x if within else F.struct(f"{x}.n", f"{x}.d", f"{x}.h")
     stays = linked.groupBy("root").agg(F.min("unit").alias("stays"), (~F.min(apart("unit")).eqNullSafe(F.max(apart("last")))).alias("several")).filter("several")
     kept = work.table(linked.join(stays, "root").select("digest", "stays"))
     # which lines there are is worked out again: that costs less than keeping their signatures
-    hot = common.hot_keys(classes, "digest")
+    hot = common.hot_keys(classes, "digest", common.seen(classes, "n"))
     cut = common.spread_join(sketches(source, min_words, None).select("unit", "digest"), kept, "digest", "unit", hot).filter("unit != stays")
     return cut.groupBy(F.struct("unit.d", "unit.h").alias("row")).agg(F.sort_array(F.collect_set("unit.p")).alias("places"), F.collect_set("stays.d").alias("line_firsts"))
 
@@ -129,8 +129,8 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
 
 
 def marked(named: DataFrame, cuts: DataFrame, column: str, firsts: str) -> tuple[DataFrame, DataFrame]:
-    """named with the two columns of cuts of the same row (null: none): rows that a prefilter clears, and the others, which go through the join."""
-    touched = neardup.Prefilter(cuts.select(F.xxhash64("row").alias("h")), "h")
+    """named with the two columns of the table cuts of the same row (null: none): rows that a prefilter clears, and the others, which go through the join."""
+    touched = neardup.Prefilter(cuts.select(F.xxhash64("row").alias("h")), "h", common.seen(cuts))
     named = named.withColumn("cut", touched.column(F.xxhash64("row")))
     # compared field by field, as doc_id may be null; a merge join parts the prefilter's stage from what follows, so that
     # a task needs one Python worker, not one for each step

@@ -81,7 +81,8 @@ def repeated(docs: DataFrame, work: common.Workspace, within: bool = True) -> Da
 
     # one row of each key: rows that are one document have the same runs at the same places
     found = docs.select("text").mapInArrow(some, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1")
-    again = neardup.Prefilter(work.table(found.select("seed")), "seed")
+    found = work.table(found.select("seed"))
+    again = neardup.Prefilter(found, "seed", common.seen(found))
     source = docs.select(F.col("row.d").alias("d"), F.col("row.h").alias("h"), "text")
     schema = source.select("d", "h", F.lit(0).alias("p"), F.lit(0).cast("long").alias("run")).schema
 
@@ -103,8 +104,8 @@ def repeated(docs: DataFrame, work: common.Workspace, within: bool = True) -> Da
     again.drop()
     apart = lambda x: x if within else F.struct(f"{x}.n", f"{x}.d", f"{x}.h")
     several = ~F.min(apart("place")).eqNullSafe(F.max(apart("place")))
-    stays = work.table(every.groupBy("run").agg(F.min("place").alias("stays"), several.alias("several"), F.count("*").alias("n")).filter("several"))
-    hot = common.hot_keys(stays, "run")
+    stays = work.table(every.groupBy("run").agg(F.min("place").alias("stays"), several.alias("several"), F.count("*").alias("n")).filter("several"), n=F.sum("n"))
+    hot = common.hot_keys(stays, "run", common.seen(stays, "n"))
     cut = common.spread_join(every, stays.select("run", "stays"), "run", "place", hot).filter(~F.col("place").eqNullSafe(F.col("stays")))
     return cut.groupBy(F.struct("place.d", "place.h").alias("row")).agg(F.sort_array(F.collect_set("place.p")).alias("starts"), F.collect_set("stays.d").alias("run_firsts"))
 

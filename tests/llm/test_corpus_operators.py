@@ -1,6 +1,7 @@
 """Near duplicates, passages, test items, search, language model and the pipeline against plain versions."""
 
 import math
+import random
 import re
 import time
 import zlib
@@ -385,3 +386,33 @@ def test_shuffle_files_of_inner_tables_go_once_they_have_run(spark):
         time.sleep(0.1)
     assert not files() - known
     assert spark.conf.get(common.CLEANUP) == "false"
+
+
+def test_near_duplicate_search_takes_few_queries(spark):
+    # what each query leaves with the driver (plans, threads, stages) adds up to most of its memory
+    sc, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghijkl", k=60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *(t + f" end{i}" for i, t in enumerate(texts))])), "doc_id long, text string")
+
+    def queries(f):
+        sc.listenerBus().waitUntilEmpty()
+        before = store.executionsCount()
+        out = f().collect()
+        sc.listenerBus().waitUntilEmpty()
+        return store.executionsCount() - before, len(out)
+
+    taken, kept = queries(lambda: minhash.keep_first(docs))
+    assert kept == 40 and taken <= 20
+    taken, kept = queries(lambda: minhash.keep_first(docs.limit(40)))
+    assert kept == 40 and taken <= 12
+
+
+def test_tables_tell_what_they_hold_and_few_rows_are_never_dealt_out(spark):
+    work = common.Workspace(spark, "test")
+    made = work.table(spark.range(1000).select((F.col("id") % 3).alias("key"), F.col("id")).groupBy("key").agg(F.count("*").alias("n")), n=F.sum("n"))
+    assert common.seen(made) == made.count() == 3 and common.seen(made, "n") == 1000
+    nothing = work.table(made.filter("n < 0"), n=F.sum("n"))
+    assert common.seen(nothing) == common.seen(nothing, "n") == nothing.count() == 0
+    assert {r["key"] for r in common.hot_keys(made, "key", 1000).collect()} == {0, 1, 2}
+    assert common.hot_keys(made.withColumn("n", F.lit(common.FEW).cast("long")), "key", 3 * common.FEW) is None
