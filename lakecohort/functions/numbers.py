@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+#: What Spark's casts of texts trim; for doubles, all but the last.
+BLANKS = "".join(map(chr, (*range(33), 127)))
+#: Every text that Spark casts to the kind matches, and hardly any other.
+LOOKS = {
+    "bigint": r"^[\x00-\x20\x7F]*+[+-]?0*+[0-9]{0,19}+(?<=[0-9])[\x00-\x20\x7F]*+$",
+    "double": r"^[\x00-\x20]*+[+-]?(?:(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?[fFdD]?|0[xX][0-9a-fA-F]*+\.?[0-9a-fA-F]*+[pP][+-]?[0-9]++[fFdD]?|(?i:nan|inf|infinity))[\x00-\x20]*+$",
+}
+FLAGS = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
 # Height from knee height and age, in centimetres and years.
 KNEE, AGE, BASE = 2.02, -0.04, 64.19
 
@@ -23,6 +31,15 @@ def to_number(c: Column) -> Column:
     return F.when(text.rlike(NUMERIC), text.try_cast("double"))
 
 
+def as_kind(c: Column, kind: str) -> Column:
+    """What try_cast makes of a text: a bigint, double or boolean, or null.
+
+    A cast that fails makes an exception, which costs more than the rest of a row; so only what looks like the kind is cast.
+    """
+    looks = F.lower(F.btrim(c, F.lit(BLANKS))).isin(*FLAGS) if kind == "boolean" else c.rlike(LOOKS[kind])
+    return F.when(looks, c.try_cast(kind))
+
+
 def scrub_number(c: Column, kind: T.DataType) -> Column:
     """As to_number, with booleans null."""
     return F.lit(None).cast("double") if isinstance(kind, T.BooleanType) else to_number(c)

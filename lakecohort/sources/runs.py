@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakecohort.functions import numbers
 from lakecohort.operators import dedup, deid, versions
 from lakecohort.sources import files, generations, sinks
 
@@ -197,7 +198,7 @@ def stage(df: DataFrame, source_file: str, rules: deid.Rules, path: str) -> Stag
     flags = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("__orphan").cast("long")), F.lit(0)).alias("orphans")]
     for i, c in enumerate(cells):
         flags.append(F.count(c).alias(f"n{i}"))
-        flags += [F.count(c.try_cast(kind)).alias(f"{kind}{i}") for kind in KINDS]
+        flags += [F.count(numbers.as_kind(c, kind)).alias(f"{kind}{i}") for kind in KINDS]
     pairs = dedup.suffix_candidates(columns)
     for i, (c, base) in enumerate(pairs):
         flags += [F.coalesce(F.bool_and(F.col(f"`{c}`").isNull()), F.lit(True)).alias(f"null{i}"), F.coalesce(F.bool_and(F.col(f"`{c}`").eqNullSafe(F.col(f"`{base}`"))), F.lit(True)).alias(f"same{i}")]

@@ -129,6 +129,37 @@ def test_plans_read_each_input_once(spark, place):
     assert "Scan csv" not in plan and "Scan parquet" in plan
 
 
+def test_kinds_are_what_the_casts_say(spark):
+    from pyspark.sql import functions as F
+
+    from lakecohort.functions import numbers
+
+    texts = (
+        "1.5| 5 |5\x7f|\x7f5.5|1e3|1d|1D|1f|0x1p3|0X1P-2f|0x.8p1|0x1.p1|0x1|NaN| nan|-NaN|+nan|NaNd|inf|-Infinity|INFINITY|Infinityf|+5|-0|00|5.|.5|-.5|+.5e-3D|5e|1e5f|1e400|..5|5..|1_0|1,5|1-2|- 1|1 2|\u0665|\u20035|5\u2003|5\u0085|\x0b5|5\n|5.\n|"
+        "9223372036854775807|9223372036854775808|-9223372036854775808|00000000000000000000000012|11111111111111111111|t|yes| Y|TRUE|Yes\t|\x7ftrue\x00|tru|n|No|1|0 |\u0130nf|+|-|.|e| |\t||2020-01-02|007"
+    ).split("|")
+    df = spark.createDataFrame([(v,) for v in [*texts, None]], "v string")
+    for kind in runs.KINDS:
+        found = df.select("v", F.col("v").try_cast(kind).cast("string").alias("cast"), numbers.as_kind(F.col("v"), kind).cast("string").alias("made")).collect()
+        assert [(r["v"], r["cast"]) for r in found] == [(r["v"], r["made"]) for r in found]
+        assert sum(r["made"] is not None for r in found) > 5
+
+
+def test_staging_texts_takes_little_longer_than_writing_them(spark, tmp_path):
+    import time
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 40000, 1, 2).select(*[F.concat(F.lit("2020-01-02 n"), F.col("id").cast("string")).alias(c) for c in ("SUBJID", *"abcdefghij")])
+    df.write.parquet(str(tmp_path / "warm"))
+    began = time.time()
+    df.write.parquet(str(tmp_path / "plain"))
+    plain = time.time() - began
+    began = time.time()
+    assert set(runs.stage(df, "texts.csv", RULES, str(tmp_path / "staged")).kinds.values()) == {"string"}
+    assert time.time() - began < 4 * plain + 3  # an exception a cell and kind would take 10 seconds and more
+
+
 def test_fingerprints(spark):
     rows = [(1, "a", 0.5, [1, 2], {"x": 1, "y": 2}), (2, None, None, None, None), (2, None, None, None, None)]
     kind = "i int, s string, d double, a array<int>, m map<string,int>"
