@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 ISO = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?\s*$"
 SLASH = r"^\s*(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})(?:\s+\d{1,2}:\d{2}(?::\d{2})?(\s*[AaPp][Mm])?)?\s*$"
+#: Ends of lines that a pattern leaves out and a cast doesn't trim.
+ENDS = "\u0085\u2028\u2029"
 #: Two-digit years below this are of the 2000s.
 PIVOT = 50
 
@@ -19,10 +21,9 @@ def year(c: Column) -> Column:
 def parse(c: Column | str, day_first: bool = False) -> Column:
     """A date, or null where the text isn't one; the time of day is left out."""
     c = F.col(c) if isinstance(c, str) else c
-    iso = F.when(c.rlike(ISO), F.concat_ws("-", *[F.regexp_extract(c, ISO, i) for i in (1, 2, 3)]))
     d, m = (1, 2) if day_first else (2, 1)
-    slash = F.when(c.rlike(SLASH), F.concat_ws("-", F.lpad(year(F.regexp_extract(c, SLASH, 3)).cast("string"), 4, "0"), F.regexp_extract(c, SLASH, m), F.regexp_extract(c, SLASH, d)))
-    return F.try_to_date(F.coalesce(iso, slash), "y-M-d") if hasattr(F, "try_to_date") else F.coalesce(iso, slash).try_cast("date")
+    slash = F.concat_ws("-", F.lpad(year(F.regexp_extract(c, SLASH, 3)).cast("string"), 4, "0"), F.regexp_extract(c, SLASH, m), F.regexp_extract(c, SLASH, d))
+    return F.when(c.rlike(ISO), F.rtrim(c, F.lit(ENDS)).try_cast("date")).when(c.rlike(SLASH), slash.try_cast("date"))
 
 
 def looks_like_date(c: Column | str) -> Column:

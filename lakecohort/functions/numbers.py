@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-#: What Spark's casts of texts trim; for doubles, all but the last.
-BLANKS = "".join(map(chr, (*range(33), 127)))
-#: Every text that Spark casts to the kind matches, and hardly any other.
+FLAGS = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
+# what Spark's casts of texts trim; for doubles, all but the last
+_BLANKS, _DECIMALS, _HEX = r"[\x00-\x20\x7F]*+", r"(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?[fFdD]?", r"0[xX][0-9a-fA-F]*+\.?[0-9a-fA-F]*+[pP][+-]?[0-9]++[fFdD]?"
+#: Every text that Spark casts to the kind looks like this, and hardly any other.
 LOOKS = {
-    "bigint": r"^[\x00-\x20\x7F]*+[+-]?0*+[0-9]{0,19}+(?<=[0-9])[\x00-\x20\x7F]*+$",
-    "double": r"^[\x00-\x20]*+[+-]?(?:(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?[fFdD]?|0[xX][0-9a-fA-F]*+\.?[0-9a-fA-F]*+[pP][+-]?[0-9]++[fFdD]?|(?i:nan|inf|infinity))[\x00-\x20]*+$",
+    "bigint": rf"{_BLANKS}[+-]?0*+[0-9]{{0,19}}+(?<=[0-9]){_BLANKS}",
+    "double": rf"[\x00-\x20]*+[+-]?(?:{_DECIMALS}|{_HEX}|(?i:nan|inf|infinity))[\x00-\x20]*+",
+    "boolean": rf"{_BLANKS}(?i:{'|'.join(FLAGS)}){_BLANKS}",
 }
-FLAGS = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
+#: Numbers that need no cast to tell what they are.
+PLAIN = r"^[+-]?+[0-9]{1,18}+(?:\.[0-9]*+)?+\z"
 # Height from knee height and age, in centimetres and years.
 KNEE, AGE, BASE = 2.02, -0.04, 64.19
 
@@ -36,8 +39,14 @@ def as_kind(c: Column, kind: str) -> Column:
 
     A cast that fails makes an exception, which costs more than the rest of a row; so only what looks like the kind is cast.
     """
-    looks = F.lower(F.btrim(c, F.lit(BLANKS))).isin(*FLAGS) if kind == "boolean" else c.rlike(LOOKS[kind])
-    return F.when(looks, c.try_cast(kind))
+    return F.when(c.rlike(f"^{LOOKS[kind]}$"), c.try_cast(kind))
+
+
+def kinds(c: Column) -> Column:
+    """Which kinds a text can be cast to, as a sum of 1 (bigint), 2 (double) and 4 (boolean); null for null. Most texts take one or two patterns."""
+    number = F.when(c.contains("."), 2).when(c.isin("0", "1"), 7).otherwise(3)
+    odd = sum((F.when(as_kind(c, kind).isNotNull(), 2**i).otherwise(0) for i, kind in enumerate(LOOKS)), F.lit(0))
+    return F.when(c.rlike(PLAIN), number).when(c.isin(*FLAGS), 4).when(c.rlike(f"^(?:{'|'.join(LOOKS.values())})$"), odd).when(c.isNotNull(), 0)
 
 
 def scrub_number(c: Column, kind: T.DataType) -> Column:

@@ -197,8 +197,7 @@ def stage(df: DataFrame, source_file: str, rules: deid.Rules, path: str) -> Stag
     cells = [F.col(f"`{c}`") for c in columns]
     flags = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("__orphan").cast("long")), F.lit(0)).alias("orphans")]
     for i, c in enumerate(cells):
-        flags.append(F.count(c).alias(f"n{i}"))
-        flags += [F.count(numbers.as_kind(c, kind)).alias(f"{kind}{i}") for kind in KINDS]
+        flags.append(F.collect_set(numbers.kinds(c)).alias(f"kinds{i}"))  # eight at most
     pairs = dedup.suffix_candidates(columns)
     for i, (c, base) in enumerate(pairs):
         flags += [F.coalesce(F.bool_and(F.col(f"`{c}`").isNull()), F.lit(True)).alias(f"null{i}"), F.coalesce(F.bool_and(F.col(f"`{c}`").eqNullSafe(F.col(f"`{base}`"))), F.lit(True)).alias(f"same{i}")]
@@ -206,7 +205,7 @@ def stage(df: DataFrame, source_file: str, rules: deid.Rules, path: str) -> Stag
     marked = df.select(*cells, place[0].alias("__file"), place[1].alias("__block"), F.monotonically_increasing_id().alias("__row"), orphan.alias("__orphan"))
     marked.observe(seen, *flags).write.partitionBy("__orphan").parquet(path)
     got = seen.get
-    kinds = {c: next((k for k in KINDS if 0 < got[f"n{i}"] == got[f"{k}{i}"]), "string") for i, c in enumerate(columns)}
+    kinds = {c: next((k for j, k in enumerate(KINDS) if got[f"kinds{i}"] and all(x >> j & 1 for x in got[f"kinds{i}"])), "string") for i, c in enumerate(columns)}
     copies = [dedup.ColumnEvent(c, None if got[f"null{i}"] else base, "entirely null" if got[f"null{i}"] else "identical") for i, (c, base) in enumerate(pairs) if got[f"null{i}"] or got[f"same{i}"]]
     return Staged(path, source_file, tuple(columns), kinds, tuple(copies), got["rows"], got["orphans"])
 

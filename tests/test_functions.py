@@ -76,3 +76,13 @@ def test_search_text(spark):
     assert values(spark, text.expand("c"), ["IC form"]) == ["ic form index case"]
     assert text.variants("tuberculosis") == ["mtb", "tb", "tuberculosis"]
     assert values(spark, text.snippet_score("tb", F.col("c")), ["tb tb tb", "none", None]) == [25 + 10 + 4 + 2, 0, 0]
+
+
+def test_dates_are_what_their_parts_make(spark):
+    days = [f"{y}-{m}-{d}" for y in ("0000", "0099", "1582", "2023", "2024", "9999") for m in ("0", "1", "02", "13") for d in ("00", "1", "15", "29", "31")]
+    ends = ("", " ", "\t", "\n", "\u0085", " \u2028", "\u2029", "T1:00", " 99:99:99.5Z", "T01:02:03+05:30\u0085", "x", "T", "Z", "\u00a0")
+    made = [(f"{a}{d}{e}",) for d in days for e in ends for a in ("", " \t")]
+    c = F.col("v")
+    parts = F.when(c.rlike(dates.ISO), F.concat_ws("-", *[F.regexp_extract(c, dates.ISO, i) for i in (1, 2, 3)]))
+    both = spark.createDataFrame(made, "v string").select("v", F.try_to_date(parts, "y-M-d").cast("string").alias("parts"), dates.parse(c).cast("string").alias("parsed")).collect()
+    assert [(r["v"], r["parts"]) for r in both] == [(r["v"], r["parsed"]) for r in both] and sum(r["parsed"] is not None for r in both) > 500

@@ -143,6 +143,10 @@ def test_kinds_are_what_the_casts_say(spark):
         found = df.select("v", F.col("v").try_cast(kind).cast("string").alias("cast"), numbers.as_kind(F.col("v"), kind).cast("string").alias("made")).collect()
         assert [(r["v"], r["cast"]) for r in found] == [(r["v"], r["made"]) for r in found]
         assert sum(r["made"] is not None for r in found) > 5
+    bits = sum((F.when(F.col("v").try_cast(kind).isNotNull(), 2**i).otherwise(0) for i, kind in enumerate(runs.KINDS)), F.lit(0))
+    told = df.select("v", F.when(F.col("v").isNotNull(), bits).alias("cast"), numbers.kinds(F.col("v")).alias("told")).collect()
+    assert [(r["v"], r["cast"]) for r in told] == [(r["v"], r["told"]) for r in told]
+    assert {r["told"] for r in told} == {None, 0, 1, 2, 3, 4, 7}
 
 
 def test_staging_texts_takes_little_longer_than_writing_them(spark, tmp_path):
